@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.time import epoch_day
 from tidemark.operators import broadcast
-from tidemark.operators.ingest import spine
+from tidemark.operators.ingest import fill_gaps, spine
 
 
 def calendar(spark: SparkSession, lo, hi, name: str = "cal_date") -> DataFrame:
@@ -22,81 +22,95 @@ def calendar(spark: SparkSession, lo, hi, name: str = "cal_date") -> DataFrame:
     return spine(spark, lo, hi, "1 day", name)
 
 
-def asof_fill(spark: SparkSession, series: DataFrame, date_col: str, values: list[str],
-              lo=None, hi=None, out_date: str = "cal_date") -> DataFrame:
-    """For every calendar day, the last known values of a daily series.
+def asof_fill(series: DataFrame, date_col: str, values: list[str], hi=None,
+              out_date: str = "cal_date") -> DataFrame:
+    """For every calendar day from the series' first day to ``hi`` (default its
+    last day), the last known values. ``asof_date`` tells which day they come from.
+    Each observation is expanded to the days before the next one, so no calendar
+    join and no bounds query is needed."""
+    return fill_gaps(series, date_col, "1 day", values, until=hi, out=out_date,
+                     source_col="asof_date")
 
-    Days before the first observation get NULL. ``asof_date`` tells which day the
-    values come from. The calendar runs from the series' first day to ``hi``
-    (default: its last day).
-    """
-    lo = lo if lo is not None else series.select(F.min(date_col)).scalar()
-    hi = hi if hi is not None else series.select(F.max(date_col)).scalar()
-    cal = calendar(spark, lo, hi, out_date)
-    s = series.select(F.col(date_col).alias("asof_date"), *values)
-    j = cal.join(broadcast.series(s), cal[out_date] == s["asof_date"], "left")
-    w = Window.partitionBy().orderBy(out_date).rowsBetween(Window.unboundedPreceding, 0)
-    return j.select(out_date, *[F.last(c, ignorenulls=True).over(w).alias(c)
-                                for c in ("asof_date", *values)])
+
+def with_prev_response(panel: DataFrame, key: str, date_col: str, flag: str) -> DataFrame:
+    """Adds ``prev_r``: the key's last response day strictly before this row.
+    Same partitioning and order as the panel's lag window, so it adds no shuffle."""
+    w = (Window.partitionBy(key).orderBy(date_col)
+         .rowsBetween(Window.unboundedPreceding, -1))
+    return panel.withColumn("prev_r", F.last(F.when(F.col(flag), F.col(date_col)),
+                                            ignorenulls=True).over(w))
 
 
-def _rise_intervals(responses: DataFrame, key: str, date_col: str) -> DataFrame:
-    """Per key, each response day ``r`` with the previous response day of the key."""
-    w = Window.partitionBy(key).orderBy(date_col)
-    return responses.select(key, F.col(date_col).alias("r"),
-                            F.lag(date_col).over(w).alias("prev_r"))
+def event_span(events: DataFrame, event_date: str):
+    """Distinct event days and one scalar subquery with their number and span."""
+    ev = events.select(F.col(event_date).alias("d")).distinct()
+    span = ev.select(F.struct(F.count("*").alias("n"), F.min("d").alias("lo"),
+                              F.max("d").alias("hi"))).scalar()
+    return ev, span["lo"], span["hi"], span["n"]
 
 
 def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
-                     responses: DataFrame, key: str, response_date: str,
-                     keys: DataFrame | None = None) -> DataFrame:
+                     panel: DataFrame, key: str, date_col: str, flag: str) -> DataFrame:
     """For each event day ``e`` and each key, the first response day ``r > e``.
 
+    ``panel`` holds the key's rows with a boolean ``flag`` marking response days.
     Returns one row per (key, event) that has a response: key, event_date,
-    response_date. Every event in ``[prev_r, r)`` of a key answers to ``r``, so
-    each key's intervals are expanded to days (at most the key's span, the same
-    grain as its daily panel) and equi-joined to the broadcast event days. Events
-    before a key's first response start the first interval.
+    response_date. Every event in ``[prev_r, r)`` answers to ``r``; each such
+    interval, clipped to the events' span, is expanded to days and equi-joined to
+    the broadcast event days. The expansion is at most the key's span in days,
+    the grain of the daily panel itself.
     """
-    iv = _rise_intervals(responses, key, response_date)
-    first_event = events.select(F.min(event_date)).scalar()
-    lo = F.coalesce(F.col("prev_r"), F.least(first_event, F.col("r")))
-    last = F.date_sub(F.col("r"), 1)
-    seq = F.when(lo <= last, F.sequence(lo, last))
-    days = iv.select(key, "r", F.explode(seq).alias("d"))
-    ev = broadcast.series(events.select(F.col(event_date).alias("d")).distinct())
-    return (days.join(ev, "d")
+    ev, lo, hi, _ = event_span(events, event_date)
+    iv = with_prev_response(panel, key, date_col, flag).where(F.col(flag))
+    start = F.greatest(F.coalesce(F.col("prev_r"), lo), lo)
+    stop = F.least(F.date_sub(F.col(date_col), 1), hi)
+    seq = F.when(start <= stop, F.sequence(start, stop))
+    days = iv.select(key, F.col(date_col).alias("r"), F.explode(seq).alias("d"))
+    return (days.join(broadcast.series(ev), "d")
                 .select(key, F.col("d").alias("event_date"), F.col("r").alias("response_date")))
 
 
 def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
-                     responses: DataFrame, key: str, response_date: str) -> DataFrame:
+                     panel: DataFrame, key: str, date_col: str, flag: str) -> DataFrame:
     """J5 aggregated per key without building pairs.
 
     With C(d) = events before d and S(d) = sum of their day numbers (prefix sums
-    over the calendar), the events answered by response ``r`` after the previous
-    response ``p`` number C(r) - C(p) and wait ``count * r - (S(r) - S(p))`` days.
-    Returns key, n_responded, sum_days for every key that has a response.
+    over the events' calendar), the events answered by response ``r`` after the
+    previous response ``p`` number C(r) - C(p) and wait ``n * r - (S(r) - S(p))``
+    days in total. Lookups outside the events' span are clamped to its ends
+    (C is 0 before the first event and the total after the last).
+
+    Returns key, n_events (all events, the same for every key), n_responded,
+    sum_days for every key of ``panel``. Works in the
+    panel's own window partitioning: one shuffle by key, then map-side joins to
+    the broadcast prefix table and an aggregate that needs no further exchange.
     """
-    ev = events.select(F.col(event_date).alias("d")).distinct()
-    lo = F.least(ev.select(F.min("d")).scalar(), responses.select(F.min(response_date)).scalar())
-    hi = F.greatest(ev.select(F.max("d")).scalar(), responses.select(F.max(response_date)).scalar())
-    cal = calendar(spark, lo, hi, "d")
+    ev, lo, hi, n_ev = event_span(events, event_date)
+    end = F.date_add(hi, 1)
+    cal = calendar(spark, lo, end, "d")
     w = Window.partitionBy().orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     marked = cal.join(broadcast.series(ev.withColumn("is_ev", F.lit(1))), "d", "left")
-    prefix = marked.select(
+    prefix = broadcast.series(marked.select(
         "d",
         F.coalesce(F.sum("is_ev").over(w), F.lit(0)).cast("long").alias("c"),
         F.coalesce(F.sum(F.when(F.col("is_ev") == 1, epoch_day("d"))).over(w),
-                   F.lit(0)).cast("long").alias("s"))
-    iv = _rise_intervals(responses, key, response_date)
-    pr = broadcast.series(prefix.select(F.col("d").alias("r"), F.col("c").alias("c_r"),
-                                        F.col("s").alias("s_r")))
-    pp = broadcast.series(prefix.select(F.col("d").alias("prev_r"), F.col("c").alias("c_p"),
-                                        F.col("s").alias("s_p")))
-    j = iv.join(pr, "r").join(pp, "prev_r", "left")
-    n = F.col("c_r") - F.coalesce(F.col("c_p"), F.lit(0))
-    days = n * epoch_day("r") - (F.col("s_r") - F.coalesce(F.col("s_p"), F.lit(0)))
+                   F.lit(0)).cast("long").alias("s")))
+
+    def clamp(c):
+        return F.least(F.greatest(c, lo), end)
+
+    rows = with_prev_response(panel, key, date_col, flag).select(
+        key, F.col(date_col).alias("r"), F.col(flag).alias("_is_r"),
+        F.when(F.col(flag), clamp(F.col(date_col))).alias("_rk"),
+        F.when(F.col(flag), clamp(F.col("prev_r"))).alias("_pk"))
+    # Both lookups probe the same broadcast prefix table (one build, reused).
+    pr, pp = prefix.alias("pr"), prefix.alias("pp")
+    j = (rows.join(pr, rows["_rk"] == F.col("pr.d"), "left")
+             .join(pp, F.col("_pk") == F.col("pp.d"), "left"))
+    n = F.coalesce(F.col("pr.c"), F.lit(0)) - F.coalesce(F.col("pp.c"), F.lit(0))
+    days = n * epoch_day("r") - (F.coalesce(F.col("pr.s"), F.lit(0))
+                                 - F.coalesce(F.col("pp.s"), F.lit(0)))
     return (j.groupBy(key)
-             .agg(F.sum(n).cast("long").alias("n_responded"),
-                  F.sum(days).cast("long").alias("sum_days")))
+             .agg(F.sum(F.when(F.col("_is_r"), n).otherwise(0)).cast("long").alias("n_responded"),
+                  F.sum(F.when(F.col("_is_r"), days).otherwise(0)).cast("long").alias("sum_days"))
+             .withColumn("n_events", F.coalesce(n_ev, F.lit(0)).cast("long")))

@@ -102,9 +102,9 @@ def _to_ntz(raw: Column, fmt: str | None) -> Column:
 def overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
     """T5: the common period of two series as one row (lo, hi); lo > hi means none."""
     ra = a.agg(F.min(a_col).alias("lo"), F.max(a_col).alias("hi"))
-    rb = b.agg(F.min(b_col).alias("lo"), F.max(b_col).alias("hi"))
-    return ra.select(F.greatest(F.col("lo"), rb.select("lo").scalar()).alias("lo"),
-                     F.least(F.col("hi"), rb.select("hi").scalar()).alias("hi"))
+    rb = b.select(F.struct(F.min(b_col).alias("lo"), F.max(b_col).alias("hi"))).scalar()
+    return ra.select(F.greatest(F.col("lo"), rb["lo"]).alias("lo"),
+                     F.least(F.col("hi"), rb["hi"]).alias("hi"))
 
 
 def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str,
@@ -115,7 +115,38 @@ def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str,
     the data's span. The span is checked: a spine longer than ``max_points`` fails
     instead of silently becoming a large broadcast.
     """
-    seq = F.sequence(lo, hi, F.expr(f"INTERVAL {step}"))
-    guarded = F.when(F.size(seq) <= max_points, seq).otherwise(
+    seq = spark.range(1).select(F.sequence(lo, hi, F.expr(f"INTERVAL {step}")).alias("_s"))
+    guarded = F.when(F.size("_s") <= max_points, F.col("_s")).otherwise(
         F.raise_error(F.lit(f"spine longer than {max_points} points")))
-    return spark.range(1).select(F.explode(guarded).alias(name))
+    return seq.select(F.explode(guarded).alias(name))
+
+
+def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
+              until=None, out: str | None = None, source_col: str | None = None) -> DataFrame:
+    """T6 + J7 in one pass: the complete axis of a series, gaps included.
+
+    Each observation is expanded to every point up to the next observation (the
+    last one up to ``until`` if given). ``values`` are carried into the gap
+    (backward as-of: the last known value) and ``source_col`` names the column
+    holding the observation time they come from. Without ``source_col`` the gap
+    rows get NULL values instead (a plain spine left-joined to the series).
+
+    The series is ordered in one window partition: it must be a time-grain series
+    (one row per hour or day of its span), never a fact.
+    """
+    out = out or time_col
+    w = Window.partitionBy().orderBy(time_col)
+    series = series.withColumn("_next", F.lead(time_col).over(w))
+    one = F.expr(f"INTERVAL {step}")
+    last = F.col("_next") - one
+    if until is not None:
+        last = F.coalesce(last, F.greatest(F.col(time_col), until))
+    else:
+        last = F.coalesce(last, F.col(time_col))
+    ex = series.select(time_col, *values,
+                       F.explode(F.sequence(F.col(time_col), last, one)).alias("_t"))
+    if source_col:
+        cols = [F.col(v) for v in values] + [F.col(time_col).alias(source_col)]
+    else:
+        cols = [F.when(F.col("_t") == F.col(time_col), F.col(v)).alias(v) for v in values]
+    return ex.select(F.col("_t").alias(out), *cols)

@@ -48,17 +48,16 @@ def common_period(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
 
 def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataFrame:
     """Oil rise days inside the common period (the lag itself looks back past it)."""
-    p = common_period(t, crude)
-    lo, hi = p.select("lo").scalar(), p.select("hi").scalar()
+    p = common_period(t, crude).select(F.struct("lo", "hi")).scalar()
+    lo, hi = p["lo"], p["hi"]
     o = oil_lagged(t, crude, min_change)
     return o.where(F.col("is_rise") & (F.col(DATE) >= lo) & (F.col(DATE) <= hi)) \
             .select(F.col(DATE).alias("event_date"))
 
 
 def station_rises(t) -> DataFrame:
-    """Days on which a station's price is above its previous recorded price."""
-    s = station_lagged(t)
-    return s.where(F.col("change") > 0).select("station_id", F.col(DATE).alias("rise_date"))
+    """The station panel with ``is_rise``: price above its previous recorded price."""
+    return station_lagged(t).withColumn("is_rise", F.coalesce(F.col("change") > 0, F.lit(False)))
 
 
 def stations_with_brand(t) -> DataFrame:
@@ -73,7 +72,7 @@ def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
     """J5 + P5: every (oil rise, station) pair that got a response, with the first
     station rise strictly after the event and the days in between."""
     p = next_event_pairs(spark, rise_events(t, crude, min_change), "event_date",
-                         station_rises(t), "station_id", "rise_date")
+                         station_rises(t), "station_id", DATE, "is_rise")
     return p.withColumn("response_days", response_days("event_date", "response_date"))
 
 
@@ -86,14 +85,15 @@ def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
     the data are censored: counted in n_events, not in the mean.
     """
     ev = rise_events(t, crude, min_change)
-    n_ev = ev.select(F.count("*")).scalar()
-    stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", "rise_date")
-    sb = stations_with_brand(t).join(stats, "station_id", "left")
+    # Per station in one pass over the panel (every station of the panel appears).
+    stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", DATE,
+                             "is_rise")
+    sb = stats.join(t.gas_station.select("station_id", "brand"), "station_id")
     g = sb.groupBy("brand").agg(
         F.count("*").alias("n_stations"),
-        F.coalesce(F.sum("n_responded"), F.lit(0)).cast("long").alias("n_responded"),
-        F.coalesce(F.sum("sum_days"), F.lit(0)).cast("long").alias("sum_days"))
-    g = g.withColumn("n_events", (F.col("n_stations") * n_ev).cast("long"))
+        F.sum("n_events").cast("long").alias("n_events"),
+        F.sum("n_responded").cast("long").alias("n_responded"),
+        F.sum("sum_days").cast("long").alias("sum_days"))
     return g.select("brand", "n_stations", "n_events", "n_responded",
                     ratio("sum_days", "n_responded").alias("avg_days"))
 
@@ -122,10 +122,9 @@ def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5)
     """The oil phase of every calendar day, carried from the last trading day,
     up to the last station price day."""
     ph = oil_phases(t, crude, n).where(F.col("phase").isNotNull())
-    hi = F.greatest(ph.select(F.max(DATE)).scalar(), t.gas_price.select(F.max(DATE)).scalar())
-    f = asof_fill(spark, ph.select(DATE, "phase", "oil_price"), DATE,
-                  ["phase", "oil_price"], hi=hi, out_date=DATE)
-    return f
+    hi = t.gas_price.select(F.max(DATE)).scalar()
+    return asof_fill(ph.select(DATE, "phase", "oil_price"), DATE, ["phase", "oil_price"],
+                     hi=hi, out_date=DATE)
 
 
 def station_changes_by_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,

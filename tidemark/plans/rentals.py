@@ -14,16 +14,20 @@ from tidemark.functions.predicates import HEAT_LIMIT_C, is_hot, precip_band
 from tidemark.functions.time import hour_of
 from tidemark.operators import broadcast
 from tidemark.operators.aggregates import ratio, split_counts
-from tidemark.operators.ingest import hourly_counts, spine
+from tidemark.operators.ingest import fill_gaps, hourly_counts
 
 HOUR = "obs_datetime"
 
 
+def weather_axis(weather: DataFrame) -> DataFrame:
+    """T6 + J1 (weather side): every hour of the weather period, first to last
+    observed hour; an hour without an observation has NULL weather."""
+    return fill_gaps(weather, HOUR, "1 hour", ["precipitation", "feel_temp"])
+
+
 def hour_spine(spark: SparkSession, weather: DataFrame) -> DataFrame:
-    """Every hour of the weather period (first to last observed hour)."""
-    lo = weather.select(F.min(HOUR)).scalar()
-    hi = weather.select(F.max(HOUR)).scalar()
-    return spine(spark, lo, hi, "1 hour", HOUR)
+    """Every hour of the weather period."""
+    return weather_axis(weather).select(HOUR)
 
 
 def hourly_rentals(rental: DataFrame) -> DataFrame:
@@ -34,13 +38,11 @@ def hourly_rentals(rental: DataFrame) -> DataFrame:
 def hours_with_rentals(spark: SparkSession, t) -> DataFrame:
     """Every hour of the spine with its weather (NULL if unobserved) and its
     rental count (0 if none). The hour is the kept side of both LEFT joins."""
-    w = t.weather
-    sp = hour_spine(spark, w)
     r = hourly_rentals(t.rental)
-    return (sp.join(broadcast.series(w), HOUR, "left")
-              .join(broadcast.series(r), HOUR, "left")
-              .select(HOUR, "precipitation", "feel_temp",
-                      F.coalesce("n_rentals", F.lit(0)).cast("long").alias("n_rentals")))
+    return (weather_axis(t.weather)
+            .join(broadcast.series(r), HOUR, "left")
+            .select(HOUR, "precipitation", "feel_temp",
+                    F.coalesce("n_rentals", F.lit(0)).cast("long").alias("n_rentals")))
 
 
 def q1a(spark: SparkSession, t) -> DataFrame:
@@ -80,9 +82,9 @@ def station_heat_counts(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
 def exposure(t, threshold: float = HEAT_LIMIT_C) -> tuple:
     """A7 denominators as scalar subqueries: number of hot and of normal hours."""
     hc = hour_classes(t, threshold)
-    tot = hc.agg(F.count_if("is_hot").alias("n_hot_hours"),
-                 F.count_if(~F.col("is_hot")).alias("n_normal_hours"))
-    return tot.select("n_hot_hours").scalar(), tot.select("n_normal_hours").scalar()
+    tot = hc.select(F.struct(F.count_if("is_hot").alias("hot"),
+                             F.count_if(~F.col("is_hot")).alias("normal"))).scalar()
+    return tot["hot"], tot["normal"]
 
 
 def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> DataFrame:

@@ -21,8 +21,21 @@ PRECIP_SCALE = 5.0
 FEEL_SCALE = 2.0       # feel_temp = v2 / 2
 
 
+# Schemas of the driver's input tables used here (read with a fixed schema: no
+# footer-sampling job and no drift if a file changes).
+INPUT_SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+                "c_mktsegment STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    r = spark.read
+    if name in INPUT_SCHEMAS:
+        r = r.schema(INPUT_SCHEMAS[name])
+    return r.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +116,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._memo: dict[str, DataFrame] = {}
 
     def __getattr__(self, name):
-        if name in STANDINS:
-            return STANDINS[name](self.spark, self.sf_dir)
-        raise AttributeError(name)
+        # One DataFrame object per table: the files are listed once and every
+        # use of a table is the same plan, so Spark can reuse its exchanges.
+        if name.startswith("_") or name not in STANDINS:
+            raise AttributeError(name)
+        if name not in self._memo:
+            self._memo[name] = STANDINS[name](self.spark, self.sf_dir)
+        return self._memo[name]

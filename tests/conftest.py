@@ -15,9 +15,7 @@ def spark(tmp_path_factory):
     from tidemark.session import build_session, checkpoint_dir
     s = build_session("local[4]", 8, app_name="tidemark-tests",
                       extra={"spark.driver.memory": "4g"})
-    # Tests set their own checkpoint folder only because none is configured.
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("ckpt")))
+    # Uses spark.checkpoint.dir when the environment names one; else a scratch folder.
     checkpoint_dir(s)
     yield s
     s.stop()

@@ -1,5 +1,7 @@
 """The hourly stream gives the batch roll-up's rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF01
@@ -28,7 +30,8 @@ def test_append_sink_with_checkpoint(spark, tmp_path):
     src = tmp_path / "rentals"
     rental(spark, SF01).write.parquet(str(src))
     out = tmp_path / "out"
-    q = start_hourly(spark, rental_stream(spark, str(src)), str(out), name="t_append", once=True)
+    name = f"t_append_{uuid.uuid4().hex}"   # a fresh stream, not a resumed one
+    q = start_hourly(spark, rental_stream(spark, str(src)), str(out), name=name, once=True)
     q.awaitTermination(120)
     rows = spark.read.parquet(str(out))
     # append mode emits hours the watermark has passed: all but the last ones

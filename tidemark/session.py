@@ -46,16 +46,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts, read from ``spark.checkpoint.dir``.
-
-    A cluster names it; only when it is unset (local tests) do we make one.
-    """
+    """Shared folder for lineage cuts and stream checkpoints, read from
+    ``spark.checkpoint.dir`` (a static setting the cluster names). Only when it is
+    unset in local mode (tests) is a scratch folder used."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         master = spark.sparkContext.master or ""
         if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d

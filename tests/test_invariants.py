@@ -65,3 +65,54 @@ def test_fact_scan_is_pruned_and_pushed(spark):
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)]" in plan
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def _tree(df):
+    """(depth, node name, arguments) of the formatted physical plan."""
+    import re
+    jvm = df.sparkSession._jvm
+    text = jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    head, _, details = text.partition("\n\n\n")
+    args = {}
+    for block in details.split("\n\n"):
+        m = re.match(r"\((\d+)\) ", block.strip())
+        if m:
+            args[m.group(1)] = block
+    nodes = []
+    for line in head.splitlines()[1:]:
+        m = re.match(r"^([\s:|+-]*?)([A-Z][\w ]*?)\s*\((\d+)\)", line)
+        if m:
+            nodes.append((len(m.group(1)), m.group(2).strip(), args.get(m.group(3), "")))
+    return nodes
+
+
+def _check_single_partition(nodes):
+    """A SinglePartition exchange never sits on a raw fact scan: between it and any
+    scan below it there is an aggregate (it orders a series, not a fact)."""
+    for i, (depth, name, arg) in enumerate(nodes):
+        if name != "Exchange" or "SinglePartition" not in arg:
+            continue
+        stack = []  # ancestors inside this exchange's subtree
+        for d2, n2, _ in nodes[i + 1:]:
+            if d2 <= depth:
+                break
+            while stack and stack[-1][0] >= d2:
+                stack.pop()
+            if n2.startswith("Scan"):
+                assert any(a[1] == "HashAggregate" for a in stack), nodes[i:]
+            stack.append((d2, n2))
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
+def test_single_partition_only_over_aggregates(spark, key):
+    _check_single_partition(_tree(QUERIES[key](spark, SF01)))
+
+
+def test_single_partition_check_detects_fact(spark):
+    from pyspark.sql.window import Window
+    from tidemark.sources.testdata import events
+    bad = events(spark, SF01).withColumn("prev", F.lag("value").over(Window.orderBy("ts")))
+    with pytest.raises(AssertionError):
+        _check_single_partition(_tree(bad))
+    good = _tree(QUERIES["w1"](spark, SF01))
+    assert any(n[1] == "Exchange" and "SinglePartition" in n[2] for n in good)

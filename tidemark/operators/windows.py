@@ -28,10 +28,11 @@ def with_lag(df: DataFrame, value: str, order: str, by: list[str] | None = None,
     previous row) and ``change``. A ragged panel keeps its gaps visible.
     """
     w = _w(by or [], order)
-    return (df.withColumn(prefix + value, F.lag(value).over(w))
-              .withColumn(prefix + order, F.lag(order).over(w))
-              .withColumn("gap_days", F.datediff(F.col(order), F.col(prefix + order)))
-              .withColumn("change", delta(value, prefix + value)))
+    prev_v, prev_o = F.lag(value).over(w), F.lag(order).over(w)
+    # One projection; Spark evaluates both lags in a single Window operator.
+    return df.withColumns({prefix + value: prev_v, prefix + order: prev_o,
+                           "gap_days": F.datediff(F.col(order), prev_o),
+                           "change": delta(value, prev_v)})
 
 
 def moving_average(df: DataFrame, value: str, order: str, n: int = 5,

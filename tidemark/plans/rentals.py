@@ -99,14 +99,16 @@ def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> Dat
     n_hot, n_normal = exposure(t, threshold)
     c = station_heat_counts(t, threshold)
     m = t.rental_station.select("station_id", "station_name")
-    j = c.join(m, "station_id").select(
+    hot_rate = F.col("hot_rentals").cast("double") / F.nullif(n_hot.cast("double"), F.lit(0.0))
+    normal_rate = (F.col("normal_rentals").cast("double")
+                   / F.nullif(n_normal.cast("double"), F.lit(0.0)))
+    drop = normal_rate - hot_rate
+    return c.join(m, "station_id").select(
         "station_id", "station_name",
         n_hot.alias("n_hot_hours"), n_normal.alias("n_normal_hours"),
-        "hot_rentals", "normal_rentals")
-    j = (j.withColumn("hot_rate", ratio("hot_rentals", "n_hot_hours"))
-          .withColumn("normal_rate", ratio("normal_rentals", "n_normal_hours")))
-    j = j.withColumn("rate_drop", F.col("normal_rate") - F.col("hot_rate"))
-    return j.withColumn("pct_drop", F.col("rate_drop") * 100.0 / F.nullif(F.col("normal_rate"), F.lit(0.0)))
+        "hot_rentals", "normal_rentals",
+        hot_rate.alias("hot_rate"), normal_rate.alias("normal_rate"), drop.alias("rate_drop"),
+        (drop * 100.0 / F.nullif(normal_rate, F.lit(0.0))).alias("pct_drop"))
 
 
 def q1b(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C, k: int = 5) -> DataFrame:

@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Lets the CSV reader decode CP949 / MS949 (Korean public-data files).
     "spark.sql.legacy.javaCharsets": "true",
+    # PySpark records the Python call site of every API call for error messages,
+    # at several JVM round trips per call; plan construction is much faster without.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -24,8 +24,12 @@ _BASE = {
     "gas_station": """SELECT CAST(c_custkey AS VARCHAR) AS station_id, c_mktsegment AS brand
         FROM customer""",
     "gas_price": """SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS price_date,
-        avg(value) AS price FROM events GROUP BY 1, 2""",
-    "oil_price": """SELECT CAST(ts AS DATE) AS price_date, avg(value) AS dubai,
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE)
+          / (CAST(count(value) AS DOUBLE) * 100) AS price
+        FROM events GROUP BY 1, 2""",
+    "oil_price": """SELECT CAST(ts AS DATE) AS price_date,
+        CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE)
+          / (CAST(count(value) AS DOUBLE) * 100) AS dubai,
         max(value) AS brent, min(value) AS wti
         FROM events WHERE event_type = 'purchase' AND isodow(ts) <= 5 GROUP BY 1""",
     # derived helpers used by several queries

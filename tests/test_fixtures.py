@@ -103,6 +103,10 @@ def test_f4_response_days_and_censoring(spark):
     assert got == [("P", 1, 2, 1, 2.0)]
     pairs = [tuple(x) for x in prices.response_pairs(spark, t).collect()]
     assert pairs == [("X", d(1), d(3), 2)]
+    # A one-day horizon censors the two-day response.
+    assert [tuple(x) for x in prices.q2a(spark, t, horizon_days=1).collect()] == [("P", 1, 2, 0, None)]
+    assert prices.response_pairs(spark, t, horizon_days=1).count() == 0
+    assert [tuple(x) for x in prices.q2a(spark, t, horizon_days=2).collect()] == [("P", 1, 2, 1, 2.0)]
 
 
 def test_f5_weekend_rows_vs_range_and_carry(spark):

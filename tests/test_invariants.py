@@ -27,12 +27,12 @@ def test_1b_shape(spark):
     assert drops == sorted(drops, reverse=True)
 
 
-@pytest.mark.parametrize("sf", [SF001, SF01])
-def test_2a_stats_equal_pairs(spark, sf):
+@pytest.mark.parametrize("sf,horizon", [(SF001, None), (SF01, None), (SF01, 3)])
+def test_2a_stats_equal_pairs(spark, sf, horizon):
     """The prefix-sum aggregate equals aggregating the explicit pairs."""
     t = Tables(spark, sf)
-    a = {r.brand: r for r in prices.q2a(spark, t).collect()}
-    pairs = prices.response_pairs(spark, t).join(t.gas_station, "station_id")
+    a = {r.brand: r for r in prices.q2a(spark, t, horizon_days=horizon).collect()}
+    pairs = prices.response_pairs(spark, t, horizon_days=horizon).join(t.gas_station, "station_id")
     p = {r.brand: r for r in pairs.groupBy("brand").agg(
         F.count("*").alias("n"), F.sum("response_days").alias("s"),
         F.min("response_days").alias("mn")).collect()}
@@ -42,6 +42,8 @@ def test_2a_stats_equal_pairs(spark, sf):
             assert p[brand].n == r.n_responded
             assert p[brand].s / p[brand].n == pytest.approx(r.avg_days)
             assert p[brand].mn >= 1
+            if horizon:
+                assert p[brand].s / p[brand].n <= horizon
 
 
 def test_j3_no_fanout(spark):
@@ -116,3 +118,10 @@ def test_single_partition_check_detects_fact(spark):
         _check_single_partition(_tree(bad))
     good = _tree(QUERIES["w1"](spark, SF01))
     assert any(n[1] == "Exchange" and "SinglePartition" in n[2] for n in good)
+
+
+def test_2a_horizon_is_a_filter_on_pairs(spark):
+    t = Tables(spark, SF01)
+    full = {tuple(r) for r in prices.response_pairs(spark, t).collect()}
+    h3 = {tuple(r) for r in prices.response_pairs(spark, t, horizon_days=3).collect()}
+    assert h3 == {r for r in full if r[3] <= 3}

@@ -50,7 +50,8 @@ def event_span(events: DataFrame, event_date: str):
 
 
 def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
-                     panel: DataFrame, key: str, date_col: str, flag: str) -> DataFrame:
+                     panel: DataFrame, key: str, date_col: str, flag: str,
+                     horizon_days: int | None = None) -> DataFrame:
     """For each event day ``e`` and each key, the first response day ``r > e``.
 
     ``panel`` holds the key's rows with a boolean ``flag`` marking response days.
@@ -58,11 +59,14 @@ def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
     response_date. Every event in ``[prev_r, r)`` answers to ``r``; each such
     interval, clipped to the events' span, is expanded to days and equi-joined to
     the broadcast event days. The expansion is at most the key's span in days,
-    the grain of the daily panel itself.
+    the grain of the daily panel itself. With ``horizon_days`` a response more
+    than that many days after the event does not count (the pair is censored).
     """
     ev, lo, hi, _ = event_span(events, event_date)
     iv = with_prev_response(panel, key, date_col, flag).where(F.col(flag))
     start = F.greatest(F.coalesce(F.col("prev_r"), lo), lo)
+    if horizon_days is not None:
+        start = F.greatest(start, F.date_sub(F.col(date_col), int(horizon_days)))
     stop = F.least(F.date_sub(F.col(date_col), 1), hi)
     seq = F.when(start <= stop, F.sequence(start, stop))
     days = iv.select(key, F.col(date_col).alias("r"), F.explode(seq).alias("d"))
@@ -71,14 +75,16 @@ def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
 
 
 def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
-                     panel: DataFrame, key: str, date_col: str, flag: str) -> DataFrame:
+                     panel: DataFrame, key: str, date_col: str, flag: str,
+                     horizon_days: int | None = None) -> DataFrame:
     """J5 aggregated per key without building pairs.
 
     With C(d) = events before d and S(d) = sum of their day numbers (prefix sums
     over the events' calendar), the events answered by response ``r`` after the
     previous response ``p`` number C(r) - C(p) and wait ``n * r - (S(r) - S(p))``
     days in total. Lookups outside the events' span are clamped to its ends
-    (C is 0 before the first event and the total after the last).
+    (C is 0 before the first event and the total after the last). With
+    ``horizon_days`` the lower end is ``max(p, r - horizon_days)``.
 
     Returns key, n_events (all events, the same for every key), n_responded,
     sum_days for every key of ``panel``. Works in the
@@ -99,10 +105,16 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     def clamp(c):
         return F.least(F.greatest(c, lo), end)
 
+    # Events in [lower, r) answer to r. With a horizon, events more than
+    # horizon_days before r are censored: the lower end moves up to r - horizon.
+    lower = F.col("prev_r")
+    if horizon_days is not None:
+        lower = F.greatest(F.coalesce(lower, F.date_sub(F.col(date_col), int(horizon_days))),
+                           F.date_sub(F.col(date_col), int(horizon_days)))
     rows = with_prev_response(panel, key, date_col, flag).select(
         key, F.col(date_col).alias("r"), F.col(flag).alias("_is_r"),
         F.when(F.col(flag), clamp(F.col(date_col))).alias("_rk"),
-        F.when(F.col(flag), clamp(F.col("prev_r"))).alias("_pk"))
+        F.when(F.col(flag), clamp(lower)).alias("_pk"))
     # Both lookups probe the same broadcast prefix table (one build, reused).
     pr, pp = prefix.alias("pr"), prefix.alias("pp")
     j = (rows.join(pr, rows["_rk"] == F.col("pr.d"), "left")

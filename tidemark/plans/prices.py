@@ -68,26 +68,27 @@ def stations_with_brand(t) -> DataFrame:
 
 
 def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-                   min_change: float = 0.0) -> DataFrame:
+                   min_change: float = 0.0, horizon_days: int | None = None) -> DataFrame:
     """J5 + P5: every (oil rise, station) pair that got a response, with the first
     station rise strictly after the event and the days in between."""
     p = next_event_pairs(spark, rise_events(t, crude, min_change), "event_date",
-                         station_rises(t), "station_id", DATE, "is_rise")
+                         station_rises(t), "station_id", DATE, "is_rise", horizon_days)
     return p.withColumn("response_days", response_days("event_date", "response_date"))
 
 
 def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-        min_change: float = 0.0) -> DataFrame:
+        min_change: float = 0.0, horizon_days: int | None = None) -> DataFrame:
     """2-A: mean days until a station follows an oil rise, by brand.
 
     n_events counts (rise, station) pairs; n_responded those with a later station
     rise; avg_days averages the responded ones. Pairs still waiting at the end of
-    the data are censored: counted in n_events, not in the mean.
+    the data are censored: counted in n_events, not in the mean; so are pairs
+    whose response comes more than ``horizon_days`` after the event, if given.
     """
     ev = rise_events(t, crude, min_change)
     # Per station in one pass over the panel (every station of the panel appears).
     stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", DATE,
-                             "is_rise")
+                             "is_rise", horizon_days)
     sb = stats.join(t.gas_station.select("station_id", "brand"), "station_id")
     g = sb.groupBy("brand").agg(
         F.count("*").alias("n_stations"),
@@ -118,27 +119,28 @@ def oil_phases(t, crude: str = DEFAULT_CRUDE, n: int = 5, frame: str = "rows",
                     phase("price", "prev_price").alias("phase"))
 
 
-def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5) -> DataFrame:
+def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
+                **ma) -> DataFrame:
     """The oil phase of every calendar day, carried from the last trading day,
     up to the last station price day."""
-    ph = oil_phases(t, crude, n).where(F.col("phase").isNotNull())
+    ph = oil_phases(t, crude, n, **ma).where(F.col("phase").isNotNull())
     hi = t.gas_price.select(F.max(DATE)).scalar()
     return asof_fill(ph.select(DATE, "phase", "oil_price"), DATE, ["phase", "oil_price"],
                      hi=hi, out_date=DATE)
 
 
 def station_changes_by_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-                             n: int = 5) -> DataFrame:
+                             n: int = 5, **ma) -> DataFrame:
     """Each station price change with the oil phase of its day."""
     s = station_lagged(t).where(F.col("change").isNotNull())
-    ph = daily_phase(spark, t, crude, n).where(F.col("phase").isNotNull()) \
+    ph = daily_phase(spark, t, crude, n, **ma).where(F.col("phase").isNotNull()) \
         .select(DATE, "phase", F.col("asof_date").alias("phase_date"))
     return s.join(broadcast.series(ph), DATE).select(
         "station_id", DATE, "price", "prev_price", "gap_days", "change", "phase", "phase_date")
 
 
 def q2b(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
-        subject: str = "station") -> DataFrame:
+        subject: str = "station", frame: str = "rows", require_full: bool = False) -> DataFrame:
     """2-B: do prices rise faster than they fall ("rockets and feathers")?
 
     subject='station': station price changes in rising vs falling oil phases;
@@ -146,9 +148,10 @@ def q2b(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
     n_rising, avg_change_rising, n_falling, avg_change_falling, asymmetry.
     """
     if subject == "station":
-        ch = station_changes_by_phase(spark, t, crude, n)
+        ch = station_changes_by_phase(spark, t, crude, n, frame=frame,
+                                      require_full=require_full)
     elif subject == "oil":
-        ph = oil_phases(t, crude, n)
+        ph = oil_phases(t, crude, n, frame=frame, require_full=require_full)
         ch = with_lag(ph.select(DATE, "oil_price", "phase"), "oil_price", DATE) \
             .where(F.col("change").isNotNull())
     else:

@@ -80,10 +80,9 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     """J5 aggregated per key without building pairs.
 
     With C(d) = events before d and S(d) = sum of their day numbers (prefix sums
-    over the events' calendar), the events answered by response ``r`` after the
+    over the events' days), the events answered by response ``r`` after the
     previous response ``p`` number C(r) - C(p) and wait ``n * r - (S(r) - S(p))``
-    days in total. Lookups outside the events' span are clamped to its ends
-    (C is 0 before the first event and the total after the last). With
+    days in total. C is 0 up to the first event and the total after the last. With
     ``horizon_days`` the lower end is ``max(p, r - horizon_days)``.
 
     Returns key, n_events (all events, the same for every key), n_responded,
@@ -91,19 +90,24 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     panel's own window partitioning: one shuffle by key, then map-side joins to
     the broadcast prefix table and an aggregate that needs no further exchange.
     """
-    ev, lo, hi, n_ev = event_span(events, event_date)
+    ev, _, hi, n_ev = event_span(events, event_date)
     end = F.date_add(hi, 1)
-    cal = calendar(spark, lo, end, "d")
-    w = Window.partitionBy().orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    marked = cal.join(broadcast.series(ev.withColumn("is_ev", F.lit(1))), "d", "left")
-    prefix = broadcast.series(marked.select(
-        "d",
-        F.coalesce(F.sum("is_ev").over(w), F.lit(0)).cast("long").alias("c"),
-        F.coalesce(F.sum(F.when(F.col("is_ev") == 1, epoch_day("d"))).over(w),
-                   F.lit(0)).cast("long").alias("s")))
+    # Prefix table from the event series itself: the i-th event (1-based) covers
+    # the days after it up to the next event, where i events lie strictly before.
+    # Days up to the first event are absent (a miss reads as 0); the last event
+    # covers one day, and lookups beyond it are clamped to that day.
+    w = Window.partitionBy().orderBy("d")
+    evs = ev.select("d", F.row_number().over(w).cast("long").alias("c"),
+                    F.sum(epoch_day("d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                    .cast("long").alias("s"),
+                    F.lead("d").over(w).alias("nd"))
+    first = F.date_add(F.col("d"), 1)
+    prefix = broadcast.series(evs.select(
+        F.explode(F.sequence(first, F.coalesce(F.col("nd"), first))).alias("d"), "c", "s"))
 
     def clamp(c):
-        return F.least(F.greatest(c, lo), end)
+        # least() skips NULLs: a missing day must stay missing, not become `end`.
+        return F.when(c.isNotNull(), F.least(c, end))
 
     # Events in [lower, r) answer to r. With a horizon, events more than
     # horizon_days before r are censored: the lower end moves up to r - horizon.

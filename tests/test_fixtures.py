@@ -72,6 +72,12 @@ def test_f2_heat_drop_keeps_zero_heat_station(spark):
     assert got == [("A", 2.0), ("B", 0.0), ("C", -1.0)]
 
 
+def test_f2_order_by_percent(spark):
+    t = _heat_tables(spark, [35.0, 36.0, 34.9, 20.0, 10.0, 30.0])
+    got = [(x.station_id, x.pct_drop) for x in rentals.q1b(spark, t, order_by="pct_drop").collect()]
+    assert got == [("A", 100.0), ("B", 0.0), ("C", -100.0)]
+
+
 def test_f3_no_heat_no_rows(spark):
     t = _heat_tables(spark, [5.0] * 6)
     assert rentals.q1b(spark, t).collect() == []
@@ -109,6 +115,19 @@ def test_f4_response_days_and_censoring(spark):
     assert [tuple(x) for x in prices.q2a(spark, t, horizon_days=2).collect()] == [("P", 1, 2, 1, 2.0)]
 
 
+def test_2a_mean_of_station_means(spark):
+    # Y answers Tue's rise on Wed (1 day) and Thu's on Fri (1 day); X as in F4 (2 days).
+    oil = oil_df(spark, [(d(0), 70.0), (d(1), 71.0), (d(2), 71.0), (d(3), 72.0), (d(4), 71.0)])
+    gas = gas_df(spark, [("X", d(i), p) for i, p in
+                         enumerate([1600.0, 1600.0, 1600.0, 1610.0, 1610.0, 1610.0])]
+                 + [("Y", d(i), p) for i, p in enumerate([10.0, 10.0, 11.0, 11.0, 12.0, 12.0])])
+    st = spark.createDataFrame([("X", "P"), ("Y", "P")], "station_id string, brand string")
+    t = FakeTables(oil_price=oil, gas_price=gas, gas_station=st)
+    pairs = prices.q2a(spark, t).first()
+    assert (pairs.n_events, pairs.n_responded, pairs.avg_days) == (4, 3, 4 / 3)
+    assert prices.q2a(spark, t, averaging="stations").first().avg_days == 1.5
+
+
 def test_f5_weekend_rows_vs_range_and_carry(spark):
     fri, mon = dt.date(2026, 5, 8), dt.date(2026, 5, 11)
     o = spark.createDataFrame([(fri, 10.0), (mon, 40.0)], "price_date date, price double")

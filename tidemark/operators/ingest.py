@@ -13,18 +13,22 @@ from tidemark.operators.broadcast import MAX_SERIES_POINTS
 
 
 def hourly_weather(minute: DataFrame, time_col: str = "obs_datetime",
-                   precip_mode: str = "increment", by: list[str] | None = None) -> DataFrame:
+                   precip_mode: str = "increment", by: list[str] | None = None,
+                   feel: str = "max") -> DataFrame:
     """Per-minute observations to one row per hour.
 
     precipitation: ``increment`` sums minute amounts; ``cumulative`` treats the
     column as a running daily total and takes the rise within the hour (the
     last value of the hour minus the last value of the previous hour of the same
-    day). feel_temp: maximum over the hour. temperature: mean. n_obs: minutes seen.
+    day). feel_temp: maximum over the hour (``feel='mean'``: the mean).
+    temperature: mean. n_obs: minutes seen.
     A column that is NULL in every minute of an hour stays NULL.
     """
     by = list(by or [])
     h = hour_of(time_col).alias(time_col)
-    aggs = [F.max("feel_temp").alias("feel_temp"),
+    if feel not in ("max", "mean"):
+        raise ValueError(feel)
+    aggs = [(F.max if feel == "max" else F.avg)("feel_temp").alias("feel_temp"),
             F.count("*").alias("n_obs")]
     if "temperature" in minute.columns:
         aggs.append(F.avg("temperature").alias("temperature"))

@@ -77,14 +77,19 @@ def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
 
 
 def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-        min_change: float = 0.0, horizon_days: int | None = None) -> DataFrame:
+        min_change: float = 0.0, horizon_days: int | None = None,
+        averaging: str = "pairs") -> DataFrame:
     """2-A: mean days until a station follows an oil rise, by brand.
 
     n_events counts (rise, station) pairs; n_responded those with a later station
     rise; avg_days averages the responded ones. Pairs still waiting at the end of
     the data are censored: counted in n_events, not in the mean; so are pairs
     whose response comes more than ``horizon_days`` after the event, if given.
+    ``averaging='pairs'`` averages over (event, station) pairs; ``'stations'``
+    averages each station's mean (stations without a response left out).
     """
+    if averaging not in ("pairs", "stations"):
+        raise ValueError(averaging)
     ev = rise_events(t, crude, min_change)
     # Per station in one pass over the panel (every station of the panel appears).
     stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", DATE,
@@ -94,9 +99,10 @@ def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
         F.count("*").alias("n_stations"),
         F.sum("n_events").cast("long").alias("n_events"),
         F.sum("n_responded").cast("long").alias("n_responded"),
-        F.sum("sum_days").cast("long").alias("sum_days"))
-    return g.select("brand", "n_stations", "n_events", "n_responded",
-                    ratio("sum_days", "n_responded").alias("avg_days"))
+        F.sum("sum_days").cast("long").alias("sum_days"),
+        F.avg(ratio("sum_days", "n_responded")).alias("station_mean_days"))
+    avg = ratio("sum_days", "n_responded") if averaging == "pairs" else F.col("station_mean_days")
+    return g.select("brand", "n_stations", "n_events", "n_responded", avg.alias("avg_days"))
 
 
 def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFrame:

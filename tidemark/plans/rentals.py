@@ -111,14 +111,19 @@ def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> Dat
         (drop * 100.0 / F.nullif(normal_rate, F.lit(0.0))).alias("pct_drop"))
 
 
-def q1b(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C, k: int = 5) -> DataFrame:
+def q1b(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C, k: int = 5,
+        order_by: str = "rate_drop") -> DataFrame:
     """1-B: the ``k`` stations whose rentals fall most in hot hours.
 
+    ``order_by``: ``rate_drop`` (rentals per hour lost) or ``pct_drop`` (share
+    lost; stations with no normal-hour rental have none and sort last).
     Empty when the period has no hot hour (a drop needs a hot hour to exist).
     Ties: station_id ascending.
     """
+    if order_by not in ("rate_drop", "pct_drop"):
+        raise ValueError(order_by)
     d = station_drop(spark, t, threshold).where(F.col("n_hot_hours") > 0)
-    return d.orderBy(F.col("rate_drop").desc(), F.col("station_id").asc()).limit(k)
+    return d.orderBy(F.col(order_by).desc_nulls_last(), F.col("station_id").asc()).limit(k)
 
 
 def class_rates(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:

@@ -165,3 +165,20 @@ def test_f8_integrity(spark):
     assert [o.rental_station_id for o in orphans] == ["Z"]
     s = quality.fk_summary({"r": (r, "rental_station_id", st, "station_id")}).first()
     assert (s.n_rows, s.n_orphans) == (2, 1)
+
+
+def test_t6_spine_between_bounds(spark):
+    from tidemark.operators.ingest import spine
+    sp = spine(spark, F.lit(h(0)), F.lit(h(5)), "1 hour", "obs_datetime")
+    assert [r.obs_datetime for r in sp.orderBy("obs_datetime").collect()] == [h(i) for i in range(6)]
+    too_long = spine(spark, F.lit(h(0)), F.lit(h(100)), "1 hour", "x", max_points=10)
+    with pytest.raises(Exception):
+        too_long.collect()
+
+
+def test_fill_gaps_guard(spark):
+    from tidemark.operators.ingest import fill_gaps
+    w = weather_df(spark, [(h(0), 0.0, 1.0), (h(50), 0.0, 1.0)])
+    assert fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"]).count() == 51
+    with pytest.raises(Exception):
+        fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"], max_points=10).collect()

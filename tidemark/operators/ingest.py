@@ -126,7 +126,8 @@ def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str,
 
 
 def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
-              until=None, out: str | None = None, source_col: str | None = None) -> DataFrame:
+              until=None, out: str | None = None, source_col: str | None = None,
+              max_points: int = MAX_SERIES_POINTS) -> DataFrame:
     """T6 + J7 in one pass: the complete axis of a series, gaps included.
 
     Each observation is expanded to every point up to the next observation (the
@@ -147,8 +148,12 @@ def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
         last = F.coalesce(last, F.greatest(F.col(time_col), until))
     else:
         last = F.coalesce(last, F.col(time_col))
-    ex = series.select(time_col, *values,
-                       F.explode(F.sequence(F.col(time_col), last, one)).alias("_t"))
+    # A gap longer than max_points (a corrupt far-future date, say) fails loudly
+    # instead of expanding without bound.
+    gap = F.sequence(F.col(time_col), last, one)
+    guarded = F.when(F.size(gap) <= max_points, gap).otherwise(
+        F.raise_error(F.lit(f"gap longer than {max_points} points")))
+    ex = series.select(time_col, *values, F.explode(guarded).alias("_t"))
     if source_col:
         cols = [F.col(v) for v in values] + [F.col(time_col).alias(source_col)]
     else:

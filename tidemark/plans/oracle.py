@@ -2,7 +2,7 @@
 
 Written from the query semantics, not from the Spark plans: where the Spark side
 uses a linear-time formulation (prefix sums for 2-A, interval expansion for J5,
-calendar fill for J7) the SQL here is the direct brute-force or ASOF-join form.
+gap filling for J7) the SQL here is the direct brute-force or ASOF-join form.
 The driver pre-registers the raw tables (events, customer, ...) as views; the
 stand-in tables are rebuilt below as CTEs.
 """

@@ -60,13 +60,6 @@ def station_rises(t) -> DataFrame:
     return station_lagged(t).withColumn("is_rise", F.coalesce(F.col("change") > 0, F.lit(False)))
 
 
-def stations_with_brand(t) -> DataFrame:
-    """Stations present in the price panel with their brand (inner join to the
-    master; orphans are reported by the FK check, not silently kept)."""
-    panel = t.gas_price.select("station_id").distinct()
-    return panel.join(t.gas_station.select("station_id", "brand"), "station_id")
-
-
 def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
                    min_change: float = 0.0, horizon_days: int | None = None) -> DataFrame:
     """J5 + P5: every (oil rise, station) pair that got a response, with the first

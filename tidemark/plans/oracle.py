@@ -326,4 +326,4 @@ GROUP BY 1"""),
 # L2 ranks the 2-A rows; same rows as 2-A plus the rank.
 ORACLE["l2"] = ORACLE["q2a"].replace(
     "SELECT sb.brand, sb.n_stations,",
-    "SELECT row_number() OVER (ORDER BY CAST(pb.sum_days AS DOUBLE) / nullif(CAST(pb.n_responded AS DOUBLE), 0) ASC NULLS LAST, sb.brand) AS speed_rank,\n       sb.brand, sb.n_stations,")
+    "SELECT CAST(row_number() OVER (ORDER BY CAST(pb.sum_days AS DOUBLE) / nullif(CAST(pb.n_responded AS DOUBLE), 0) ASC NULLS LAST, sb.brand) AS INTEGER) AS speed_rank,\n       sb.brand, sb.n_stations,")

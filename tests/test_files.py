@@ -99,6 +99,14 @@ def test_load_round_trip(spark, tmp_path):
     assert set(pk.values()) == {0}
     fk = {r.relation: r.n_orphans for r in checks["fk"].collect()}
     assert set(fk.values()) == {0}
+    audit = {r.table_name: (r.n_rows, r.matches) for r in checks["audit"].collect()}
+    assert audit["weather_minute"] == (239, None)
+    _, checks2 = L.load(spark, str(rdir), str(wdir), str(tmp_path / "oil.csv"),
+                        str(tmp_path / "gas.csv"), str(tmp_path / "tables2"),
+                        expected={"rental": 6, "weather_minute": 240},
+                        encodings={"gas": "MS949"})
+    audit2 = {r.table_name: r.matches for r in checks2["audit"].collect()}
+    assert audit2["rental"] is True and audit2["weather_minute"] is False
     bands = {r.band: r.rentals for r in run(spark, "1-A", t).collect()}
     assert sum(bands.values()) == 6
     a = run(spark, "2-A", t).collect()

@@ -26,6 +26,8 @@ def main(argv=None) -> int:
         ld.add_argument(f"--{a}-encoding")
     ld.add_argument("--precip-mode", default="increment", choices=["increment", "cumulative"])
     ld.add_argument("--weather-station")
+    ld.add_argument("--expect-published", action="store_true",
+                    help="reconcile row counts with the counts the reference publishes")
     rn = sub.add_parser("run")
     rn.add_argument("--tables", required=True)
     rn.add_argument("queries", nargs="*", default=["1-A", "1-B", "2-A", "2-B"])
@@ -38,7 +40,9 @@ def main(argv=None) -> int:
         from tidemark.plans.load import load
         enc = {k: getattr(args, f"{k}_encoding") for k in ("rentals", "weather", "oil", "gas")
                if getattr(args, f"{k}_encoding")}
+        from tidemark.schemas import PUBLISHED_COUNTS
         _, checks = load(spark, args.rentals, args.weather, args.oil, args.gas, args.out,
+                         expected=PUBLISHED_COUNTS if args.expect_published else None,
                          encoding=args.encoding, encodings=enc, precip_mode=args.precip_mode,
                          weather_station=args.weather_station)
         for name, df in checks.items():

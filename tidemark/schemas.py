@@ -54,3 +54,13 @@ FOREIGN_KEYS = [
     ("rental", "rental_station_id", "rental_station", "station_id"),
     ("gas_price", "station_id", "gas_station", "station_id"),
 ]
+
+# Row counts the reference publishes for its data
+# (rentals 2026-01..03, weather minutes at station 133 2026-01..03,
+# oil prices 2023-01-03..2026-06-04, station prices 2026-05-07..2026-06-06).
+PUBLISHED_COUNTS = {
+    "rental": 1319762,
+    "weather_minute": 129594,
+    "oil_price": 883,
+    "gas_price": 6101,
+}

@@ -182,3 +182,17 @@ def test_fill_gaps_guard(spark):
     assert fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"]).count() == 51
     with pytest.raises(Exception):
         fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"], max_points=10).collect()
+
+
+def test_2a_trading_days_over_a_weekend(spark):
+    # Oil rises on Fri; the station rises on Mon: 3 calendar days, 1 trading day.
+    fri, sat, mon = dt.date(2026, 5, 8), dt.date(2026, 5, 9), dt.date(2026, 5, 11)
+    oil = oil_df(spark, [(fri - dt.timedelta(days=1), 70.0), (fri, 71.0), (mon, 71.0)])
+    gas = gas_df(spark, [("X", fri - dt.timedelta(days=1), 100.0), ("X", fri, 100.0),
+                         ("X", sat, 100.0), ("X", mon, 101.0)])
+    st = spark.createDataFrame([("X", "P")], "station_id string, brand string")
+    t = FakeTables(oil_price=oil, gas_price=gas, gas_station=st)
+    assert prices.q2a(spark, t).first().avg_days == 3.0
+    assert prices.q2a(spark, t, unit="trading").first().avg_days == 1.0
+    p = prices.response_pairs(spark, t, unit="trading").first()
+    assert (p.event_date, p.response_date, p.response_days) == (fri, mon, 1)

@@ -55,3 +55,27 @@ def test_entry_smoke(spark):
     # sf0.001 has hours with no event: four bands including 'unobserved'.
     assert {r.band for r in rows} == {"none", "lt10", "ge10", "unobserved"}
     assert sum(r.n_hours for r in rows) == 720
+
+
+def test_trading_day_pairs_brute_force(spark, duck):
+    from tidemark.plans import prices
+    from tidemark.plans.oracle import _with
+    from tidemark.sources.testdata import Tables
+    sql = _with(["pairs", "oil"], """
+SELECT p.station_id, p.event_date, p.response_date,
+       CAST((SELECT count(*) FROM oil o WHERE o.price_date > p.event_date
+                                        AND o.price_date <= p.response_date) AS INTEGER) AS response_days
+FROM pairs p WHERE p.response_date IS NOT NULL""")
+    want = sorted(duck.execute(sql).fetchall())
+    t = Tables(spark, SF01)
+    got = sorted(tuple(r) for r in prices.response_pairs(spark, t, unit="trading").collect())
+    assert got == want
+    by_brand = {}
+    brands = dict(duck.execute("SELECT CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer").fetchall())
+    for s, _, _, dd in want:
+        n, tot = by_brand.get(brands[s], (0, 0))
+        by_brand[brands[s]] = (n + 1, tot + dd)
+    agg = {r.brand: r for r in prices.q2a(spark, t, unit="trading").collect()}
+    for b, (n, tot) in by_brand.items():
+        assert agg[b].n_responded == n
+        assert agg[b].avg_days == tot / n

@@ -76,7 +76,8 @@ def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
 
 def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
                      panel: DataFrame, key: str, date_col: str, flag: str,
-                     horizon_days: int | None = None) -> DataFrame:
+                     horizon_days: int | None = None,
+                     day_index: DataFrame | None = None) -> DataFrame:
     """J5 aggregated per key without building pairs.
 
     With C(d) = events before d and S(d) = sum of their day numbers (prefix sums
@@ -85,6 +86,10 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     days in total. C is 0 up to the first event and the total after the last. With
     ``horizon_days`` the lower end is ``max(p, r - horizon_days)``.
 
+    ``day_index`` (columns ``d``, ``idx``; a bounded daily series) replaces the
+    calendar day number, e.g. by a trading-day count, so waits are counted in its
+    unit; the horizon stays in calendar days.
+
     Returns key, n_events (all events, the same for every key), n_responded,
     sum_days for every key of ``panel``. Works in the
     panel's own window partitioning: one shuffle by key, then map-side joins to
@@ -97,10 +102,15 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     # Days up to the first event are absent (a miss reads as 0); the last event
     # covers one day, and lookups beyond it are clamped to that day.
     w = Window.partitionBy().orderBy("d")
-    evs = ev.select("d", F.row_number().over(w).cast("long").alias("c"),
-                    F.sum(epoch_day("d")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-                    .cast("long").alias("s"),
-                    F.lead("d").over(w).alias("nd"))
+    if day_index is not None:
+        idx = broadcast.series(day_index.select("d", F.col("idx").cast("long").alias("_dn")))
+        ev_num = ev.join(idx, "d", "left")
+    else:
+        ev_num = ev.withColumn("_dn", epoch_day("d"))
+    evs = ev_num.select("d", F.row_number().over(w).cast("long").alias("c"),
+                        F.sum("_dn").over(w.rowsBetween(Window.unboundedPreceding, 0))
+                        .cast("long").alias("s"),
+                        F.lead("d").over(w).alias("nd"))
     first = F.date_add(F.col("d"), 1)
     prefix = broadcast.series(evs.select(
         F.explode(F.sequence(first, F.coalesce(F.col("nd"), first))).alias("d"), "c", "s"))
@@ -123,9 +133,14 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     pr, pp = prefix.alias("pr"), prefix.alias("pp")
     j = (rows.join(pr, rows["_rk"] == F.col("pr.d"), "left")
              .join(pp, F.col("_pk") == F.col("pp.d"), "left"))
+    if day_index is not None:
+        ri = idx.select(F.col("d").alias("_ri_d"), F.col("_dn").alias("_r_dn"))
+        j = j.join(ri, F.col("r") == F.col("_ri_d"), "left")
+        r_num = F.col("_r_dn")
+    else:
+        r_num = epoch_day("r")
     n = F.coalesce(F.col("pr.c"), F.lit(0)) - F.coalesce(F.col("pp.c"), F.lit(0))
-    days = n * epoch_day("r") - (F.coalesce(F.col("pr.s"), F.lit(0))
-                                 - F.coalesce(F.col("pp.s"), F.lit(0)))
+    days = n * r_num - (F.coalesce(F.col("pr.s"), F.lit(0)) - F.coalesce(F.col("pp.s"), F.lit(0)))
     return (j.groupBy(key)
              .agg(F.sum(F.when(F.col("_is_r"), n).otherwise(0)).cast("long").alias("n_responded"),
                   F.sum(F.when(F.col("_is_r"), days).otherwise(0)).cast("long").alias("sum_days"))

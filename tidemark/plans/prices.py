@@ -16,7 +16,7 @@ from tidemark.operators import broadcast
 from tidemark.operators.aggregates import asymmetry, by_phase, ratio
 from tidemark.operators.asof import asof_fill, next_event_pairs, next_event_stats
 from tidemark.operators.correlation import lag_correlation
-from tidemark.operators.ingest import overlap
+from tidemark.operators.ingest import fill_gaps, overlap
 from tidemark.operators.reshape import crudes_long
 from tidemark.operators.windows import moving_average, with_lag
 
@@ -60,18 +60,44 @@ def station_rises(t) -> DataFrame:
     return station_lagged(t).withColumn("is_rise", F.coalesce(F.col("change") > 0, F.lit(False)))
 
 
+def trading_day_index(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
+    """(d, idx): for every calendar day from the first oil day to the last station
+    day, the number of oil trading days up to it (carried over weekends and
+    holidays). A daily series, bounded by the span."""
+    from pyspark.sql.window import Window
+    o = oil_series(t, crude).select(
+        F.col(DATE).alias("d"), F.row_number().over(Window.orderBy(DATE)).alias("idx"))
+    hi = t.gas_price.select(F.max(DATE)).scalar()
+    return fill_gaps(o, "d", "1 day", ["idx"], until=hi, source_col="_src").select("d", "idx")
+
+
+def _check_unit(unit):
+    if unit not in ("calendar", "trading"):
+        raise ValueError(unit)
+
+
 def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-                   min_change: float = 0.0, horizon_days: int | None = None) -> DataFrame:
+                   min_change: float = 0.0, horizon_days: int | None = None,
+                   unit: str = "calendar") -> DataFrame:
     """J5 + P5: every (oil rise, station) pair that got a response, with the first
-    station rise strictly after the event and the days in between."""
+    station rise strictly after the event and the days in between
+    (``unit='trading'``: oil trading days elapsed, T(response) - T(event))."""
+    _check_unit(unit)
     p = next_event_pairs(spark, rise_events(t, crude, min_change), "event_date",
                          station_rises(t), "station_id", DATE, "is_rise", horizon_days)
-    return p.withColumn("response_days", response_days("event_date", "response_date"))
+    if unit == "calendar":
+        return p.withColumn("response_days", response_days("event_date", "response_date"))
+    ix = broadcast.series(trading_day_index(t, crude))
+    e = ix.select(F.col("d").alias("event_date"), F.col("idx").alias("_ie"))
+    r = ix.select(F.col("d").alias("response_date"), F.col("idx").alias("_ir"))
+    return (p.join(e, "event_date", "left").join(r, "response_date", "left")
+             .select("station_id", "event_date", "response_date",
+                     (F.col("_ir") - F.col("_ie")).cast("int").alias("response_days")))
 
 
 def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
         min_change: float = 0.0, horizon_days: int | None = None,
-        averaging: str = "pairs") -> DataFrame:
+        averaging: str = "pairs", unit: str = "calendar") -> DataFrame:
     """2-A: mean days until a station follows an oil rise, by brand.
 
     n_events counts (rise, station) pairs; n_responded those with a later station
@@ -80,13 +106,16 @@ def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
     whose response comes more than ``horizon_days`` after the event, if given.
     ``averaging='pairs'`` averages over (event, station) pairs; ``'stations'``
     averages each station's mean (stations without a response left out).
+    ``unit='trading'`` counts the wait in oil trading days instead of calendar days.
     """
     if averaging not in ("pairs", "stations"):
         raise ValueError(averaging)
+    _check_unit(unit)
     ev = rise_events(t, crude, min_change)
     # Per station in one pass over the panel (every station of the panel appears).
     stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", DATE,
-                             "is_rise", horizon_days)
+                             "is_rise", horizon_days,
+                             trading_day_index(t, crude) if unit == "trading" else None)
     sb = stats.join(t.gas_station.select("station_id", "brand"), "station_id")
     g = sb.groupBy("brand").agg(
         F.count("*").alias("n_stations"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, DoubleType, StructType, TimestampNTZType,
+from pyspark.sql.types import (DateType, StructType, TimestampNTZType,
                                TimestampType, NumericType)
 from pyspark.sql.window import Window
 

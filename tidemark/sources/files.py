@@ -48,22 +48,18 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str],
             .csv(path))
 
 
-def _typed_subset(df: DataFrame, schema: StructType, **fmt) -> DataFrame:
-    return typed(df, schema, **fmt)
-
-
 def read_rentals(spark: SparkSession, path: str, columns=RENTAL_COLUMNS, encoding="UTF-8",
                  timestamp_format: str | None = None) -> DataFrame:
     """A folder (or glob) of rental CSV files -> rental."""
     raw = read_csv_text(spark, path, list(columns), encoding)
-    return _typed_subset(raw, schemas.RENTAL, timestamp_format=timestamp_format)
+    return typed(raw, schemas.RENTAL, timestamp_format=timestamp_format)
 
 
 def read_oil(spark: SparkSession, path: str, columns=OIL_COLUMNS, encoding="UTF-8",
              date_format: str | None = None) -> DataFrame:
     """S3: the wide oil price CSV -> oil_price."""
     raw = read_csv_text(spark, path, list(columns), encoding)
-    return _typed_subset(raw, schemas.OIL_PRICE, date_format=date_format)
+    return typed(raw, schemas.OIL_PRICE, date_format=date_format)
 
 
 def read_gas(spark: SparkSession, path: str, columns=GAS_COLUMNS, encoding="UTF-8",
@@ -73,7 +69,7 @@ def read_gas(spark: SparkSession, path: str, columns=GAS_COLUMNS, encoding="UTF-
     raw = read_csv_text(spark, path, list(columns), encoding)
     s = StructType(schemas.GAS_PRICE.fields[:1] + [StructField("brand", StringType())]
                    + schemas.GAS_PRICE.fields[1:])
-    return _typed_subset(raw, s, date_format=date_format)
+    return typed(raw, s, date_format=date_format)
 
 
 def _unzip_lines(encoding: str, header: bool):
@@ -120,5 +116,5 @@ def read_weather(spark: SparkSession, path: str, columns=WEATHER_COLUMNS, encodi
     """Per-minute weather from ZIP archives -> weather_minute."""
     lines = read_zip_lines(spark, path, encoding)
     parsed = lines.select(F.from_csv("line", text_schema(list(columns)).simpleString()).alias("r"))
-    return _typed_subset(parsed.select("r.*"), schemas.WEATHER_MINUTE,
+    return typed(parsed.select("r.*"), schemas.WEATHER_MINUTE,
                          timestamp_format=timestamp_format)

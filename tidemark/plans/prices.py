@@ -48,8 +48,10 @@ def common_period(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
 
 def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataFrame:
     """Oil rise days inside the common period (the lag itself looks back past it)."""
-    p = common_period(t, crude).select(F.struct("lo", "hi")).scalar()
-    lo, hi = p["lo"], p["hi"]
+    # Rise days are oil days, so they lie in the oil period already; the common
+    # period (T5) only adds the station panel's bounds.
+    g = t.gas_price.select(F.struct(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"))).scalar()
+    lo, hi = g["lo"], g["hi"]
     o = oil_lagged(t, crude, min_change)
     return o.where(F.col("is_rise") & (F.col(DATE) >= lo) & (F.col(DATE) <= hi)) \
             .select(F.col(DATE).alias("event_date"))

@@ -196,3 +196,11 @@ def test_2a_trading_days_over_a_weekend(spark):
     assert prices.q2a(spark, t, unit="trading").first().avg_days == 1.0
     p = prices.response_pairs(spark, t, unit="trading").first()
     assert (p.event_date, p.response_date, p.response_days) == (fri, mon, 1)
+
+
+def test_fill_gaps_tolerates_duplicate_times(spark):
+    from tidemark.operators.ingest import fill_gaps
+    w = weather_df(spark, [(h(0), 0.0, 1.0), (h(0), 1.0, 1.0), (h(3), 0.0, 1.0)])
+    got = sorted((r.obs_datetime, r.precipitation)
+                 for r in fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"]).collect())
+    assert [g[0] for g in got] == [h(0), h(0), h(1), h(2), h(3)]

@@ -150,6 +150,9 @@ def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
         last = F.coalesce(last, F.col(time_col))
     # A gap longer than max_points (a corrupt far-future date, say) fails loudly
     # instead of expanding without bound.
+    # A duplicated time (a key violation Q1 reports) must not run the sequence
+    # backwards: each duplicate then yields just its own point.
+    last = F.greatest(last, F.col(time_col))
     gap = F.sequence(F.col(time_col), last, one)
     guarded = F.when(F.size(gap) <= max_points, gap).otherwise(
         F.raise_error(F.lit(f"gap longer than {max_points} points")))

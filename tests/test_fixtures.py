@@ -204,3 +204,28 @@ def test_fill_gaps_tolerates_duplicate_times(spark):
     got = sorted((r.obs_datetime, r.precipitation)
                  for r in fill_gaps(w, "obs_datetime", "1 hour", ["precipitation"]).collect())
     assert [g[0] for g in got] == [h(0), h(0), h(1), h(2), h(3)]
+
+
+def test_1b_same_hour_baseline(spark):
+    # Day 1 00:00 is hot; day 2 00:00 and 01:00 are normal. With the same-hour
+    # baseline only day 2 00:00 is a normal hour.
+    d2 = dt.timedelta(days=1)
+    w = weather_df(spark, [(h(0), 0.0, 36.0), (h(0) + d2, 0.0, 20.0), (h(1) + d2, 0.0, 20.0)])
+    r = rental_df(spark, [("A", h(0, 5)), ("A", h(0, 6) + d2), ("A", h(0, 7) + d2),
+                          ("A", h(1, 5) + d2), ("A", h(1, 6) + d2), ("A", h(1, 7) + d2),
+                          ("A", h(1, 8) + d2)])
+    t = FakeTables(weather=w, rental=r, rental_station=stations_df(spark, ["A"]))
+    a = rentals.q1b(spark, t).first()
+    assert (a.n_normal_hours, a.normal_rentals, a.normal_rate, a.rate_drop) == (2, 6, 3.0, 2.0)
+    b = rentals.q1b(spark, t, baseline="same_hour").first()
+    assert (b.n_normal_hours, b.normal_rentals, b.normal_rate, b.rate_drop) == (1, 2, 2.0, 1.0)
+
+
+def test_2b_price_vs_ma_rule(spark):
+    oil = oil_df(spark, [(d(0), 10.0), (d(1), 20.0), (d(2), 12.0), (d(3), 14.0)])
+    t = FakeTables(oil_price=oil)
+    slope = {r.price_date: r.phase for r in prices.oil_phases(t, n=2).collect()}
+    vs = {r.price_date: r.phase for r in prices.oil_phases(t, n=2, rule="price_vs_ma").collect()}
+    # MAs: 10, 15, 16, 13.  slope: -, rising, rising, falling.  price vs MA: flat, rising, falling, rising
+    assert [slope[d(i)] for i in range(4)] == [None, "rising", "rising", "falling"]
+    assert [vs[d(i)] for i in range(4)] == ["flat", "rising", "falling", "rising"]

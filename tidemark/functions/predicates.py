@@ -40,6 +40,15 @@ def phase(ma, prev_ma) -> Column:
             .otherwise(F.lit(PHASE_FLAT)))
 
 
+def phase_vs_ma(price, ma) -> Column:
+    """P3, alternative rule: the price against its own moving average."""
+    price, ma = _c(price), _c(ma)
+    return (F.when(price.isNull() | ma.isNull(), F.lit(None).cast("string"))
+            .when(price > ma, F.lit(PHASE_RISING))
+            .when(price < ma, F.lit(PHASE_FALLING))
+            .otherwise(F.lit(PHASE_FLAT)))
+
+
 def is_rise(p, prev_p, min_change: float = 0.0) -> Column:
     """P4. Strict rise over the previous recorded value."""
     return (_c(p) - _c(prev_p)) > F.lit(float(min_change))

@@ -37,6 +37,10 @@ def q2a(spark, d):
     return prices.q2a(spark, _t(spark, d))
 
 
+def q2a_crudes(spark, d):
+    return prices.q2a_crudes(spark, _t(spark, d))
+
+
 def q2b(spark, d):
     return prices.q2b(spark, _t(spark, d))
 
@@ -190,7 +194,7 @@ def x1(spark, d):
 
 
 QUERIES: dict[str, Query] = {
-    "q1a": q1a, "q1b": q1b, "q2a": q2a, "q2b": q2b,
+    "q1a": q1a, "q1b": q1b, "q2a": q2a, "q2b": q2b, "q2a_crudes": q2a_crudes,
     "t1_weather": t1_weather, "t2_hourly": t2_hourly, "t3_master": t3_master,
     "t5_overlap": t5_overlap, "t6_spine": t6_spine,
     "q1_pk": q1_pk, "q2_fk": q2_fk, "q3_audit": q3_audit,

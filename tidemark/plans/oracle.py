@@ -327,3 +327,14 @@ GROUP BY 1"""),
 ORACLE["l2"] = ORACLE["q2a"].replace(
     "SELECT sb.brand, sb.n_stations,",
     "SELECT CAST(row_number() OVER (ORDER BY CAST(pb.sum_days AS DOUBLE) / nullif(CAST(pb.n_responded AS DOUBLE), 0) ASC NULLS LAST, sb.brand) AS INTEGER) AS speed_rank,\n       sb.brand, sb.n_stations,")
+
+
+def _q2a_for(crude: str) -> str:
+    base = ORACLE["q2a"].replace(
+        "SELECT price_date, dubai AS price FROM oil_price WHERE dubai IS NOT NULL",
+        f"SELECT price_date, {crude} AS price FROM oil_price WHERE {crude} IS NOT NULL")
+    return f"SELECT '{crude}' AS crude, x.* FROM ({base}) AS x"
+
+
+# 2-A for each crude (P7): the same SQL per crude column.
+ORACLE["q2a_crudes"] = "\nUNION ALL\n".join(_q2a_for(c) for c in ("dubai", "brent", "wti"))

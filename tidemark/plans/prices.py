@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.predicates import is_rise, phase, response_days
+from tidemark.functions.predicates import is_rise, phase, phase_vs_ma, response_days
 from tidemark.operators import broadcast
 from tidemark.operators.aggregates import asymmetry, by_phase, ratio
 from tidemark.operators.asof import asof_fill, next_event_pairs, next_event_stats
@@ -129,6 +129,15 @@ def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
     return g.select("brand", "n_stations", "n_events", "n_responded", avg.alias("avg_days"))
 
 
+def q2a_crudes(spark: SparkSession, t, **kw) -> DataFrame:
+    """2-A for each crude (P7's three columns): crude, brand, ... The station-side
+    plan is the same for every crude, so Spark reuses its exchanges."""
+    from functools import reduce
+    from tidemark.schemas import CRUDES
+    parts = [q2a(spark, t, crude=c, **kw).select(F.lit(c).alias("crude"), "*") for c in CRUDES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     """L2: brands ordered by response speed (fastest first; no response last)."""
     from pyspark.sql.window import Window
@@ -138,15 +147,20 @@ def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFra
 
 
 def oil_phases(t, crude: str = DEFAULT_CRUDE, n: int = 5, frame: str = "rows",
-               require_full: bool = False) -> DataFrame:
-    """W3 + P3: moving average of the oil price and its phase per trading day."""
+               require_full: bool = False, rule: str = "ma_slope") -> DataFrame:
+    """W3 + P3: moving average of the oil price and its phase per trading day.
+    ``rule='ma_slope'``: the MA against the previous MA; ``'price_vs_ma'``: the
+    price against its MA."""
+    if rule not in ("ma_slope", "price_vs_ma"):
+        raise ValueError(rule)
     o = moving_average(oil_series(t, crude), "price", DATE, n, frame=frame,
                        require_full=require_full)
     o = with_lag(o.withColumnRenamed("price", "oil_price").withColumnRenamed("ma", "price"),
                  "price", DATE)
+    ph = (phase("price", "prev_price") if rule == "ma_slope"
+          else phase_vs_ma("oil_price", "price"))
     return o.select(DATE, "oil_price", F.col("price").alias("ma"),
-                    F.col("prev_price").alias("prev_ma"),
-                    phase("price", "prev_price").alias("phase"))
+                    F.col("prev_price").alias("prev_ma"), ph.alias("phase"))
 
 
 def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
@@ -170,7 +184,8 @@ def station_changes_by_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
 
 
 def q2b(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
-        subject: str = "station", frame: str = "rows", require_full: bool = False) -> DataFrame:
+        subject: str = "station", frame: str = "rows", require_full: bool = False,
+        rule: str = "ma_slope") -> DataFrame:
     """2-B: do prices rise faster than they fall ("rockets and feathers")?
 
     subject='station': station price changes in rising vs falling oil phases;
@@ -179,9 +194,9 @@ def q2b(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
     """
     if subject == "station":
         ch = station_changes_by_phase(spark, t, crude, n, frame=frame,
-                                      require_full=require_full)
+                                      require_full=require_full, rule=rule)
     elif subject == "oil":
-        ph = oil_phases(t, crude, n, frame=frame, require_full=require_full)
+        ph = oil_phases(t, crude, n, frame=frame, require_full=require_full, rule=rule)
         ch = with_lag(ph.select(DATE, "oil_price", "phase"), "oil_price", DATE) \
             .where(F.col("change").isNotNull())
     else:

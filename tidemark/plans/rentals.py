@@ -57,37 +57,51 @@ def q1a(spark: SparkSession, t) -> DataFrame:
     return g.withColumn("avg_rentals", ratio("rentals", "n_hours"))
 
 
-def hour_classes(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
-    """Observed hours with their heat flag (P2): (obs_datetime, is_hot)."""
+BASELINES = ("all", "same_hour")
+
+
+def hour_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
+    """Observed hours with their heat flag (P2): (obs_datetime, is_hot).
+
+    ``baseline='all'``: every observed hour that is not hot is a normal hour.
+    ``'same_hour'``: only normal hours at an hour of day that has a hot hour
+    (a left semi join to at most 24 hours of day)."""
+    if baseline not in BASELINES:
+        raise ValueError(baseline)
     w = t.weather
-    return w.where(F.col("feel_temp").isNotNull()).select(
+    hc = w.where(F.col("feel_temp").isNotNull()).select(
         HOUR, is_hot("feel_temp", threshold).alias("is_hot"))
+    if baseline == "same_hour":
+        hods = hc.where("is_hot").select(F.hour(HOUR).alias("_hod")).distinct()
+        hc = hc.join(broadcast.series(hods), F.hour(HOUR) == F.col("_hod"), "left_semi")
+    return hc
 
 
-def rentals_in_classes(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
+def rentals_in_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
     """J2 (first half): rentals joined to their hour's class. Rentals in an
     unobserved hour have no class and drop out. The class table is one row per
     hour and broadcast; rentals stream through without a shuffle."""
     r = t.rental.withColumn(HOUR, hour_of("rental_time"))
-    return r.join(broadcast.series(hour_classes(t, threshold)), HOUR)
+    return r.join(broadcast.series(hour_classes(t, threshold, baseline)), HOUR)
 
 
-def station_heat_counts(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
+def station_heat_counts(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
     """A3: per station, rentals in hot and in normal hours (one conditional pass)."""
-    return split_counts(rentals_in_classes(t, threshold).withColumnRenamed(
+    return split_counts(rentals_in_classes(t, threshold, baseline).withColumnRenamed(
         "rental_station_id", "station_id"), "station_id", "is_hot",
         "hot_rentals", "normal_rentals")
 
 
-def exposure(t, threshold: float = HEAT_LIMIT_C) -> tuple:
+def exposure(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> tuple:
     """A7 denominators as scalar subqueries: number of hot and of normal hours."""
-    hc = hour_classes(t, threshold)
+    hc = hour_classes(t, threshold, baseline)
     tot = hc.select(F.struct(F.count_if("is_hot").alias("hot"),
                              F.count_if(~F.col("is_hot")).alias("normal"))).scalar()
     return tot["hot"], tot["normal"]
 
 
-def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
+def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C,
+                 baseline: str = "all") -> DataFrame:
     """1-B before ranking: per station, rate per hot hour, rate per normal hour,
     drop = normal rate - hot rate, pct_drop = drop / normal rate.
 
@@ -96,8 +110,8 @@ def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> Dat
     keeps a hot rate of 0: the conditional aggregate runs over all observed hours,
     not over an inner join to hot hours.
     """
-    n_hot, n_normal = exposure(t, threshold)
-    c = station_heat_counts(t, threshold)
+    n_hot, n_normal = exposure(t, threshold, baseline)
+    c = station_heat_counts(t, threshold, baseline)
     m = t.rental_station.select("station_id", "station_name")
     hot_rate = F.col("hot_rentals").cast("double") / F.nullif(n_hot.cast("double"), F.lit(0.0))
     normal_rate = (F.col("normal_rentals").cast("double")
@@ -112,17 +126,18 @@ def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C) -> Dat
 
 
 def q1b(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C, k: int = 5,
-        order_by: str = "rate_drop") -> DataFrame:
+        order_by: str = "rate_drop", baseline: str = "all") -> DataFrame:
     """1-B: the ``k`` stations whose rentals fall most in hot hours.
 
     ``order_by``: ``rate_drop`` (rentals per hour lost) or ``pct_drop`` (share
     lost; stations with no normal-hour rental have none and sort last).
+    ``baseline``: see ``hour_classes``.
     Empty when the period has no hot hour (a drop needs a hot hour to exist).
     Ties: station_id ascending.
     """
     if order_by not in ("rate_drop", "pct_drop"):
         raise ValueError(order_by)
-    d = station_drop(spark, t, threshold).where(F.col("n_hot_hours") > 0)
+    d = station_drop(spark, t, threshold, baseline).where(F.col("n_hot_hours") > 0)
     return d.orderBy(F.col(order_by).desc_nulls_last(), F.col("station_id").asc()).limit(k)
 
 

@@ -1,5 +1,6 @@
 """The hourly stream gives the batch roll-up's rows."""
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -39,3 +40,23 @@ def test_append_sink_with_checkpoint(spark, tmp_path):
     total = rentals.hourly_rentals(Tables(spark, SF01).rental).count()
     assert 0 < n <= total
     assert rows.agg(F.max("obs_datetime")).first()[0] is not None
+
+
+def test_csv_stream(spark, tmp_path):
+    src = tmp_path / "csv"
+    src.mkdir()
+    for m in range(2):
+        lines = ["id,station,time,return_station,return_time"]
+        lines += [f"{m * 10 + i},S{i % 2},2026-01-05 0{m}:{10 + i}:00,S0,2026-01-05 03:00:00"
+                  for i in range(5)]
+        (src / f"m{m}.csv").write_text("\n".join(lines) + "\n")
+    s = rental_stream(spark, str(src), fmt="csv")
+    q = (hourly_rentals_stream(s, by=["rental_station_id"]).writeStream.outputMode("complete")
+         .format("memory").queryName("csv_hourly").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM csv_hourly").collect())
+    h0, h1 = dt.datetime(2026, 1, 5, 0), dt.datetime(2026, 1, 5, 1)
+    assert got == [(h0, "S0", 3), (h0, "S1", 2), (h1, "S0", 3), (h1, "S1", 2)]

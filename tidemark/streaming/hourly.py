@@ -14,21 +14,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.ingest import typed
 from tidemark.schemas import RENTAL
 from tidemark.session import checkpoint_dir
+from tidemark.sources import files
 
 
 def rental_stream(spark: SparkSession, folder: str, fmt: str = "parquet",
-                  glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """New rental files in ``folder`` as a stream with the rental schema."""
-    r = spark.readStream.schema(RENTAL).format(fmt)
+                  glob: str | None = None, max_files_per_trigger: int | None = None,
+                  encoding: str = "UTF-8", timestamp_format: str | None = None) -> DataFrame:
+    """New rental files in ``folder`` as a stream with the rental schema.
+    Parquet files hold the rental table itself; raw CSV files are read like the
+    batch source (positional text columns, then typed)."""
+    r = spark.readStream
     if glob:
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    if fmt == "csv":
-        r = r.option("header", True)
-    return r.load(folder)
+    if fmt == "parquet":
+        return r.schema(RENTAL).parquet(folder)
+    if fmt != "csv":
+        raise ValueError(fmt)
+    raw = (r.schema(files.text_schema(files.RENTAL_COLUMNS)).option("header", True)
+           .option("encoding", encoding).csv(folder))
+    return typed(raw, RENTAL, timestamp_format=timestamp_format)
 
 
 def hourly_rentals_stream(rentals: DataFrame, time_col: str = "rental_time",

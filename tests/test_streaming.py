@@ -60,3 +60,21 @@ def test_csv_stream(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM csv_hourly").collect())
     h0, h1 = dt.datetime(2026, 1, 5, 0), dt.datetime(2026, 1, 5, 1)
     assert got == [(h0, "S0", 3), (h0, "S1", 2), (h1, "S0", 3), (h1, "S1", 2)]
+
+
+def test_weather_zip_stream_equals_batch(spark, tmp_path):
+    from tests.test_files import _raw
+    from tidemark.operators.ingest import hourly_weather
+    from tidemark.sources.files import read_weather
+    from tidemark.streaming.hourly import hourly_weather_stream, weather_stream
+    wdir, _ = _raw(tmp_path)
+    q = (hourly_weather_stream(weather_stream(spark, str(wdir))).writeStream
+         .outputMode("complete").format("memory").queryName("wx_hourly").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {tuple(r) for r in spark.sql("SELECT * FROM wx_hourly").collect()}
+    want = {(r.obs_datetime, r.precipitation, r.feel_temp, r.n_obs)
+            for r in hourly_weather(read_weather(spark, str(wdir))).collect()}
+    assert got == want and len(got) == 4

@@ -101,20 +101,29 @@ def _unzip_lines(encoding: str, header: bool):
     return run
 
 
+def zip_lines(archives: DataFrame, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
+    """(path, content) rows of ZIP archives -> (path, member, line). Works on a
+    batch or a streaming ``binaryFile`` DataFrame; one archive is read by one task."""
+    return archives.select("path", "content").mapInPandas(
+        _unzip_lines(encoding, header), "path string, member string, line string")
+
+
 def read_zip_lines(spark: SparkSession, path: str, encoding: str = "UTF-8",
                    header: bool = True, glob: str = "*.zip") -> DataFrame:
-    """Every text line of every member of every ZIP under ``path``:
-    (path, member, line). One archive is read by one task."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    return files.mapInPandas(_unzip_lines(encoding, header),
-                             "path string, member string, line string")
+    """Every text line of every member of every ZIP under ``path``."""
+    archives = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                .option("recursiveFileLookup", True).load(path))
+    return zip_lines(archives, encoding, header)
+
+
+def parse_weather_lines(lines: DataFrame, columns=WEATHER_COLUMNS,
+                        timestamp_format: str | None = None) -> DataFrame:
+    """CSV text lines -> weather_minute (parsed in the JVM by ``from_csv``)."""
+    parsed = lines.select(F.from_csv("line", text_schema(list(columns)).simpleString()).alias("r"))
+    return typed(parsed.select("r.*"), schemas.WEATHER_MINUTE, timestamp_format=timestamp_format)
 
 
 def read_weather(spark: SparkSession, path: str, columns=WEATHER_COLUMNS, encoding="UTF-8",
                  timestamp_format: str | None = None) -> DataFrame:
     """Per-minute weather from ZIP archives -> weather_minute."""
-    lines = read_zip_lines(spark, path, encoding)
-    parsed = lines.select(F.from_csv("line", text_schema(list(columns)).simpleString()).alias("r"))
-    return typed(parsed.select("r.*"), schemas.WEATHER_MINUTE,
-                         timestamp_format=timestamp_format)
+    return parse_weather_lines(read_zip_lines(spark, path, encoding), columns, timestamp_format)

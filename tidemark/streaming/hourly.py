@@ -1,4 +1,5 @@
-"""T2 as a stream: rentals per hour, per station if asked.
+"""T2 and T1 as streams: rentals per hour (per station if asked), and weather
+minutes from newly arriving ZIP archives rolled up to hours.
 
 The batch roll-up (``operators.ingest.hourly_counts``) and this stream give the
 same rows once the watermark has passed an hour. ``withWatermark`` needs a zoned
@@ -63,3 +64,30 @@ def start_hourly(spark: SparkSession, rentals: DataFrame, sink_path: str, name:
     elif trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
+
+
+# The binaryFile source's fixed schema (a stream must state it).
+BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def weather_stream(spark: SparkSession, folder: str, encoding: str = "UTF-8",
+                   glob: str = "*.zip", timestamp_format: str | None = None) -> DataFrame:
+    """New weather ZIP archives in ``folder`` as a stream of weather minutes."""
+    archives = (spark.readStream.format("binaryFile").schema(BINARY_FILE)
+                .option("pathGlobFilter", glob).load(folder))
+    return files.parse_weather_lines(files.zip_lines(archives, encoding),
+                                     timestamp_format=timestamp_format)
+
+
+def hourly_weather_stream(minutes: DataFrame, lateness: str = "2 hours") -> DataFrame:
+    """T1 over a stream (precipitation as per-minute increments): obs_datetime,
+    precipitation (sum), feel_temp (max), n_obs. A running daily total needs the
+    previous hour's value, which a windowed streaming aggregate cannot see; that
+    mode stays batch (``operators.ingest.hourly_weather``)."""
+    s = (minutes.withColumn("_ts", F.col("obs_datetime").cast("timestamp"))
+         .withWatermark("_ts", lateness))
+    g = s.groupBy(F.window("_ts", "1 hour")).agg(
+        F.sum("precipitation").alias("precipitation"), F.max("feel_temp").alias("feel_temp"),
+        F.count("*").alias("n_obs"))
+    return g.select(F.col("window.start").cast("timestamp_ntz").alias("obs_datetime"),
+                    "precipitation", "feel_temp", "n_obs")

@@ -6,6 +6,7 @@ mapping (``sources.testdata``), so its work grows with them.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,17 @@ from tidemark.sources.testdata import Tables, events, RENTAL_EVENT_TYPE
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# One Tables object per (session, dataset folder), as a user defines their tables
+# once and runs many queries on them: files are listed once per session and the
+# stand-in DataFrames (immutable) are shared by every query.
+_TABLES: "weakref.WeakKeyDictionary[SparkSession, dict[str, Tables]]" = weakref.WeakKeyDictionary()
+
+
 def _t(spark, d) -> Tables:
-    return Tables(spark, d)
+    per = _TABLES.setdefault(spark, {})
+    if d not in per:
+        per[d] = Tables(spark, d)
+    return per[d]
 
 
 def q1a(spark, d):

@@ -113,16 +113,17 @@ def station_drop(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C,
     n_hot, n_normal = exposure(t, threshold, baseline)
     c = station_heat_counts(t, threshold, baseline)
     m = t.rental_station.select("station_id", "station_name")
-    hot_rate = F.col("hot_rentals").cast("double") / F.nullif(n_hot.cast("double"), F.lit(0.0))
-    normal_rate = (F.col("normal_rentals").cast("double")
-                   / F.nullif(n_normal.cast("double"), F.lit(0.0)))
-    drop = normal_rate - hot_rate
-    return c.join(m, "station_id").select(
+    # The totals enter once, as columns; the rates are derived from the columns.
+    j = c.join(m, "station_id").select(
         "station_id", "station_name",
         n_hot.alias("n_hot_hours"), n_normal.alias("n_normal_hours"),
-        "hot_rentals", "normal_rentals",
-        hot_rate.alias("hot_rate"), normal_rate.alias("normal_rate"), drop.alias("rate_drop"),
-        (drop * 100.0 / F.nullif(normal_rate, F.lit(0.0))).alias("pct_drop"))
+        "hot_rentals", "normal_rentals")
+    hot_rate = ratio("hot_rentals", "n_hot_hours")
+    normal_rate = ratio("normal_rentals", "n_normal_hours")
+    return j.select("*", hot_rate.alias("hot_rate"), normal_rate.alias("normal_rate")) \
+            .select("*", (F.col("normal_rate") - F.col("hot_rate")).alias("rate_drop")) \
+            .select("*", (F.col("rate_drop") * 100.0
+                          / F.nullif(F.col("normal_rate"), F.lit(0.0))).alias("pct_drop"))
 
 
 def q1b(spark: SparkSession, t, threshold: float = HEAT_LIMIT_C, k: int = 5,

@@ -64,12 +64,15 @@ def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
     """
     ev, lo, hi, _ = event_span(events, event_date)
     iv = with_prev_response(panel, key, date_col, flag).where(F.col(flag))
-    start = F.greatest(F.coalesce(F.col("prev_r"), lo), lo)
+    # greatest/least skip NULLs: a missing previous response leaves the events'
+    # first day as the start. Each bound is computed once, as a column.
+    lows = [F.col("prev_r"), lo]
     if horizon_days is not None:
-        start = F.greatest(start, F.date_sub(F.col(date_col), int(horizon_days)))
-    stop = F.least(F.date_sub(F.col(date_col), 1), hi)
-    seq = F.when(start <= stop, F.sequence(start, stop))
-    days = iv.select(key, F.col(date_col).alias("r"), F.explode(seq).alias("d"))
+        lows.append(F.date_sub(F.col(date_col), int(horizon_days)))
+    bounds = iv.select(key, F.col(date_col).alias("r"), F.greatest(*lows).alias("_s"),
+                       F.least(F.date_sub(F.col(date_col), 1), hi).alias("_e"))
+    seq = F.when(F.col("_s") <= F.col("_e"), F.sequence(F.col("_s"), F.col("_e")))
+    days = bounds.select(key, "r", F.explode(seq).alias("d"))
     return (days.join(broadcast.series(ev), "d")
                 .select(key, F.col("d").alias("event_date"), F.col("r").alias("response_date")))
 
@@ -117,7 +120,7 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
 
     def clamp(c):
         # least() skips NULLs: a missing day must stay missing, not become `end`.
-        return F.when(c.isNotNull(), F.least(c, end))
+        return F.when(c.isNotNull(), F.least(c, F.col("_end")))
 
     # Events in [lower, r) answer to r. With a horizon, events more than
     # horizon_days before r are censored: the lower end moves up to r - horizon.
@@ -125,7 +128,7 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     if horizon_days is not None:
         lower = F.greatest(F.coalesce(lower, F.date_sub(F.col(date_col), int(horizon_days))),
                            F.date_sub(F.col(date_col), int(horizon_days)))
-    rows = with_prev_response(panel, key, date_col, flag).select(
+    rows = with_prev_response(panel, key, date_col, flag).withColumn("_end", end).select(
         key, F.col(date_col).alias("r"), F.col(flag).alias("_is_r"),
         F.when(F.col(flag), clamp(F.col(date_col))).alias("_rk"),
         F.when(F.col(flag), clamp(lower)).alias("_pk"))

@@ -111,3 +111,24 @@ def test_load_round_trip(spark, tmp_path):
     assert sum(bands.values()) == 6
     a = run(spark, "2-A", t).collect()
     assert [(x.brand, x.n_events) for x in a] == [("SK에너지", 2)]
+
+
+def test_command_line(tmp_path):
+    """python -m tidemark load / run in a separate process (its own session)."""
+    import os
+    import subprocess
+    import sys
+    wdir, rdir = _raw(tmp_path)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=root)
+    base = [sys.executable, "-m", "tidemark", "--master", "local[2]"]
+    out = tmp_path / "tables"
+    subprocess.run(base + ["load", "--rentals", str(rdir), "--weather", str(wdir),
+                           "--oil", str(tmp_path / "oil.csv"), "--gas", str(tmp_path / "gas.csv"),
+                           "--out", str(out), "--gas-encoding", "MS949"],
+                   check=True, env=env, cwd=root, capture_output=True, timeout=600)
+    res = subprocess.run(base + ["run", "--tables", str(out), "1-A", "2-A",
+                                 "--out", str(tmp_path / "results")],
+                         check=True, env=env, cwd=root, capture_output=True, text=True, timeout=600)
+    assert "== 1-A" in res.stdout and "== 2-A" in res.stdout
+    assert (tmp_path / "results" / "2-A").exists()

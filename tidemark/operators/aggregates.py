@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.time import _c
+
 
 def ratio(num, den):
-    """num / den as double; NULL when den is 0 or NULL (never an ANSI error)."""
-    return F.col(num).cast("double") / F.nullif(F.col(den).cast("double"), F.lit(0.0)) \
-        if isinstance(num, str) else num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0))
+    """num / den as double; NULL when den is 0 or NULL (never an ANSI error).
+    Both arguments are column names or Columns."""
+    return _c(num).cast("double") / F.nullif(_c(den).cast("double"), F.lit(0.0))
 
 
 def split_counts(df: DataFrame, key: str, flag: str, yes: str, no: str) -> DataFrame:

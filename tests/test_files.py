@@ -125,7 +125,8 @@ def test_command_line(tmp_path):
     out = tmp_path / "tables"
     subprocess.run(base + ["load", "--rentals", str(rdir), "--weather", str(wdir),
                            "--oil", str(tmp_path / "oil.csv"), "--gas", str(tmp_path / "gas.csv"),
-                           "--out", str(out), "--gas-encoding", "MS949"],
+                           "--out", str(out), "--gas-encoding", "MS949",
+                           "--oil-columns", "price_date,dubai,brent,wti"],
                    check=True, env=env, cwd=root, capture_output=True, timeout=600)
     res = subprocess.run(base + ["run", "--tables", str(out), "1-A", "2-A",
                                  "--out", str(tmp_path / "results")],

@@ -2,6 +2,7 @@
 
   python -m tidemark load --rentals DIR --weather DIR --oil FILE --gas FILE --out DIR
          [--encoding UTF-8] [--gas-encoding MS949] [--precip-mode increment|cumulative]
+         [--rentals-columns a,b,c ...] [--timestamp-format 'yyyy-MM-dd HH:mm']
   python -m tidemark run --tables DIR [1-A 1-B 2-A 2-B] [--out DIR]
 
 On a cluster, launch it with spark-submit; the master comes from the launcher.
@@ -24,6 +25,8 @@ def main(argv=None) -> int:
     ld.add_argument("--encoding", default="UTF-8")
     for a in ("rentals", "weather", "oil", "gas"):
         ld.add_argument(f"--{a}-encoding")
+        ld.add_argument(f"--{a}-columns", help="column names in file order, comma separated")
+    ld.add_argument("--timestamp-format", help="e.g. 'yyyy-MM-dd HH:mm'")
     ld.add_argument("--precip-mode", default="increment", choices=["increment", "cumulative"])
     ld.add_argument("--weather-station")
     ld.add_argument("--expect-published", action="store_true",
@@ -41,10 +44,13 @@ def main(argv=None) -> int:
         enc = {k: getattr(args, f"{k}_encoding") for k in ("rentals", "weather", "oil", "gas")
                if getattr(args, f"{k}_encoding")}
         from tidemark.schemas import PUBLISHED_COUNTS
+        cols = {k: getattr(args, f"{k}_columns").split(",")
+                for k in ("rentals", "weather", "oil", "gas") if getattr(args, f"{k}_columns")}
         _, checks = load(spark, args.rentals, args.weather, args.oil, args.gas, args.out,
                          expected=PUBLISHED_COUNTS if args.expect_published else None,
-                         encoding=args.encoding, encodings=enc, precip_mode=args.precip_mode,
-                         weather_station=args.weather_station)
+                         encoding=args.encoding, encodings=enc, columns=cols,
+                         precip_mode=args.precip_mode, weather_station=args.weather_station,
+                         timestamp_format=args.timestamp_format)
         for name, df in checks.items():
             print(f"== check {name}")
             df.show(truncate=False)

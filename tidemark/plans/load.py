@@ -20,19 +20,24 @@ def build_tables(spark: SparkSession, rentals: str, weather: str, oil: str, gas:
                  encoding: str = "UTF-8", precip_mode: str = "increment",
                  weather_station: str | None = None,
                  timestamp_format: str | None = None,
-                 encodings: dict[str, str] | None = None) -> dict[str, DataFrame]:
+                 encodings: dict[str, str] | None = None,
+                 columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
     """The six tables from the raw files, lazily. ``encodings`` overrides the
-    encoding per source: keys rentals, weather, oil, gas (e.g. gas='MS949')."""
+    encoding per source: keys rentals, weather, oil, gas (e.g. gas='MS949');
+    ``columns`` overrides a source's column layout (names in file order)."""
     enc = {k: encoding for k in ("rentals", "weather", "oil", "gas")}
     enc.update(encodings or {})
-    rental = files.read_rentals(spark, rentals, encoding=enc["rentals"],
+    cols = {"rentals": files.RENTAL_COLUMNS, "weather": files.WEATHER_COLUMNS,
+            "oil": files.OIL_COLUMNS, "gas": files.GAS_COLUMNS}
+    cols.update(columns or {})
+    rental = files.read_rentals(spark, rentals, cols["rentals"], encoding=enc["rentals"],
                                 timestamp_format=timestamp_format)
-    minute = files.read_weather(spark, weather, encoding=enc["weather"],
+    minute = files.read_weather(spark, weather, cols["weather"], encoding=enc["weather"],
                                 timestamp_format=timestamp_format)
     if weather_station is not None:
         minute = minute.where(F.col("station_id") == weather_station)
     hourly = hourly_weather(minute, "obs_datetime", precip_mode)
-    gas_raw = files.read_gas(spark, gas, encoding=enc["gas"])
+    gas_raw = files.read_gas(spark, gas, cols["gas"], encoding=enc["gas"])
     # Masters: no station file exists, so each is derived from its fact (T3);
     # the latest brand of a station wins.
     rental_station = station_master(rental, "rental_station_id", "rental_time") \
@@ -43,7 +48,7 @@ def build_tables(spark: SparkSession, rentals: str, weather: str, oil: str, gas:
         "rental": rental,
         "weather_minute": minute,
         "weather": hourly.select(*schemas.WEATHER.fieldNames()),
-        "oil_price": files.read_oil(spark, oil, encoding=enc["oil"]),
+        "oil_price": files.read_oil(spark, oil, cols["oil"], encoding=enc["oil"]),
         "gas_price": gas_raw.select(*schemas.GAS_PRICE.fieldNames()),
         "rental_station": rental_station,
         "gas_station": gas_station,

@@ -125,3 +125,25 @@ def test_2a_horizon_is_a_filter_on_pairs(spark):
     full = {tuple(r) for r in prices.response_pairs(spark, t).collect()}
     h3 = {tuple(r) for r in prices.response_pairs(spark, t, horizon_days=3).collect()}
     assert h3 == {r for r in full if r[3] <= 3}
+
+
+AGGREGATES = ("HashAggregate", "SortAggregate", "ObjectHashAggregate")
+
+
+@pytest.mark.parametrize("key", sorted(QUERIES))
+def test_every_hash_shuffle_is_pre_aggregated(spark, key):
+    """Pre-aggregate before shuffling: below every hash exchange (through
+    projections and filters only) sits an aggregate, so no query shuffles raw
+    fact rows and a hot key is combined map-side."""
+    nodes = _tree(QUERIES[key](spark, SF01))
+    for i, (depth, name, arg) in enumerate(nodes):
+        if name != "Exchange" or "hashpartitioning" not in arg:
+            continue
+        child = None
+        for d2, n2, _ in nodes[i + 1:]:
+            if d2 <= depth:
+                break
+            if n2 not in ("Project", "Filter"):
+                child = n2
+                break
+        assert child in AGGREGATES, (key, arg.splitlines()[0], child)

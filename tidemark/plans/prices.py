@@ -20,22 +20,26 @@ from tidemark.operators.correlation import lag_correlation
 from tidemark.operators.ingest import fill_gaps, overlap
 from tidemark.operators.reshape import crudes_long
 from tidemark.operators.windows import moving_average, with_lag
+from tidemark.plans.memo import per_tables
 
 DATE = "price_date"
 DEFAULT_CRUDE = "dubai"
 
 
+@per_tables
 def oil_series(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     """One crude as (price_date, price)."""
     return t.oil_price.select(DATE, F.col(crude).alias("price")).where("price IS NOT NULL")
 
 
+@per_tables
 def oil_lagged(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataFrame:
     """W1 + P4: the oil series with its previous trading day and the rise flag."""
     o = with_lag(oil_series(t, crude), "price", DATE)
     return o.withColumn("is_rise", is_rise("price", "prev_price", min_change))
 
 
+@per_tables
 def station_lagged(t) -> DataFrame:
     """W2 + P6: each station's price with its previous recorded price."""
     g = with_lag(t.gas_price.select("station_id", DATE, "price"), "price", DATE, by=["station_id"])
@@ -47,6 +51,7 @@ def common_period(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     return overlap(oil_series(t, crude), DATE, t.gas_price, DATE)
 
 
+@per_tables
 def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataFrame:
     """Oil rise days inside the common period (the lag itself looks back past it)."""
     # Rise days are oil days, so they lie in the oil period already; the common
@@ -58,11 +63,13 @@ def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataF
             .select(F.col(DATE).alias("event_date"))
 
 
+@per_tables
 def station_rises(t) -> DataFrame:
     """The station panel with ``is_rise``: price above its previous recorded price."""
     return station_lagged(t).withColumn("is_rise", F.coalesce(F.col("change") > 0, F.lit(False)))
 
 
+@per_tables
 def trading_day_index(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     """(d, idx): for every calendar day from the first oil day to the last station
     day, the number of oil trading days up to it (carried over weekends and
@@ -145,6 +152,7 @@ def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFra
     return a.withColumn("speed_rank", F.row_number().over(w)).orderBy("speed_rank")
 
 
+@per_tables
 def oil_phases(t, crude: str = DEFAULT_CRUDE, n: int = 5, frame: str = "rows",
                require_full: bool = False, rule: str = "ma_slope") -> DataFrame:
     """W3 + P3: moving average of the oil price and its phase per trading day.

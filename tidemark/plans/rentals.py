@@ -15,6 +15,7 @@ from tidemark.functions.time import hour_of
 from tidemark.operators import broadcast
 from tidemark.operators.aggregates import ratio, split_counts
 from tidemark.operators.ingest import fill_gaps, hourly_counts
+from tidemark.plans.memo import per_tables
 
 HOUR = "obs_datetime"
 
@@ -60,6 +61,7 @@ def q1a(spark: SparkSession, t) -> DataFrame:
 BASELINES = ("all", "same_hour")
 
 
+@per_tables
 def hour_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
     """Observed hours with their heat flag (P2): (obs_datetime, is_hot).
 
@@ -92,6 +94,7 @@ def station_heat_counts(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all
         "hot_rentals", "normal_rentals")
 
 
+@per_tables
 def exposure(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> tuple:
     """A7 denominators as scalar subqueries: number of hot and of normal hours."""
     hc = hour_classes(t, threshold, baseline)

@@ -133,3 +133,16 @@ def test_command_line(tmp_path):
                          check=True, env=env, cwd=root, capture_output=True, text=True, timeout=600)
     assert "== 1-A" in res.stdout and "== 2-A" in res.stdout
     assert (tmp_path / "results" / "2-A").exists()
+
+
+def test_zip_member_in_cp949(spark, tmp_path):
+    wdir = tmp_path / "w949"
+    wdir.mkdir()
+    body = "\n".join([HEADER_W, "133,2026-01-05 00:00,1.5,0.5,50,30",
+                      "133,2026-01-05 00:01,1.5,,50,31"]) + "\n"
+    with zipfile.ZipFile(wdir / "m.zip", "w") as z:
+        z.writestr("minutes.csv", body.encode("cp949"))
+    m = files.read_weather(spark, str(wdir), encoding="MS949").orderBy("obs_datetime").collect()
+    assert [(r.precipitation, r.feel_temp) for r in m] == [(0.5, 30.0), (None, 31.0)]
+    names = [r.member for r in files.read_zip_lines(spark, str(wdir), encoding="MS949").collect()]
+    assert len(names) == 2

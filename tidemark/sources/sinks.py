@@ -31,6 +31,8 @@ class ParquetTables:
         if name.startswith("_") or name not in schemas.TABLES:
             raise AttributeError(name)
         if name not in self._memo:
-            df = self.spark.read.parquet(f"{self.root}/{name}")
+            # Declared schema: no footer sampling; partition folders (rental_date,
+            # price_month) are still discovered, then projected away.
+            df = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{name}")
             self._memo[name] = df.select(*schemas.TABLES[name].fieldNames())
         return self._memo[name]

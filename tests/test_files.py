@@ -107,8 +107,13 @@ def test_load_round_trip(spark, tmp_path):
                         encodings={"gas": "MS949"})
     audit2 = {r.table_name: r.matches for r in checks2["audit"].collect()}
     assert audit2["rental"] is True and audit2["weather_minute"] is False
-    bands = {r.band: r.rentals for r in run(spark, "1-A", t).collect()}
+    q = run(spark, "1-A", t)
+    bands = {r.band: r.rentals for r in q.collect()}
     assert sum(bands.values()) == 6
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    import re
+    # Days outside the weather period are pruned from the scan.
+    assert re.search(r"PartitionFilters: \[[^\]]*rental_date", plan), plan
     a = run(spark, "2-A", t).collect()
     assert [(x.brand, x.n_events) for x in a] == [("SK에너지", 2)]
 

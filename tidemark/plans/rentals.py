@@ -31,6 +31,20 @@ def hour_spine(spark: SparkSession, weather: DataFrame) -> DataFrame:
     return weather_axis(weather).select(HOUR)
 
 
+def period_rentals(t) -> DataFrame:
+    """Rentals that can meet an observed hour. On tables partitioned by day
+    (``rental_date``), whole days outside the weather period are skipped: the
+    bounds are a scalar subquery, which Spark applies as a partition filter at run
+    time. Without that column the rentals are returned as they are (the hour
+    joins drop out-of-period rentals either way)."""
+    r = t.rental
+    if "rental_date" not in r.columns:
+        return r
+    b = t.weather.select(F.struct(F.min(HOUR).cast("date").alias("lo"),
+                                  F.max(HOUR).cast("date").alias("hi"))).scalar()
+    return r.where(F.col("rental_date").between(b["lo"], b["hi"]))
+
+
 def hourly_rentals(rental: DataFrame) -> DataFrame:
     """(obs_datetime, n_rentals)."""
     return hourly_counts(rental, "rental_time", HOUR, "n_rentals")
@@ -39,7 +53,7 @@ def hourly_rentals(rental: DataFrame) -> DataFrame:
 def hours_with_rentals(spark: SparkSession, t) -> DataFrame:
     """Every hour of the spine with its weather (NULL if unobserved) and its
     rental count (0 if none). The hour is the kept side of both LEFT joins."""
-    r = hourly_rentals(t.rental)
+    r = hourly_rentals(period_rentals(t))
     return (weather_axis(t.weather)
             .join(broadcast.series(r), HOUR, "left")
             .select(HOUR, "precipitation", "feel_temp",
@@ -83,7 +97,7 @@ def rentals_in_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all"
     """J2 (first half): rentals joined to their hour's class. Rentals in an
     unobserved hour have no class and drop out. The class table is one row per
     hour and broadcast; rentals stream through without a shuffle."""
-    r = t.rental.withColumn(HOUR, hour_of("rental_time"))
+    r = period_rentals(t).withColumn(HOUR, hour_of("rental_time"))
     return r.join(broadcast.series(hour_classes(t, threshold, baseline)), HOUR)
 
 
@@ -150,7 +164,7 @@ def class_rates(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
     hour_class, n_hours, rentals, rate."""
     hc = hour_classes(t, threshold)
     hours = hc.groupBy("is_hot").agg(F.count("*").alias("n_hours"))
-    rentals = hourly_rentals(t.rental)
+    rentals = hourly_rentals(period_rentals(t))
     per = (hc.join(broadcast.series(rentals), HOUR, "left")
              .groupBy("is_hot").agg(F.coalesce(F.sum("n_rentals"), F.lit(0)).cast("long")
                                     .alias("rentals")))

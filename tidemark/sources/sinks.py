@@ -32,7 +32,9 @@ class ParquetTables:
             raise AttributeError(name)
         if name not in self._memo:
             # Declared schema: no footer sampling; partition folders (rental_date,
-            # price_month) are still discovered, then projected away.
+            # price_month) are still discovered.
             df = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{name}")
-            self._memo[name] = df.select(*schemas.TABLES[name].fieldNames())
+            # Day partitions stay visible so queries can prune on them.
+            keep = [c for c in ("rental_date",) if c in df.columns]
+            self._memo[name] = df.select(*schemas.TABLES[name].fieldNames(), *keep)
         return self._memo[name]

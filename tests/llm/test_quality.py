@@ -59,5 +59,5 @@ def test_thresholds_and_verdict(spark):
     assert not got[5000].kept and not got[5001].kept and got[5002].kept
     assert all(got[i].kept == (i % 5 != 0) for i in range(3000))
     none = quality.judge(docs, lab.limit(0))
-    assert none.where("kept != not base_failed").count() == 0 and none.count() == len(rows)
+    assert none.where("kept = base_failed").count() == 0 and none.count() == len(rows)
     assert quality.judge(docs.limit(0), lab).count() == 0

@@ -130,3 +130,25 @@ def alnum_words(text: str | None) -> list[bytes]:
     if not text:
         return []
     return text.encode("utf-8", "surrogatepass").translate(ALNUM_FOLD).split()
+
+
+#: Bits of a presence filter: fixed, so its broadcast (16 MB) does not grow with the data.
+PRESENCE_BITS = 27
+
+
+def presence(df: DataFrame, col: str):
+    """Broadcast bitmap of the low bits of the (uniform) hashes in ``col``. It may report a hash
+    that is absent, never miss one that is there: use it only to spare work."""
+    slot = F.col(col).bitwiseAND(F.lit((1 << PRESENCE_BITS) - 1)) + 1            # Spark counts bits from 1
+    pieces = (df.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k"))
+              .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).toLocalIterator())
+    bits = bytearray((1 << PRESENCE_BITS) // 8)
+    for r in pieces:
+        bits[(r.k - 1) * 4096:r.k * 4096] = bytes(r.bits)
+    return df.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
+def is_present(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (64-bit, either sign) a presence bitmap may hold."""
+    slot = hashes.view(U64) & U64((1 << PRESENCE_BITS) - 1)
+    return (np.frombuffer(bits, np.uint8)[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1

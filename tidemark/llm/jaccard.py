@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import U64, mix64, prefix_hash, span_hash, stage_table, word_spans
+from tidemark.llm.common import U64, is_present, mix64, prefix_hash, presence, span_hash, stage_table, word_spans
 from tidemark.llm.graph import connected
 
 DIMS = 16
@@ -35,8 +35,6 @@ DIMS = 16
 BAND_GROWTH, SMALL = 1.6, 64
 #: Members of one R-tree block.
 BLOCK = 2048
-#: Bits of the presence filter that spares sending sets nobody needs; it only lets more through when full.
-FILTER_BITS = 27
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -162,26 +160,21 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """sid, n, point, items of the sets named by the documents in ``needed`` (id_col, sid)."""
-    slot = lambda: F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS))
-    # a presence bitmap of fixed size: 2**FILTER_BITS bits in pieces of 32768 (bits are counted from 1)
-    bits = (needed.select((slot() + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")).collect())
-    pieces = docs.sparkSession.sparkContext.broadcast({r.k: bytes(r.bits) for r in bits})
+    filter_ = presence(needed.select(F.xxhash64(id_col).alias("h")), "h")
 
     def run(batches):
         for b in batches:
+            keep = is_present(filter_.value, b.column(1).to_numpy())
             out = []
-            for i, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                piece = pieces.value.get(s // 32768 + 1)
-                if piece and piece[s % 32768 // 8] >> (s % 8) & 1:
-                    h = shingles(t.as_py(), width)
-                    if len(h):
-                        out.append((set_id(h), len(h), point_of(h), h.view(np.int64)))
+            for k in np.flatnonzero(keep).tolist():
+                h = shingles(b.column(2)[k].as_py(), width)
+                if len(h):
+                    out.append((set_id(h), len(h), point_of(h), h.view(np.int64)))
             sid, n, point, items = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.list_(pa.int64())),
                                               pa.array(items, pa.list_(pa.int64()))], ["sid", "n", "point", "items"])
 
-    sets = docs.select(id_col, slot().alias("_slot"), text_col).mapInArrow(run, "sid long, n long, point array<long>, items array<long>")
+    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, point array<long>, items array<long>")
     return sets.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import U64, is_present, mix64, prefix_hash, presence, span_hash, stage_table
 
@@ -140,10 +141,9 @@ def covered(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
             return span_hash(prefix, at, at + length).view(np.int64), np.repeat(t, n), np.full(len(at), row), at.astype(np.int32)
 
     each = _scan(texts, strings, "string long, triple long, row long, at int")
-    # adjacent equal strings: all positions of a string that stands more than once
-    each = stage_table(each, "suffix-strings")
-    twice = each.groupBy("string", "triple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string", "triple")
-    single = each.join(twice, ["string", "triple"], "left_semi").select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    # equal strings stand side by side: all positions of a string that stands more than once, in one shuffle
+    n = F.count(F.lit(1)).over(Window.partitionBy("string", "triple"))
+    single = each.withColumn("n", n).where("n > 1").select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return full.union(single).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))   # one text's positions at most
 
 

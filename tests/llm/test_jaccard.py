@@ -60,8 +60,8 @@ def test_linked_sets_share_a_key():
 
 def test_tree_finds_all_within_bound():
     rng = np.random.default_rng(3)
-    p = rng.poisson(rng.choice([2, 6, 9], (700, 1)), (700, jac.DIMS))
-    s = p.sum(axis=1)
+    p = rng.poisson(rng.choice([0.2, 2, 3], (700, 1)), (700, jac.DIMS)).astype(np.uint16)
+    s = p.sum(axis=1, dtype=np.int64)
     tree = jac.RTree(p, s, 85)
     for i in range(0, 700, 7):
         want = np.flatnonzero(185 * np.minimum(p, p[i]).sum(axis=1) >= 85 * (s + s[i]))

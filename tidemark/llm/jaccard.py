@@ -11,8 +11,8 @@ shingles are hashed into groups in two ways:
 * Points. The counts of ``DIMS`` groups make a point; the summed minima of two points'
   coordinates bound the overlap of the sets from above.
 
-Under each key every set is first compared with the key's smallest set (a star, so a
-group of copies costs one comparison a member). Keys whose sets are then still in
+Under each key every set is first compared with the set that meets most others (a star, so
+a group of copies costs one comparison a member). Keys whose sets are then still in
 different components are packed into R-trees of points, in blocks of bounded size; a
 search descends only into boxes whose bound reaches the overlap needed. Pairs that
 survive a bound are verified on the whole sets.
@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import U64, is_present, mix64, prefix_hash, presence, span_hash, stage_table, word_spans
 from tidemark.llm.graph import connected
 
-DIMS = 16
+DIMS = 256
 #: Growth of size bands, and the set size up to which a band is filed by smallest hashes.
 BAND_GROWTH, SMALL = 1.6, 64
 #: Members of one R-tree block.
@@ -101,7 +101,14 @@ def keys_of(h: np.ndarray, percent: int) -> np.ndarray:
 
 
 def point_of(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h >> U64(60)).astype(np.int64), minlength=DIMS)
+    return np.bincount((h >> U64(56)).astype(np.int64), minlength=DIMS)
+
+
+def pack(point: np.ndarray) -> bytes:
+    """Counts as 16-bit numbers; a count beyond them (a set of 16 million shingles) is an error, not a wrong bound."""
+    if point.max(initial=0) > 65535:
+        raise ValueError("a count point holds 65535 at most; use more dimensions")
+    return point.astype("<u2").tobytes()
 
 
 class RTree:
@@ -131,7 +138,7 @@ class RTree:
         for k in range(len(self.levels) - 1, -1, -1):
             p, s = self.levels[k]
             at = at[at < len(s)]
-            fits = (100 + self.percent) * np.minimum(p[at], q).sum(axis=1) >= self.percent * (size + s[at])
+            fits = (100 + self.percent) * np.minimum(p[at], q).sum(axis=1, dtype=np.int64) >= self.percent * (size + s[at])
             at = at[fits]
             if k:
                 at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
@@ -169,12 +176,12 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
             for k in np.flatnonzero(keep).tolist():
                 h = shingles(b.column(2)[k].as_py(), width)
                 if len(h):
-                    out.append((set_id(h), len(h), point_of(h), h.view(np.int64)))
+                    out.append((set_id(h), len(h), pack(point_of(h)), h.view(np.int64)))
             sid, n, point, items = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.list_(pa.int64())),
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.binary()),
                                               pa.array(items, pa.list_(pa.int64()))], ["sid", "n", "point", "items"])
 
-    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, point array<long>, items array<long>")
+    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, point binary, items array<long>")
     return sets.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -183,14 +190,25 @@ def _enough(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: bounded by the points first, then by the whole sets."""
-    side = lambda c, *cols: sets.select(F.col("sid").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in cols])
-    bound = F.aggregate(F.zip_with("a_point", "b_point", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    hopeful = (pairs.join(side("a", "n", "point"), "a").join(side("b", "n", "point"), "b")
-               .where(_enough(bound, F.col("a_n"), F.col("b_n"), percent)).select("a", "b"))
+    """The pairs (a, b) that link, by their whole sets."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("items").alias(f"{c}_items"))
     overlap = F.size(F.array_intersect("a_items", "b_items"))
-    return (hopeful.join(side("a", "n", "items"), "a").join(side("b", "n", "items"), "b")
-            .where(_enough(overlap, F.col("a_n"), F.col("b_n"), percent)).select("a", "b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(overlap, F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+
+
+def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow the overlap needed."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p"))
+
+    def run(batches):
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(4).to_numpy()
+            p, q = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, DIMS) for c in (b.column(3), b.column(5)))
+            fits = (100 + percent) * np.minimum(p, q).sum(axis=1, dtype=np.int64) >= percent * n
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_p", "b_n", "b_p")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +225,8 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("sid", kind="stable", ignore_index=True)
         sid, root = pdf["sid"].to_numpy(), pdf["root"].to_numpy()
-        points, sizes = np.stack(pdf["point"].to_numpy()), pdf["n"].to_numpy()
+        points = np.frombuffer(b"".join(pdf["point"]), "<u2").reshape(len(sid), DIMS)
+        sizes = pdf["n"].to_numpy()
         tree, left, right = RTree(points, sizes, percent), [], []
         for i in range(len(sid)):
             got = tree.search(points[i], int(sizes[i]))
@@ -227,17 +246,22 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     repeat an id count as one document's rows; other columns are not read; an empty table gives none."""
     filed = stage_table(_filed(docs, width, percent, id_col, text_col), "jaccard-filed")
     per_key = Window.partitionBy("key")
-    keyed = (filed.where("keys is not null").select("sid", F.explode("keys").alias("key"))
-             .withColumn("pivot", F.min("sid").over(per_key)).withColumn("last", F.max("sid").over(per_key))
-             .where("pivot <> last").select("key", "sid", "pivot"))
-    keyed = stage_table(keyed, "jaccard-keyed")
+    met = (filed.where("keys is not null").select("sid", F.explode("keys").alias("key"))
+           .withColumn("lo", F.min("sid").over(per_key)).withColumn("hi", F.max("sid").over(per_key))
+           .withColumn("m", F.count(F.lit(1)).over(per_key)).where("lo <> hi").select("key", "sid", "m"))
+    met = stage_table(met, "jaccard-met")
+    # the star's centre under a key is the set that meets most others: in a group of copies, the one nearest to all
+    degree = met.groupBy("sid").agg(F.sum("m").alias("degree"))
+    ranked = met.join(degree, "sid").select("key", "sid", "degree")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot"))
+    keyed = stage_table(ranked.select("key", "sid").join(centre, "key"), "jaccard-keyed")
     wanted = keyed.select("sid").distinct()
     needed = (filed.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias(id_col)).join(wanted, "sid", "left_semi"))
     needed = stage_table(needed, "jaccard-needed")
     sets = stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets")
 
     stars = keyed.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    roots = connected(_verify(stars, sets, percent))
+    roots = connected(_verify(_bounded(stars, sets, percent), sets, percent))
     named = keyed.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select(
         "key", "sid", "pivot", F.coalesce("root", "sid").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),

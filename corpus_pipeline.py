@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each component of five-word shingle sets with a
     similarity of 0.8 or more. Rows that repeat an id stay or go together; a null id stays."""
-    found = jaccard.components(docs, width=5, percent=80)
+    found = jaccard.components(docs, width=5, percent=80)     # its own columns only: the texts join once, below
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -19,7 +19,13 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 ASCII_SPACE = "\x20\x09-\x0D"
 
 
+#: Rows and bytes of one Arrow batch: texts are long, so a Python worker holds few at once.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for k, v in ARROW_BATCH.items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

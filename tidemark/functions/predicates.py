@@ -18,17 +18,19 @@ PHASE_RISING, PHASE_FALLING, PHASE_FLAT = "rising", "falling", "flat"
 
 
 def precip_band(p, limit: float = BAND_LIMIT_MM) -> Column:
-    """P1. A missing observation gets its own band, never ``none``."""
+    """P1. A missing observation (NULL, not a number, or a negative error code) gets its
+    own band, never ``none``."""
     p = _c(p)
-    return (F.when(p.isNull(), F.lit(BAND_UNOBSERVED))
-            .when(p <= 0, F.lit(BAND_NONE))
+    return (F.when(p.isNull() | F.isnan(p) | (p < 0), F.lit(BAND_UNOBSERVED))
+            .when(p == 0, F.lit(BAND_NONE))
             .when(p < limit, F.lit(BAND_LT10))
             .otherwise(F.lit(BAND_GE10)))
 
 
 def is_hot(t, limit: float = HEAT_LIMIT_C) -> Column:
-    """P2. NULL (unobserved) stays NULL."""
-    return _c(t) >= F.lit(float(limit))
+    """P2. NULL (unobserved) stays NULL, and so does a value that is no number."""
+    t = _c(t)
+    return F.when(~F.isnan(t), t >= F.lit(float(limit)))
 
 
 def phase(ma, prev_ma) -> Column:

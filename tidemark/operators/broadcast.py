@@ -15,9 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest series length accepted for a hinted broadcast (rows); ten years of hours.
-MAX_SERIES_POINTS = 10 * 366 * 24
-
 
 def series(df: DataFrame) -> DataFrame:
     """Mark a time-grain series (bounded by its span) for broadcast."""

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (DateType, StructType, TimestampNTZType,
+from pyspark.sql.types import (DateType, FractionalType, StructType, TimestampNTZType,
                                TimestampType, NumericType)
 from pyspark.sql.window import Window
 
 from tidemark.functions.time import day_of, hour_of
-from tidemark.operators.broadcast import MAX_SERIES_POINTS
 
 
 def hourly_weather(minute: DataFrame, time_col: str = "obs_datetime",
@@ -89,6 +88,9 @@ def typed(df: DataFrame, schema: StructType, timestamp_format: str | None = None
             v = F.try_to_date(raw, date_format) if date_format else F.try_to_date(raw)
         elif isinstance(t, NumericType):
             v = F.regexp_replace(raw, ",", "").try_cast(t)
+            if isinstance(t, FractionalType):     # text such as NaN or Infinity is no reading
+                d = v.cast("double")
+                v = F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), v)
         else:
             v = raw.try_cast(t)
         cols.append(v.alias(f.name))
@@ -111,23 +113,18 @@ def overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
                      F.least(F.col("hi"), rb["hi"]).alias("hi"))
 
 
-def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str,
-          max_points: int = MAX_SERIES_POINTS) -> DataFrame:
+def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str) -> DataFrame:
     """Every point from ``lo`` to ``hi`` (inclusive) at ``step`` ("1 hour", "1 day").
 
     ``lo``/``hi`` are usually scalar subqueries over the data, so the spine follows
-    the data's span. The span is checked: a spine longer than ``max_points`` fails
-    instead of silently becoming a large broadcast.
+    the data's span. A NULL bound gives no points.
     """
     seq = spark.range(1).select(F.sequence(lo, hi, F.expr(f"INTERVAL {step}")).alias("_s"))
-    guarded = F.when(F.size("_s") <= max_points, F.col("_s")).otherwise(
-        F.raise_error(F.lit(f"spine longer than {max_points} points")))
-    return seq.select(F.explode(guarded).alias(name))
+    return seq.select(F.explode("_s").alias(name))
 
 
 def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
-              until=None, out: str | None = None, source_col: str | None = None,
-              max_points: int = MAX_SERIES_POINTS) -> DataFrame:
+              until=None, out: str | None = None, source_col: str | None = None) -> DataFrame:
     """T6 + J7 in one pass: the complete axis of a series, gaps included.
 
     Each observation is expanded to every point up to the next observation (the
@@ -137,26 +134,23 @@ def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
     rows get NULL values instead (a plain spine left-joined to the series).
 
     The series is ordered in one window partition: it must be a time-grain series
-    (one row per hour or day of its span), never a fact.
+    (one row per hour or day of its span), never a fact. Rows without a time have no
+    place on the axis and are left out.
     """
     out = out or time_col
     w = Window.partitionBy().orderBy(time_col)
-    series = series.withColumn("_next", F.lead(time_col).over(w))
+    series = series.where(F.col(time_col).isNotNull()).withColumn("_next", F.lead(time_col).over(w))
     one = F.expr(f"INTERVAL {step}")
     last = F.col("_next") - one
     if until is not None:
         last = F.coalesce(last, F.greatest(F.col(time_col), until))
     else:
         last = F.coalesce(last, F.col(time_col))
-    # A gap longer than max_points (a corrupt far-future date, say) fails loudly
-    # instead of expanding without bound.
     # A duplicated time (a key violation Q1 reports) must not run the sequence
     # backwards: each duplicate then yields just its own point.
     last = F.greatest(last, F.col(time_col))
     gap = F.sequence(F.col(time_col), last, one)
-    guarded = F.when(F.size(gap) <= max_points, gap).otherwise(
-        F.raise_error(F.lit(f"gap longer than {max_points} points")))
-    ex = series.select(time_col, *values, F.explode(guarded).alias("_t"))
+    ex = series.select(time_col, *values, F.explode(gap).alias("_t"))
     if source_col:
         cols = [F.col(v) for v in values] + [F.col(time_col).alias(source_col)]
     else:

@@ -25,8 +25,10 @@ def with_lag(df: DataFrame, value: str, order: str, by: list[str] | None = None,
     """Previous *recorded* row (not the previous calendar day).
 
     Adds ``prev_<value>``, ``prev_<order>``, ``gap_days`` (calendar days to the
-    previous row) and ``change``. A ragged panel keeps its gaps visible.
+    previous row) and ``change``. A ragged panel keeps its gaps visible. Rows without
+    an ``order`` value are left out: they are no one's previous row.
     """
+    df = df.where(F.col(order).isNotNull())
     w = _w(by or [], order)
     prev_v, prev_o = F.lag(value).over(w), F.lag(order).over(w)
     # One projection; Spark evaluates both lags in a single Window operator.

@@ -112,7 +112,7 @@ ORACLE: dict[str, str] = {
 SELECT band, count(*) AS n_hours, CAST(sum(n_rentals) AS BIGINT) AS rentals,
        CAST(sum(n_rentals) AS DOUBLE) / count(*) AS avg_rentals
 FROM (SELECT n_rentals,
-        CASE WHEN precipitation IS NULL THEN 'unobserved' WHEN precipitation <= 0 THEN 'none'
+        CASE WHEN precipitation IS NULL OR precipitation < 0 THEN 'unobserved' WHEN precipitation = 0 THEN 'none'
              WHEN precipitation < 10 THEN 'lt10' ELSE 'ge10' END AS band FROM hwr) AS x
 GROUP BY band"""),
 
@@ -218,7 +218,7 @@ UNION ALL SELECT 'gas_price', count(*), CAST(min(price_date) AS TIMESTAMP),
 
     "p1_band": _with(["hwr"], """
 SELECT obs_datetime, precipitation,
-       CASE WHEN precipitation IS NULL THEN 'unobserved' WHEN precipitation <= 0 THEN 'none'
+       CASE WHEN precipitation IS NULL OR precipitation < 0 THEN 'unobserved' WHEN precipitation = 0 THEN 'none'
             WHEN precipitation < 10 THEN 'lt10' ELSE 'ge10' END AS band
 FROM hwr"""),
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, jaccard, pii, toxicity
-from tidemark.llm.common import read_table, stage_table
+from tidemark.llm.common import is_present, presence, read_table, stage_table
 from tidemark.llm.queries import TOKENIZERS
 
 
@@ -30,8 +31,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document, that of the smallest id, of each component of five-word shingle sets with a
     similarity of 0.8 or more. Rows that repeat an id stay or go together; a null id stays."""
     found = jaccard.components(docs, width=5, percent=80)     # its own columns only: the texts join once, below
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stage_table(found.where("doc_id > component_id").select("doc_id").distinct(), "near-copies")
+    # only texts that a bitmap of fixed size takes for copies go through the join; the join decides
+    bits = presence(gone.select(F.xxhash64("doc_id").alias("h")), "h")
+    perhaps = F.pandas_udf(lambda h: pd.Series(is_present(bits.value, h.to_numpy())), "boolean")(F.xxhash64("doc_id"))
+    return docs.where(~perhaps).union(docs.where(perhaps).join(gone, "doc_id", "left_anti").select(docs.columns))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,22 +151,25 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     def run(batches):
         filed: set[int] = set()                   # sets this task has filed: copies need no second filing
         for b in batches:
-            n, sid, keys = [], [], []
+            n, sid, keys, points = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = shingles(t, width)
                 n.append(len(h))
                 s = set_id(h) if len(h) else None
                 sid.append(s)
-                keys.append(keys_of(h, percent).view(np.int64) if s is not None and s not in filed else None)
+                first = s is not None and s not in filed
+                keys.append(keys_of(h, percent).view(np.int64) if first else None)
+                points.append(pack(point_of(h)) if first else None)
                 filed.add(s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], [id_col, "n", "sid", "keys"])
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())],
+                                             [id_col, "n", "sid", "keys", "point"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n long, sid long, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n long, sid long, keys array<long>, point binary")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """sid, n, point, items of the sets named by the documents in ``needed`` (id_col, sid)."""
+    """sid, n, items of the sets named by the documents in ``needed`` (id_col, sid)."""
     filter_ = presence(needed.select(F.xxhash64(id_col).alias("h")), "h")
 
     def run(batches):
@@ -176,12 +179,11 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col:
             for k in np.flatnonzero(keep).tolist():
                 h = shingles(b.column(2)[k].as_py(), width)
                 if len(h):
-                    out.append((set_id(h), len(h), pack(point_of(h)), h.view(np.int64)))
-            sid, n, point, items = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(point, pa.binary()),
-                                              pa.array(items, pa.list_(pa.int64()))], ["sid", "n", "point", "items"])
+                    out.append((set_id(h), len(h), h.view(np.int64)))
+            sid, n, items = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["sid", "n", "items"])
 
-    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, point binary, items array<long>")
+    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, items array<long>")
     return sets.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -196,9 +198,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(overlap, F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose points allow the overlap needed."""
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p"))
+    side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p"))
 
     def run(batches):
         for b in batches:
@@ -255,13 +257,19 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
     ranked = met.join(degree, "sid").select("key", "sid", "degree")
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot"))
     keyed = stage_table(ranked.select("key", "sid").join(centre, "key"), "jaccard-keyed")
-    wanted = keyed.select("sid").distinct()
-    needed = (filed.where("sid is not null").groupBy("sid").agg(F.min(id_col).alias(id_col)).join(wanted, "sid", "left_semi"))
-    needed = stage_table(needed, "jaccard-needed")
-    sets = stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets")
+    points = stage_table(filed.where("point is not null").join(keyed.select("sid").distinct(), "sid", "left_semi")
+                         .select("sid", "n", "point").dropDuplicates(["sid"]), "jaccard-points")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Verify pairs on the whole sets, which only the documents in them send."""
+        pairs = stage_table(pairs, "jaccard-pairs")
+        in_pairs = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        needed = stage_table(filed.where("sid is not null").join(in_pairs, "sid", "left_semi")
+                             .groupBy("sid").agg(F.min(id_col).alias(id_col)), "jaccard-needed")
+        return _verify(pairs, stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets"), percent)
 
     stars = keyed.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    roots = connected(_verify(_bounded(stars, sets, percent), sets, percent))
+    roots = connected(linked(_bounded(stars, points, percent)))
     named = keyed.join(roots.withColumnRenamed("v", "sid"), "sid", "left").select(
         "key", "sid", "pivot", F.coalesce("root", "sid").alias("root"))
     mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
@@ -269,7 +277,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
                                      F.min(F.when(F.col("sid") != F.col("pivot"), F.col("sid"))).alias("y"))
     # all was compared with the pivot: only keys of three sets or more have pairs left
     left = named.join(mixed.where("lo <> hi and x <> y").select("key"), "key", "left_semi").where("sid <> pivot").select("key", "sid", "root").distinct()
-    more = _verify(_tree_pairs(left.join(sets.select("sid", "n", "point"), "sid"), percent), sets, percent)
+    more = linked(_tree_pairs(left.join(points, "sid"), percent))
     of = roots.withColumnRenamed("root", "r")
     lifted = (more.join(of.withColumnRenamed("v", "a").withColumnRenamed("r", "ra"), "a", "left")
               .join(of.withColumnRenamed("v", "b").withColumnRenamed("r", "rb"), "b", "left")

@@ -8,6 +8,7 @@ import pytest
 from tests.conftest import SF01
 
 import __spark_entry__ as E
+from tidemark.plans.catalog import QUERIES
 
 TABLES = ["events", "customer"]
 
@@ -33,10 +34,10 @@ def duck():
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.queries()) and set(QUERIES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF01)
     srows = [tuple(r) for r in df.collect()]

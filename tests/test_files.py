@@ -134,10 +134,14 @@ def test_command_line(tmp_path):
                            "--oil-columns", "price_date,dubai,brent,wti"],
                    check=True, env=env, cwd=root, capture_output=True, timeout=600)
     res = subprocess.run(base + ["run", "--tables", str(out), "1-A", "2-A",
-                                 "--out", str(tmp_path / "results")],
+                                 "--set", "crude=brent", "--out", str(tmp_path / "results")],
                          check=True, env=env, cwd=root, capture_output=True, text=True, timeout=600)
     assert "== 1-A" in res.stdout and "== 2-A" in res.stdout
     assert (tmp_path / "results" / "2-A").exists()
+    res = subprocess.run(base + ["sql", "--tables", str(out), "SELECT count(*) AS n FROM rental r "
+                                 "JOIN rental_station s ON s.station_id = r.rental_station_id"],
+                         check=True, env=env, cwd=root, capture_output=True, text=True, timeout=600)
+    assert res.stdout.split()[-2:] == ["n", "6"]
 
 
 def test_zip_member_in_cp949(spark, tmp_path):
@@ -151,3 +155,115 @@ def test_zip_member_in_cp949(spark, tmp_path):
     assert [(r.precipitation, r.feel_temp) for r in m] == [(0.5, 30.0), (None, 31.0)]
     names = [r.member for r in files.read_zip_lines(spark, str(wdir), encoding="MS949").collect()]
     assert len(names) == 2
+
+
+def _period(tmp_path, name, gas_days, oil_days, weather_days, rental_rows, station="133"):
+    """Raw files of one period; returns the arguments of the load."""
+    d = tmp_path / name
+    (d / "weather").mkdir(parents=True)
+    (d / "rentals").mkdir()
+    _write_zip(d / "weather" / "w.zip", {"m.csv": [ln.replace("133,", f"{station},", 1)
+                                                   for day in weather_days for ln in _minutes(day, 2)]})
+    (d / "rentals" / "r.csv").write_text("\n".join(["a,b,c,d,e"] + rental_rows) + "\n", encoding="utf-8")
+    (d / "oil.csv").write_text("\n".join(["d,x,y,z"] + [f"{x},{70 + i},71,69" for i, x in enumerate(oil_days)])
+                               + "\n", encoding="utf-8")
+    (d / "gas.csv").write_text("\n".join(["s,b,d,p"] + [f"G{g},{b},{x},{1600 + i}" for g, b in ((1, "A"), (2, "B"))
+                                                        for i, x in enumerate(gas_days)]) + "\n", encoding="utf-8")
+    return str(d / "rentals"), str(d / "weather"), str(d / "oil.csv"), str(d / "gas.csv")
+
+
+def _days(lo, n):
+    return [str(dt.date.fromisoformat(lo) + dt.timedelta(days=i)) for i in range(n)]
+
+
+def _stored(t):
+    from tidemark import schemas
+    return {n: sorted(map(str, t.stored(n).collect())) for n in schemas.STORED}
+
+
+def _two_periods(tmp_path):
+    r1 = ["1,S1,2026-01-05 00:10:00,,", "2,S2,2026-01-31 01:10:00,,"]
+    r2 = ["3,S1,2026-02-01 00:10:00,,", "4,S3,2026-01-31 01:20:00,,"]       # a late row of January
+    g1, g2 = _days("2026-05-07", 31), _days("2026-06-07", 30)
+    w1, w2 = ["2026-01-05", "2026-01-31"], ["2026-02-01"]
+    one = _period(tmp_path, "p1", g1, g1, w1, r1)
+    two = _period(tmp_path, "p2", g2, g2, w2, r2)
+    return one, two, (g1, g2, w1, w2, r1, r2)
+
+
+def test_further_period_keeps_what_is_stored(spark, tmp_path):
+    one, two, (g1, g2, w1, w2, r1, r2) = _two_periods(tmp_path)
+    out = str(tmp_path / "t")
+    t, _ = L.load(spark, *one, out)
+    assert t.gas_price.count() == 62 and t.rental.count() == 2
+    L.load(spark, *two, out)
+    assert t.gas_price.count() == 122 and t.rental.count() == 4            # the same object sees them
+    assert {r.station_id for r in t.rental_station.collect()} == {"S1", "S2", "S3"}
+    assert not list((tmp_path / "t" / "_incoming").iterdir())
+    both = _stored(t)
+    results = {q: sorted(map(str, run(spark, q, t).collect())) for q in ("1-A", "1-B", "2-A", "2-B")}
+    L.load(spark, *two, out)                                              # a repeat changes nothing
+    L.load(spark, *one, out)
+    assert _stored(t) == both
+    # one load of everything, prices as the two files gave them
+    d = tmp_path / "all"
+    d.mkdir()
+    for kind in ("rentals", "weather"):
+        (d / kind).mkdir()
+    for i, p in enumerate((one, two)):
+        for k, kind in ((0, "rentals"), (1, "weather")):
+            for f in __import__("pathlib").Path(p[k]).iterdir():
+                (d / kind / f"{i}{f.name}").write_bytes(f.read_bytes())
+    for k, name in ((2, "oil"), (3, "gas")):
+        (d / name).mkdir()
+        for i, p in enumerate((one, two)):
+            (d / name / f"{i}.csv").write_bytes(open(p[k], "rb").read())
+    a, _ = L.load(spark, *[str(d / x) for x in ("rentals", "weather", "oil", "gas")], str(tmp_path / "t2"))
+    assert _stored(a) == both
+    assert {q: sorted(map(str, run(spark, q, a).collect())) for q in results} == results
+
+
+def test_formats_and_lost_cells(spark, tmp_path):
+    g = [x.replace("-", "") for x in _days("2026-05-07", 3)]
+    o = [x.replace("-", ".") for x in _days("2026-05-07", 3)]
+    p = _period(tmp_path, "p", g, o, ["2026-01-05"], ["1,S1,2026-01-05 00:10:00,,", "2,S1,05/01/2026,,"])
+    t, c = L.load(spark, *p, str(tmp_path / "t"))
+    assert t.gas_price.where("price_date IS NULL").count() == 0
+    assert t.oil_price.orderBy("price_date").first().price_date == dt.date(2026, 5, 7)
+    audit = {r.table_name: r for r in c["audit"].collect()}
+    assert audit["rental"].n_lost == 1 and audit["rental"].matches is False
+    assert audit["gas_price"].n_lost == 0 and audit["gas_price"].matches is None
+    t, c = L.load(spark, *p, str(tmp_path / "t2"), expected={"gas_price": 6},
+                  formats={"gas": "dd.MM.yyyy", "oil": "yyyy.MM.dd"})
+    audit = {r.table_name: r for r in c["audit"].collect()}
+    assert audit["gas_price"].matches is False and audit["gas_price"].n_lost == 6
+    assert {(r.table_name, r.column_name, r.n_lost) for r in c["parse"].collect()} == {
+        ("gas_price", "price_date", 6), ("rental", "rental_time", 1)}
+
+
+def test_weather_of_two_stations(spark, tmp_path):
+    import pytest
+    from tidemark.sources.sinks import ParquetTables
+    days, rent = _days("2026-05-07", 2), ["1,S1,2026-01-05 00:10:00,,"]
+    L.load(spark, *_period(tmp_path, "a", days, days, ["2026-01-05"], rent), str(tmp_path / "t"))
+    one = run(spark, "1-A", ParquetTables(spark, str(tmp_path / "t"))).collect()
+    t, c = L.load(spark, *_period(tmp_path, "b", days, days, ["2026-01-05"], rent, station="108"),
+                  str(tmp_path / "t"))
+    assert t.stored("weather").count() == 4
+    assert {r.table_name: r.n_dup_keys for r in c["pk"].collect()}["weather"] == 0
+    with pytest.raises(ValueError, match="several stations"):
+        run(spark, "1-A", t)
+    named = ParquetTables(spark, str(tmp_path / "t"), weather_station="133")
+    assert sorted(map(str, run(spark, "1-A", named).collect())) == sorted(map(str, one))
+
+
+def test_raw_files_are_read_once(spark, tmp_path, monkeypatch):
+    """Each source is written to the incoming folder in one job; all else reads that."""
+    one, _, _ = _two_periods(tmp_path)
+    seen = []
+    write = L.write_table
+    monkeypatch.setattr(L, "write_table", lambda df, path, *a: (seen.append(
+        (path, any(f.startswith(f"file:{x}") or f.startswith(f"file://{x}") for f in df.inputFiles()
+                   for x in one))), write(df, path, *a))[1])
+    L.load(spark, *one, str(tmp_path / "t"))
+    assert sum(raw for _, raw in seen) == 4 and all("_incoming" in p for p, raw in seen if raw)

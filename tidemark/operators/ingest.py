@@ -20,17 +20,19 @@ def hourly_weather(minute: DataFrame, time_col: str = "obs_datetime",
     column as a running daily total and takes the rise within the hour (the
     last value of the hour minus the last value of the previous hour of the same
     day). feel_temp: maximum over the hour (``feel='mean'``: the mean).
-    temperature: mean. n_obs: minutes seen.
-    A column that is NULL in every minute of an hour stays NULL.
+    temperature, humidity: mean. n_obs: minutes seen.
+    A column that is NULL in every minute of an hour stays NULL. Minutes without a time
+    belong to no hour and are left out. ``by``: keys such as the station; without it,
+    ``minute`` must hold one station.
     """
     by = list(by or [])
+    minute = minute.where(F.col(time_col).isNotNull())
     h = hour_of(time_col).alias(time_col)
     if feel not in ("max", "mean"):
         raise ValueError(feel)
     aggs = [(F.max if feel == "max" else F.avg)("feel_temp").alias("feel_temp"),
             F.count("*").alias("n_obs")]
-    if "temperature" in minute.columns:
-        aggs.append(F.avg("temperature").alias("temperature"))
+    aggs += [F.avg(c).alias(c) for c in ("temperature", "humidity") if c in minute.columns]
     if precip_mode == "increment":
         aggs.insert(0, F.sum("precipitation").alias("precipitation"))
         return minute.groupBy(*by, h).agg(*aggs)
@@ -68,11 +70,16 @@ def station_master(fact: DataFrame, id_col: str, time_col: str,
     return fact.groupBy(F.col(id_col).alias(out_id)).agg(*aggs)
 
 
+# Date forms read when no format is named; all start with a four-digit year.
+DATE_FORMATS = ("yyyy-MM-dd", "yyyyMMdd", "yyyy.MM.dd", "yyyy/MM/dd")
+
+
 def typed(df: DataFrame, schema: StructType, timestamp_format: str | None = None,
-          date_format: str | None = None) -> DataFrame:
+          date_format: str | None = None, lost: str | None = None) -> DataFrame:
     """T4: text columns to the schema's types. Blank cells become NULL; a value that
-    does not parse becomes NULL (``try_*``), never 0 and never an error."""
-    cols = []
+    does not parse becomes NULL (``try_*``), never 0 and never an error. ``lost`` names
+    an added column: the names of the row's cells that held text but became NULL."""
+    cols, gone = [], []
     for f in schema.fields:
         if f.name not in df.columns:
             cols.append(F.lit(None).cast(f.dataType).alias(f.name))
@@ -85,7 +92,8 @@ def typed(df: DataFrame, schema: StructType, timestamp_format: str | None = None
             v = F.try_to_timestamp(raw, F.lit(timestamp_format)) if timestamp_format \
                 else F.try_to_timestamp(raw)
         elif isinstance(t, DateType):
-            v = F.try_to_date(raw, date_format) if date_format else F.try_to_date(raw)
+            v = F.coalesce(*[F.try_to_date(raw, f) for f in
+                             ([date_format] if date_format else DATE_FORMATS)])
         elif isinstance(t, NumericType):
             v = F.regexp_replace(raw, ",", "").try_cast(t)
             if isinstance(t, FractionalType):     # text such as NaN or Infinity is no reading
@@ -94,6 +102,9 @@ def typed(df: DataFrame, schema: StructType, timestamp_format: str | None = None
         else:
             v = raw.try_cast(t)
         cols.append(v.alias(f.name))
+        gone.append(F.when(raw.isNotNull() & v.isNull(), F.lit(f.name)))
+    if lost:
+        cols.append(F.array_compact(F.array(*gone)).alias(lost))
     return df.select(*cols)
 
 
@@ -102,7 +113,9 @@ def _to_ntz(raw: Column, fmt: str | None) -> Column:
     if fmt:
         # Parsed and cast in the session zone, so the wall-clock value is kept.
         return F.try_to_timestamp(raw, F.lit(fmt)).cast("timestamp_ntz")
-    return raw.try_cast("timestamp_ntz")
+    # Only a four-digit year: 202605 is no timestamp of the year 202605.
+    return F.when(raw.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T]|$)"),
+                  raw.try_cast("timestamp_ntz"))
 
 
 def overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def pk_violations(df: DataFrame, key: list[str]) -> DataFrame:
-    """Q1: key values held by more than one row (NULL keys count as a violation)."""
-    return df.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    """Q1: key values held by more than one row, and keys with a NULL, even of one row."""
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    return df.groupBy(*key).agg(F.count("*").alias("n_rows")).where((F.col("n_rows") > 1) | null_key)
 
 
 def pk_summary(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
@@ -56,17 +57,26 @@ def fk_summary(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> Data
 
 
 def count_audit(tables: dict[str, tuple[DataFrame, str]],
-                expected: dict[str, int] | None = None) -> DataFrame:
-    """Q3: table_name, n_rows, first_value, last_value (timestamp_ntz), expected_rows, matches."""
+                expected: dict[str, int] | None = None,
+                lost: dict[str, int] | None = None) -> DataFrame:
+    """Q3: table_name, n_rows, first_value, last_value (timestamp_ntz), expected_rows, matches.
+    With ``lost`` (cells per table that held text but no value) also n_lost; a table
+    that lost any does not match."""
     expected = expected or {}
     parts = []
     for name, (df, tcol) in tables.items():
         exp = expected.get(name)
-        parts.append(df.agg(
+        part = (df.agg(
             F.lit(name).alias("table_name"), F.count("*").alias("n_rows"),
             F.min(tcol).cast("timestamp_ntz").alias("first_value"),
             F.max(tcol).cast("timestamp_ntz").alias("last_value"))
             .withColumn("expected_rows", F.lit(exp).cast("long"))
             .withColumn("matches", F.when(F.col("expected_rows").isNotNull(),
                                           F.col("n_rows") == F.col("expected_rows"))))
+        if lost is not None:
+            n = lost.get(name, 0)
+            part = part.withColumn("n_lost", F.lit(n).cast("long"))
+            if n:
+                part = part.withColumn("matches", F.lit(False))
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts)

@@ -1,11 +1,17 @@
 """The load job: raw files -> typed, checked, partitioned Parquet tables.
 
-read (S1–S4) -> type (T4) -> roll weather up to hours (T1) -> derive the station
-masters from the facts (T3) -> write (S6) -> key and count checks (Q1–Q3).
+read and type (S1–S4, T4) once into an incoming folder -> merge into the stored facts
+(S6) -> roll the touched months of weather up to hours (T1) -> derive the station
+masters from all stored facts (T3) -> key, count and parse checks (Q1–Q3).
+
+A load may be repeated or run again after a failure, and a further period adds to what
+is stored: facts are merged by key, and everything derived comes from stored facts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,87 +19,106 @@ from tidemark import schemas
 from tidemark.operators import quality
 from tidemark.operators.ingest import hourly_weather, station_master
 from tidemark.sources import files
-from tidemark.sources.sinks import ParquetTables, write_table
+from tidemark.sources.sinks import ParquetTables, merge_table, remove_path, write_table
 
+SOURCES = ("rentals", "weather", "oil", "gas")
+LOST = "_lost"          # names of the cells of a row that held text but no value
 
-def build_tables(spark: SparkSession, rentals: str, weather: str, oil: str, gas: str,
-                 encoding: str = "UTF-8", precip_mode: str = "increment",
-                 weather_station: str | None = None,
-                 timestamp_format: str | None = None,
-                 encodings: dict[str, str] | None = None,
-                 columns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
-    """The six tables from the raw files, lazily. ``encodings`` overrides the
-    encoding per source: keys rentals, weather, oil, gas (e.g. gas='MS949');
-    ``columns`` overrides a source's column layout (names in file order)."""
-    enc = {k: encoding for k in ("rentals", "weather", "oil", "gas")}
-    enc.update(encodings or {})
+
+def read_raw(spark: SparkSession, rentals: str, weather: str, oil: str, gas: str,
+             encoding: str = "UTF-8", timestamp_format: str | None = None,
+             encodings: dict[str, str] | None = None,
+             columns: dict[str, list[str]] | None = None,
+             formats: dict[str, str] | None = None,
+             weather_station: str | None = None) -> dict[str, DataFrame]:
+    """The four facts from the raw files, lazily, each with its partition column and
+    ``_lost``. ``encodings``, ``columns`` (names in file order) and ``formats`` (of the
+    timestamp of rentals and weather, of the date of oil and gas) are given per source:
+    keys rentals, weather, oil, gas."""
+    enc = dict.fromkeys(SOURCES, encoding) | (encodings or {})
     cols = {"rentals": files.RENTAL_COLUMNS, "weather": files.WEATHER_COLUMNS,
-            "oil": files.OIL_COLUMNS, "gas": files.GAS_COLUMNS}
-    cols.update(columns or {})
-    rental = files.read_rentals(spark, rentals, cols["rentals"], encoding=enc["rentals"],
-                                timestamp_format=timestamp_format)
-    minute = files.read_weather(spark, weather, cols["weather"], encoding=enc["weather"],
-                                timestamp_format=timestamp_format)
+            "oil": files.OIL_COLUMNS, "gas": files.GAS_COLUMNS} | (columns or {})
+    fmt = {"rentals": timestamp_format, "weather": timestamp_format} | (formats or {})
+    rental = files.read_rentals(spark, rentals, cols["rentals"], enc["rentals"],
+                                fmt.get("rentals"), lost=LOST)
+    minute = files.read_weather(spark, weather, cols["weather"], enc["weather"],
+                                fmt.get("weather"), lost=LOST)
     if weather_station is not None:
         minute = minute.where(F.col("station_id") == weather_station)
-    hourly = hourly_weather(minute, "obs_datetime", precip_mode)
-    gas_raw = files.read_gas(spark, gas, cols["gas"], encoding=enc["gas"])
-    # Masters: no station file exists, so each is derived from its fact (T3);
-    # the latest brand of a station wins.
-    rental_station = station_master(rental, "rental_station_id", "rental_time") \
-        .select("station_id", F.lit(None).cast("string").alias("station_name"))
-    gas_station = station_master(gas_raw, "station_id", "price_date", attrs=["brand"]) \
-        .select("station_id", "brand")
+    oil_price = files.read_oil(spark, oil, cols["oil"], enc["oil"], fmt.get("oil"), lost=LOST)
+    gas_price = files.read_gas(spark, gas, cols["gas"], enc["gas"], fmt.get("gas"), lost=LOST)
     return {
-        "rental": rental,
-        "weather_minute": minute,
-        "weather": hourly.select(*schemas.WEATHER.fieldNames()),
-        "oil_price": files.read_oil(spark, oil, cols["oil"], encoding=enc["oil"]),
-        "gas_price": gas_raw.select(*schemas.GAS_PRICE.fieldNames()),
-        "rental_station": rental_station,
-        "gas_station": gas_station,
+        "rental": rental.withColumn("rental_date", F.to_date("rental_time")),
+        "weather_minute": minute.withColumn("obs_month", F.date_format("obs_datetime", "yyyy-MM")),
+        "oil_price": oil_price.withColumn("price_year", F.date_format("price_date", "yyyy")),
+        "gas_price": gas_price.withColumn("price_month", F.date_format("price_date", "yyyy-MM")),
     }
 
 
-PARTITIONS = {"rental": ["rental_date"], "gas_price": ["price_month"]}
-
-
-def write_tables(tables: dict[str, DataFrame], out_root: str) -> None:
-    """Rentals partitioned by day, station prices by month."""
-    for name, df in tables.items():
-        if name not in schemas.TABLES:
-            continue
-        if name == "rental":
-            df = df.withColumn("rental_date", F.to_date("rental_time"))
-        elif name == "gas_price":
-            df = df.withColumn("price_month", F.date_format("price_date", "yyyy-MM"))
-        write_table(df, f"{out_root.rstrip('/')}/{name}", PARTITIONS.get(name))
+def masters(t: ParquetTables) -> dict[str, DataFrame]:
+    """No station file exists, so each master comes from its stored fact; the latest
+    brand of a station wins."""
+    rental = station_master(t.stored("rental"), "rental_station_id", "rental_time")
+    # One row per station and brand first: the string maximum then runs on few rows.
+    g = t.stored("gas_price").groupBy("station_id", "brand").agg(F.max("price_date").alias("d"))
+    return {
+        "rental_station": rental.select("station_id",
+                                        F.lit(None).cast("string").alias("station_name")),
+        "gas_station": g.groupBy("station_id").agg(
+            F.max(F.struct("d", "brand"))["brand"].alias("brand")),
+    }
 
 
 def check_tables(t, expected: dict[str, int] | None = None,
-                 minute: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Q1–Q3 over loaded tables; ``minute`` adds the raw weather minutes to the
-    count audit (the published weather count is per minute)."""
-    audit = {"rental": (t.rental, "rental_time"),
-             "weather": (t.weather, "obs_datetime"),
-             "oil_price": (t.oil_price, "price_date"),
-             "gas_price": (t.gas_price, "price_date")}
-    if minute is not None:
-        audit["weather_minute"] = (minute, "obs_datetime")
+                 lost: dict[str, int] | None = None) -> dict[str, DataFrame]:
+    """Q1–Q3 over loaded tables. ``lost``: cells per table lost in parsing; any fails
+    that table's audit."""
+    df = {n: t.stored(n) for n in schemas.STORED}
+    time = {"rental": "rental_time", "weather": "obs_datetime", "oil_price": "price_date",
+            "gas_price": "price_date", "weather_minute": "obs_datetime"}
+    keys = schemas.PRIMARY_KEYS | {"weather": ["station_id", "obs_datetime"]}
     return {
-        "pk": quality.pk_summary({n: (getattr(t, n), k) for n, k in schemas.PRIMARY_KEYS.items()}),
-        "fk": quality.fk_summary({f"{f}.{fk}->{d}.{pk}": (getattr(t, f), fk, getattr(t, d), pk)
+        "pk": quality.pk_summary({n: (df[n], k) for n, k in keys.items()}),
+        "fk": quality.fk_summary({f"{f}.{fk}->{d}.{pk}": (df[f], fk, df[d], pk)
                                   for f, fk, d, pk in schemas.FOREIGN_KEYS}),
-        "audit": quality.count_audit(audit, expected),
+        "audit": quality.count_audit({n: (df[n], c) for n, c in time.items()}, expected, lost or {}),
     }
 
 
 def load(spark: SparkSession, rentals: str, weather: str, oil: str, gas: str, out_root: str,
-         expected: dict[str, int] | None = None,
-         **kw) -> tuple[ParquetTables, dict[str, DataFrame]]:
-    """Run the whole load and return the written tables with their check reports.
-    ``expected``: row counts to reconcile with (e.g. ``schemas.PUBLISHED_COUNTS``)."""
-    tables = build_tables(spark, rentals, weather, oil, gas, **kw)
-    write_tables(tables, out_root)
-    t = ParquetTables(spark, out_root)
-    return t, check_tables(t, expected, minute=tables["weather_minute"])
+         expected: dict[str, int] | None = None, precip_mode: str = "increment",
+         feel: str = "max", **kw) -> tuple[ParquetTables, dict[str, DataFrame]]:
+    """Run the whole load and return the written tables with their check reports (pk, fk,
+    audit, and parse: cells with text that became NULL, by table and column).
+    ``expected``: row counts to reconcile with (e.g. ``schemas.PUBLISHED_COUNTS``).
+    Further arguments: see ``read_raw``."""
+    root = out_root.rstrip("/")
+    t = ParquetTables(spark, root, kw.get("weather_station"))
+    incoming = f"{root}/_incoming/{uuid.uuid4().hex}"
+    report: list[tuple[str, str, int]] = []
+    new: dict[str, DataFrame] = {}
+    for name, df in read_raw(spark, rentals, weather, oil, gas, **kw).items():
+        path, part = f"{incoming}/{name}", schemas.PARTITIONS[name]
+        write_table(df, path, [part])                  # the only parse of the raw files
+        got = spark.read.schema(df.schema).parquet(path)
+        report += [(name, r[0], r[1]) for r in
+                   got.select(F.explode(LOST).alias("c")).groupBy("c").count().collect()]
+        new[name] = got.select(*schemas.STORED[name].fieldNames())
+    months = [r[0] for r in new["weather_minute"].select("obs_month").distinct().collect()]
+    for name, df in new.items():
+        merge_table(spark, df, f"{root}/{name}", schemas.MERGE_KEYS[name], schemas.PARTITIONS[name])
+    minute = t.stored("weather_minute").where(F.col("obs_month").isin([m for m in months if m]))
+    hourly = hourly_weather(minute, "obs_datetime", precip_mode, by=["station_id"], feel=feel)
+    write_table(hourly.withColumn("obs_month", F.date_format("obs_datetime", "yyyy-MM"))
+                .select(*schemas.STORED["weather"].fieldNames()),
+                f"{root}/weather", [schemas.PARTITIONS["weather"]])
+    for name, df in masters(t).items():
+        write_table(df, f"{root}/{name}")
+    remove_path(spark, incoming)
+    lost: dict[str, int] = {}
+    for name, _, n in report:
+        lost[name] = lost.get(name, 0) + n
+    checks = check_tables(t, expected, lost)
+    checks["parse"] = spark.createDataFrame(sorted(report),
+                                            "table_name string, column_name string, n_lost long")
+    return t, checks

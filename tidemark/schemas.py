@@ -41,6 +41,35 @@ TABLES = {
     "gas_price": GAS_PRICE,
 }
 
+# Partition column of each stored fact.
+PARTITIONS = {"rental": "rental_date", "weather_minute": "obs_month", "weather": "obs_month",
+              "oil_price": "price_year", "gas_price": "price_month"}
+
+# Tables as stored: all columns of the weather per station, and the brand beside each
+# station price (the station master is derived from it).
+STORED = {
+    "rental_station": RENTAL_STATION,
+    "weather_minute": StructType(WEATHER_MINUTE.fields + [StructField("obs_month", StringType())]),
+    "weather": _s(("station_id", StringType()), ("obs_datetime", TimestampNTZType()),
+                  ("precipitation", DoubleType()), ("feel_temp", DoubleType()),
+                  ("temperature", DoubleType()), ("humidity", DoubleType()),
+                  ("n_obs", LongType()), ("obs_month", StringType())),
+    "rental": StructType(RENTAL.fields + [StructField("rental_date", DateType())]),
+    "oil_price": StructType(OIL_PRICE.fields + [StructField("price_year", StringType())]),
+    "gas_station": GAS_STATION,
+    "gas_price": StructType(GAS_PRICE.fields + [StructField("brand", StringType()),
+                                                StructField("price_month", StringType())]),
+}
+
+# Keys by which a further load replaces stored rows. Rentals declare no key: a rental
+# is the same as a stored one if all its columns are.
+MERGE_KEYS = {
+    "rental": RENTAL.fieldNames(),
+    "weather_minute": ["station_id", "obs_datetime"],
+    "oil_price": ["price_date"],
+    "gas_price": ["station_id", "price_date"],
+}
+
 # Primary and foreign keys as declared by the reference's DDL (checked by Q1/Q2,
 # never enforced by storage).
 PRIMARY_KEYS = {

@@ -49,27 +49,27 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str],
 
 
 def read_rentals(spark: SparkSession, path: str, columns=RENTAL_COLUMNS, encoding="UTF-8",
-                 timestamp_format: str | None = None) -> DataFrame:
-    """A folder (or glob) of rental CSV files -> rental."""
+                 timestamp_format: str | None = None, lost: str | None = None) -> DataFrame:
+    """A folder (or glob) of rental CSV files -> rental. ``lost``: see ``typed``."""
     raw = read_csv_text(spark, path, list(columns), encoding)
-    return typed(raw, schemas.RENTAL, timestamp_format=timestamp_format)
+    return typed(raw, schemas.RENTAL, timestamp_format=timestamp_format, lost=lost)
 
 
 def read_oil(spark: SparkSession, path: str, columns=OIL_COLUMNS, encoding="UTF-8",
-             date_format: str | None = None) -> DataFrame:
+             date_format: str | None = None, lost: str | None = None) -> DataFrame:
     """S3: the wide oil price CSV -> oil_price."""
     raw = read_csv_text(spark, path, list(columns), encoding)
-    return typed(raw, schemas.OIL_PRICE, date_format=date_format)
+    return typed(raw, schemas.OIL_PRICE, date_format=date_format, lost=lost)
 
 
 def read_gas(spark: SparkSession, path: str, columns=GAS_COLUMNS, encoding="UTF-8",
-             date_format: str | None = None) -> DataFrame:
+             date_format: str | None = None, lost: str | None = None) -> DataFrame:
     """Station price CSV -> (station_id, brand, price_date, price).
     The brand is kept for the station master (T3)."""
     raw = read_csv_text(spark, path, list(columns), encoding)
     s = StructType(schemas.GAS_PRICE.fields[:1] + [StructField("brand", StringType())]
                    + schemas.GAS_PRICE.fields[1:])
-    return typed(raw, s, date_format=date_format)
+    return typed(raw, s, date_format=date_format, lost=lost)
 
 
 def _unzip_lines(encoding: str, header: bool):
@@ -117,13 +117,17 @@ def read_zip_lines(spark: SparkSession, path: str, encoding: str = "UTF-8",
 
 
 def parse_weather_lines(lines: DataFrame, columns=WEATHER_COLUMNS,
-                        timestamp_format: str | None = None) -> DataFrame:
+                        timestamp_format: str | None = None,
+                        lost: str | None = None) -> DataFrame:
     """CSV text lines -> weather_minute (parsed in the JVM by ``from_csv``)."""
     parsed = lines.select(F.from_csv("line", text_schema(list(columns)).simpleString()).alias("r"))
-    return typed(parsed.select("r.*"), schemas.WEATHER_MINUTE, timestamp_format=timestamp_format)
+    return typed(parsed.select("r.*"), schemas.WEATHER_MINUTE, timestamp_format=timestamp_format,
+                 lost=lost)
 
 
 def read_weather(spark: SparkSession, path: str, columns=WEATHER_COLUMNS, encoding="UTF-8",
-                 timestamp_format: str | None = None) -> DataFrame:
-    """Per-minute weather from ZIP archives -> weather_minute."""
-    return parse_weather_lines(read_zip_lines(spark, path, encoding), columns, timestamp_format)
+                 timestamp_format: str | None = None, lost: str | None = None) -> DataFrame:
+    """Per-minute weather from ZIP archives -> weather_minute. One task unzips an
+    archive; its lines are then spread over tasks of even size."""
+    lines = read_zip_lines(spark, path, encoding).hint("rebalance")
+    return parse_weather_lines(lines, columns, timestamp_format, lost)

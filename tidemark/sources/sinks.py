@@ -2,39 +2,106 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark import schemas
 
 
+def _fs_path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs_path(spark, path)
+    return fs.exists(p)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs_path(spark, path)
+    fs.delete(p, True)
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                 mode: str = "overwrite") -> None:
-    """Parquet, partitioned by a date column. Overwrite is dynamic: a reload of
-    some days replaces those partitions only. Task retries and lost executors are
-    covered by Spark's commit protocol (nothing is visible until the job commits)."""
+    """Parquet, partitioned by a date column. Overwrite is dynamic: only the
+    partitions present in ``df`` are replaced. Rows are rebalanced on the partition
+    column, so a day is written by few tasks and AQE splits a large one. Task retries
+    and lost executors are covered by Spark's commit protocol (nothing is visible
+    until the job commits)."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
 
 
+def merge_table(spark: SparkSession, new: DataFrame, path: str, key: list[str],
+                partition: str) -> None:
+    """S6, repeatable: a stored row whose key is in ``new`` (NULL equals NULL) gives way
+    to the new rows of that key; every other stored row stays. Loading the same rows
+    again changes nothing. Only the partitions that ``new`` touches are read and
+    rewritten; their names alone reach the driver.
+
+    ``new`` is read twice: pass a written table, not a parse of raw files. Stored files
+    are replaced when the job commits, so the old rows can be read while it runs.
+    """
+    if not path_exists(spark, path):
+        write_table(new, path, [partition])
+        return
+    names = [r[0] for r in new.select(partition).distinct().collect()]
+    touched = F.col(partition).isin([n for n in names if n is not None])
+    if None in names:
+        touched = touched | F.col(partition).isNull()
+    old = spark.read.schema(new.schema).parquet(path).where(touched).alias("o")
+    k = new.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).distinct()
+    same = reduce(lambda a, b: a & b,
+                  [F.col(f"o.{c}").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
+    write_table(old.join(k, same, "left_anti").unionByName(new), path, [partition])
+
+
 class ParquetTables:
     """The six tables as written by the load job under ``root`` (one folder each),
     read with their fixed schemas. Exposes the same attributes as
-    ``sources.testdata.Tables``, so every query runs on either."""
+    ``sources.testdata.Tables``, so every query runs on either.
+
+    Files are listed at each use, and nothing derived is kept, so rows loaded later are
+    seen. ``weather_station`` names the station whose weather the queries use; it is
+    needed only where several are stored."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    __slots__ = ("spark", "root", "weather_station")
+
+    def __init__(self, spark: SparkSession, root: str, weather_station: str | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        self._memo: dict[str, DataFrame] = {}
+        self.weather_station = weather_station
+
+    def stored(self, name: str) -> DataFrame:
+        """A table with every stored column, partition columns included."""
+        return self.spark.read.schema(schemas.STORED[name]).parquet(f"{self.root}/{name}")
+
+    def _station_weather(self) -> DataFrame:
+        w = self.stored("weather")
+        if self.weather_station is not None:
+            return w.where(F.col("station_id") == self.weather_station)
+        some = [r[0] for r in w.select("station_id").distinct().limit(2).collect()]
+        if len(some) > 1:
+            raise ValueError(f"weather of several stations is stored ({some[0]}, {some[1]}, ...): "
+                             "name one with weather_station")
+        return w
 
     def __getattr__(self, name):
         if name.startswith("_") or name not in schemas.TABLES:
             raise AttributeError(name)
-        if name not in self._memo:
-            # Declared schema: no footer sampling; partition folders (rental_date,
-            # price_month) are still discovered.
-            df = self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.root}/{name}")
-            # Day partitions stay visible so queries can prune on them.
-            keep = [c for c in ("rental_date",) if c in df.columns]
-            self._memo[name] = df.select(*schemas.TABLES[name].fieldNames(), *keep)
-        return self._memo[name]
+        df = self._station_weather() if name == "weather" else self.stored(name)
+        # Partition columns stay visible so queries can prune on them.
+        keep = [schemas.PARTITIONS[name]] if name in schemas.PARTITIONS else []
+        return df.select(*schemas.TABLES[name].fieldNames(), *keep)
+
+    def create_views(self) -> None:
+        """Temporary views of the stored tables, for SQL."""
+        for name in schemas.STORED:
+            self.stored(name).createOrReplaceTempView(name)

@@ -237,3 +237,21 @@ def test_2b_price_vs_ma_rule(spark):
     # MAs: 10, 15, 16, 13.  slope: -, rising, rising, falling.  price vs MA: flat, rising, falling, rising
     assert [slope[d(i)] for i in range(4)] == [None, "rising", "rising", "falling"]
     assert [vs[d(i)] for i in range(4)] == ["flat", "rising", "falling", "rising"]
+
+
+def test_equal_frames_have_equal_averages(spark):
+    """A price cycle of period 5 has a constant 5-row mean: every full day is flat."""
+    import datetime as dt
+    from tidemark.functions.predicates import phase
+    from tidemark.operators.windows import moving_average, with_lag
+    cycle = [70.1, 70.7, 69.3, 71.9, 70.3]
+    rows = [(dt.date(2026, 1, 1) + dt.timedelta(days=i), cycle[i % 5]) for i in range(60)]
+    ma = moving_average(spark.createDataFrame(rows, "d date, price double"), "price", "d", 5)
+    got = with_lag(ma, "ma", "d").select("d", phase("ma", "prev_ma").alias("phase")).orderBy("d").collect()
+    assert {r.phase for r in got[5:]} == {"flat"}
+
+
+def test_null_keys_are_violations(spark):
+    from tidemark.operators import quality
+    df = spark.createDataFrame([("a",), (None,), ("b",), ("b",)], "k string")
+    assert {(r.k, r.n_rows) for r in quality.pk_violations(df, ["k"]).collect()} == {(None, 1), ("b", 2)}

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from tidemark.functions.predicates import delta
 from tidemark.functions.time import epoch_day
 
+MILLION = 1_000_000.0     # units of a moving average's sums
+
 
 def _w(by, order):
     w = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -44,7 +46,9 @@ def moving_average(df: DataFrame, value: str, order: str, n: int = 5,
     ``n`` calendar days (``frame='range'``, gaps are not filled).
 
     Leading rows use a partial frame as plain SQL does; ``require_full`` makes
-    them NULL instead.
+    them NULL instead. Values are summed as whole millionths, so frames of equal content
+    have equal averages in any order (a phase compares them exactly); a value beyond
+    9e12 has no such form and counts as missing.
     """
     base = _w(by or [], order)
     if frame == "rows":
@@ -54,7 +58,8 @@ def moving_average(df: DataFrame, value: str, order: str, n: int = 5,
              .rangeBetween(-(n - 1), 0))
     else:
         raise ValueError(frame)
-    ma = F.avg(value).over(w)
+    units = F.round(F.col(value) * MILLION).try_cast("long")
+    ma = F.sum(units).over(w).cast("double") / (F.count(units).over(w).cast("double") * MILLION)
     if require_full:
         if frame == "rows":
             full = F.count(value).over(w) == n

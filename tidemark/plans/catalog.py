@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
 from tidemark.operators import quality
-from tidemark.operators.ingest import station_master
+from tidemark.operators.ingest import hourly_weather, station_master, typed
 from tidemark.operators.windows import moving_average
 from tidemark.plans import prices, rentals
 from tidemark.schemas import FOREIGN_KEYS, PRIMARY_KEYS
-from tidemark.sources.testdata import Tables, events, RENTAL_EVENT_TYPE
+from tidemark.sources.testdata import RENTAL_EVENT_TYPE, Tables, events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +60,43 @@ def t1_weather(spark, d):
     return _t(spark, d).weather
 
 
+def t1_increment(spark, d):
+    """Every event as one observation at its time; the event type names the station."""
+    obs = events(spark, d).select(
+        F.col("event_type").alias("station_id"), F.col("ts").alias("obs_datetime"),
+        F.col("value").alias("precipitation"), (F.col("value") / 2).alias("feel_temp"),
+        F.col("value").alias("temperature"))
+    return hourly_weather(obs, "obs_datetime", by=["station_id"])
+
+
+def t4_typed(spark, d):
+    """Every event written as text cells (blank, not a number, negative, malformed, grouped
+    digits; dates in four forms, one of them short) and typed again."""
+    i, cents = F.col("event_id"), F.round(F.col("value") * 100).cast("long").cast("string")
+    price = (F.when(i % 6 == 0, "  ").when(i % 6 == 1, "NaN").when(i % 6 == 2, F.concat(F.lit("-"), cents))
+             .when(i % 6 == 3, "n/a").when(i % 6 == 4, " 1,234.50 ").otherwise(cents))
+    day = (F.when(i % 4 == 0, F.date_format("ts", "yyyyMMdd")).when(i % 4 == 1, F.date_format("ts", "yyyy.MM.dd"))
+           .when(i % 4 == 2, F.date_format("ts", "yyyyMM")).otherwise(F.date_format("ts", "yyyy-MM-dd")))
+    raw = events(spark, d).select(i.cast("string").alias("event_id"), price.alias("price"),
+                                  day.alias("price_date"))
+    schema = StructType([StructField("event_id", LongType()), StructField("price", DoubleType()),
+                         StructField("price_date", DateType())])
+    return typed(raw, schema, lost="_lost").select("event_id", "price", "price_date",
+                                                   F.size("_lost").alias("n_lost"))
+
+
+def q1_dups(spark, d):
+    """Users with several events of a type, as violations of the key (user, type)."""
+    return quality.pk_violations(events(spark, d), ["user_id", "event_type"])
+
+
+def q2_orphans(spark, d):
+    """Customers whom no rental names, as orphans of that relation."""
+    clicks = events(spark, d).where(F.col("event_type") == RENTAL_EVENT_TYPE)
+    return quality.fk_orphans(table(spark, d, "customer"), "c_custkey", clicks, "user_id") \
+        .select("c_custkey", "c_name")
+
+
 def t2_hourly(spark, d):
     return rentals.hourly_rentals(_t(spark, d).rental)
 
@@ -205,7 +243,8 @@ def x1(spark, d):
 
 QUERIES: dict[str, Query] = {
     "q1a": q1a, "q1b": q1b, "q2a": q2a, "q2b": q2b, "q2a_crudes": q2a_crudes,
-    "t1_weather": t1_weather, "t2_hourly": t2_hourly, "t3_master": t3_master,
+    "t1_weather": t1_weather, "t1_increment": t1_increment, "t4_typed": t4_typed,
+    "q1_dups": q1_dups, "q2_orphans": q2_orphans, "t2_hourly": t2_hourly, "t3_master": t3_master,
     "t5_overlap": t5_overlap, "t6_spine": t6_spine,
     "q1_pk": q1_pk, "q2_fk": q2_fk, "q3_audit": q3_audit,
     "p1_band": p1_band, "p2_heat": p2_heat, "p3_phase": p3_phase, "p4_rise": p4_rise,

@@ -64,9 +64,10 @@ _BASE = {
              WHEN ma < prev_ma THEN 'falling' ELSE 'flat' END AS phase
         FROM (SELECT price_date, oil_price, ma, lag(ma) OVER (ORDER BY price_date) AS prev_ma
               FROM (SELECT price_date, price AS oil_price,
-                           avg(price) OVER (ORDER BY price_date
-                               ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ma
-                    FROM oil) AS a) AS b""",
+                           CAST(sum(CAST(round(price * 1000000) AS BIGINT)) OVER w AS DOUBLE)
+                             / (CAST(count(price) OVER w AS DOUBLE) * 1000000) AS ma
+                    FROM oil WINDOW w AS (ORDER BY price_date
+                               ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) AS a) AS b""",
     "dph": """SELECT c.price_date, p.price_date AS asof_date, p.phase, p.oil_price
         FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
                        INTERVAL 1 DAY)) AS DATE) AS price_date
@@ -157,6 +158,26 @@ FROM chg"""),
 
     "t1_weather": _with(["weather"], "SELECT * FROM weather"),
 
+    "t1_increment": """
+SELECT event_type AS station_id, date_trunc('hour', ts) AS obs_datetime, sum(value) AS precipitation,
+       max(value / 2) AS feel_temp, count(*) AS n_obs, avg(value) AS temperature
+FROM events GROUP BY 1, 2""",
+
+    "t4_typed": """
+SELECT event_id,
+       CASE event_id % 6 WHEN 2 THEN -round(value * 100) WHEN 4 THEN 1234.5
+            WHEN 5 THEN round(value * 100) END AS price,
+       CASE WHEN event_id % 4 <> 2 THEN CAST(ts AS DATE) END AS price_date,
+       CAST((event_id % 6 IN (1, 3)) AS INTEGER) + CAST((event_id % 4 = 2) AS INTEGER) AS n_lost
+FROM events""",
+
+    "q1_dups": """
+SELECT user_id, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2 HAVING count(*) > 1""",
+
+    "q2_orphans": """
+SELECT c_custkey, c_name FROM customer
+WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'click' AND user_id IS NOT NULL)""",
+
     "t2_hourly": _with(["hourly"], "SELECT * FROM hourly"),
 
     "t3_master": """
@@ -306,10 +327,12 @@ SELECT station_id, price_date, price, prev_price, prev_price_date,
 
     "w3": _with(["oil"], """
 SELECT price_date, price,
-       avg(price) OVER (ORDER BY price_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS ma_rows,
-       avg(price) OVER (ORDER BY price_date
-                        RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW) AS ma_days
-FROM oil"""),
+       CAST(sum(CAST(round(price * 1000000) AS BIGINT)) OVER r AS DOUBLE)
+         / (CAST(count(price) OVER r AS DOUBLE) * 1000000) AS ma_rows,
+       CAST(sum(CAST(round(price * 1000000) AS BIGINT)) OVER d AS DOUBLE)
+         / (CAST(count(price) OVER d AS DOUBLE) * 1000000) AS ma_days
+FROM oil WINDOW r AS (ORDER BY price_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+                d AS (ORDER BY price_date RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND CURRENT ROW)"""),
 
     "l1": _with(["rental"], """
 SELECT rental_station_id AS station_id, count(*) AS n_rentals FROM rental GROUP BY 1

@@ -147,3 +147,59 @@ def test_every_hash_shuffle_is_pre_aggregated(spark, key):
                 child = n2
                 break
         assert child in AGGREGATES, (key, arg.splitlines()[0], child)
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("key", ["q1a", "q1b", "q2a", "q2a_crudes", "q2b", "p5_days", "j5", "j6", "x1", "a3_cond"])
+def test_plans_hold_without_broadcasts(spark, no_broadcast, key):
+    """With no side small enough to broadcast there is neither a nested loop nor a product."""
+    plan = _plan(QUERIES[key](spark, SF01))
+    for node in ("BroadcastNestedLoopJoin", "CartesianProduct", "BroadcastHashJoin"):
+        assert node not in plan
+
+
+@pytest.mark.parametrize("key", ["q1b", "a3_cond"])
+def test_raw_rentals_are_never_shuffled(spark, no_broadcast, key):
+    nodes = _tree(QUERIES[key](spark, SF01))
+    for i, (depth, name, _) in enumerate(nodes):
+        if name == "Exchange":
+            below, arg = next((n, a) for _, n, a in nodes[i + 1:] if n not in ("Project", "Filter"))
+            assert not (below.startswith("Scan") and "events.parquet" in arg), nodes[i:i + 4]
+
+
+def test_2a_crudes_is_2a_of_each_crude_in_one_pass(spark):
+    t = Tables(spark, SF01)
+    for kw in ({}, {"horizon_days": 3}, {"averaging": "stations", "max_gap_days": 2}):
+        got = {tuple(r) for r in prices.q2a_crudes(spark, t, **kw).collect()}
+        want = {(c, *r) for c in ("dubai", "brent", "wti") for r in prices.q2a(spark, t, crude=c, **kw).collect()}
+        assert got == want
+    # one pass: the panel's windows stand once, whatever the number of crudes
+    by_station = [a for _, n, a in _tree(prices.q2a_crudes(spark, t)) if n == "Window" and "station_id" in a]
+    assert len(by_station) <= len([a for _, n, a in _tree(prices.q2a(spark, t)) if n == "Window" and "station_id" in a])
+
+
+def test_waits_counted_without_pairs(spark):
+    t = Tables(spark, SF01)
+    for h in (None, 3):
+        pairs = prices.response_pairs(spark, t, horizon_days=h).groupBy("response_days").count().collect()
+        assert {tuple(r) for r in pairs} == {tuple(r) for r in prices.response_counts(t, horizon_days=h).collect()}
+
+
+def test_max_gap_days_leaves_out_later_changes(spark):
+    t = Tables(spark, SF01)
+    s = prices.station_rises(t)
+    far = s.where("is_rise AND gap_days > 1").count()
+    assert far > 0
+    assert prices.station_rises(t, 1).where("is_rise").count() == s.where("is_rise").count() - far
+    near = prices.station_changes_by_phase(spark, t, max_gap_days=1)
+    assert near.count() == prices.station_changes_by_phase(spark, t).where("gap_days <= 1").count()

@@ -14,10 +14,15 @@ def ratio(num, den):
     return _c(num).cast("double") / F.nullif(_c(den).cast("double"), F.lit(0.0))
 
 
-def split_counts(df: DataFrame, key: str, flag: str, yes: str, no: str) -> DataFrame:
-    """A3: one pass, two counts per key: rows where ``flag`` is true / false.
+def split_counts(df: DataFrame, key: str, flag: str, yes: str, no: str,
+                 weight: str | None = None) -> DataFrame:
+    """A3: one pass, two counts per key: rows where ``flag`` is true / false (or the sums of
+    their ``weight``, where rows stand for several).
     Rows with a NULL flag count in neither. Partial aggregation runs map-side, so a
     key holding a large share of the rows is combined before the shuffle."""
+    if weight:
+        return df.groupBy(key).agg(F.sum(F.when(F.col(flag), F.col(weight)).otherwise(0)).alias(yes),
+                                   F.sum(F.when(~F.col(flag), F.col(weight)).otherwise(0)).alias(no))
     return df.groupBy(key).agg(F.count_if(F.col(flag)).alias(yes),
                                F.count_if(~F.col(flag)).alias(no))
 

@@ -2,8 +2,9 @@
 next-event join (J5).
 
 Neither uses a non-equi join. Both reduce to equi joins against a calendar whose
-length is the span in days (a bounded, broadcast series) plus windows
-partitioned by the panel key, so the work grows linearly with the panel.
+length is the span in days plus windows partitioned by the panel key, so the work
+grows linearly with the panel. No side is broadcast by hint: its estimated or, at run
+time, its measured size decides.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.time import epoch_day
-from tidemark.operators import broadcast
 from tidemark.operators.ingest import fill_gaps, spine
 
 
@@ -49,6 +49,35 @@ def event_span(events: DataFrame, event_date: str):
     return ev, span["lo"], span["hi"], span["n"]
 
 
+def response_intervals(events: DataFrame, event_date: str, panel: DataFrame, key: str,
+                       date_col: str, flag: str, horizon_days: int | None = None):
+    """Distinct event days ``d``, and per response of each key: key, response day ``r``
+    and the first and last day (``_s``, ``_e``) whose events it answers."""
+    ev, lo, hi, _ = event_span(events, event_date)
+    iv = with_prev_response(panel, key, date_col, flag).where(F.col(flag))
+    # greatest/least skip NULLs: a missing previous response leaves the events'
+    # first day as the start. Each bound is computed once, as a column.
+    lows = [F.col("prev_r"), lo]
+    if horizon_days is not None:
+        lows.append(F.date_sub(F.col(date_col), int(horizon_days)))
+    bounds = iv.select(key, F.col(date_col).alias("r"), F.greatest(*lows).alias("_s"),
+                       F.least(F.date_sub(F.col(date_col), 1), hi).alias("_e"))
+    return ev, bounds.where(F.col("_s") <= F.col("_e"))
+
+
+def next_event_counts(events: DataFrame, event_date: str, panel: DataFrame, key: str,
+                      date_col: str, flag: str, horizon_days: int | None = None) -> DataFrame:
+    """J5 counted: event_date, response_date and the number of keys (``n_keys``) that answer so.
+
+    Equal intervals of different keys are counted first and only then expanded, so no
+    pair of event and key is built: the expansion is bounded by the span, not by the keys."""
+    ev, bounds = response_intervals(events, event_date, panel, key, date_col, flag, horizon_days)
+    alike = bounds.groupBy("r", "_s", "_e").agg(F.count("*").alias("_n"))
+    days = alike.select("r", "_n", F.explode(F.sequence("_s", "_e")).alias("d"))
+    per = days.groupBy("d", "r").agg(F.sum("_n").alias("n_keys"))
+    return per.join(ev, "d").select(F.col("d").alias("event_date"), F.col("r").alias("response_date"), "n_keys")
+
+
 def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
                      panel: DataFrame, key: str, date_col: str, flag: str,
                      horizon_days: int | None = None) -> DataFrame:
@@ -58,29 +87,21 @@ def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
     Returns one row per (key, event) that has a response: key, event_date,
     response_date. Every event in ``[prev_r, r)`` answers to ``r``; each such
     interval, clipped to the events' span, is expanded to days and equi-joined to
-    the broadcast event days. The expansion is at most the key's span in days,
+    the event days. The expansion is at most the key's span in days,
     the grain of the daily panel itself. With ``horizon_days`` a response more
     than that many days after the event does not count (the pair is censored).
     """
-    ev, lo, hi, _ = event_span(events, event_date)
-    iv = with_prev_response(panel, key, date_col, flag).where(F.col(flag))
-    # greatest/least skip NULLs: a missing previous response leaves the events'
-    # first day as the start. Each bound is computed once, as a column.
-    lows = [F.col("prev_r"), lo]
-    if horizon_days is not None:
-        lows.append(F.date_sub(F.col(date_col), int(horizon_days)))
-    bounds = iv.select(key, F.col(date_col).alias("r"), F.greatest(*lows).alias("_s"),
-                       F.least(F.date_sub(F.col(date_col), 1), hi).alias("_e"))
-    seq = F.when(F.col("_s") <= F.col("_e"), F.sequence(F.col("_s"), F.col("_e")))
-    days = bounds.select(key, "r", F.explode(seq).alias("d"))
-    return (days.join(broadcast.series(ev), "d")
+    ev, bounds = response_intervals(events, event_date, panel, key, date_col, flag, horizon_days)
+    days = bounds.select(key, "r", F.explode(F.sequence("_s", "_e")).alias("d"))
+    return (days.join(ev, "d")
                 .select(key, F.col("d").alias("event_date"), F.col("r").alias("response_date")))
 
 
 def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
                      panel: DataFrame, key: str, date_col: str, flag: str,
                      horizon_days: int | None = None,
-                     day_index: DataFrame | None = None) -> DataFrame:
+                     day_index: DataFrame | None = None,
+                     series: str | None = None, names: tuple[str, ...] = ()) -> DataFrame:
     """J5 aggregated per key without building pairs.
 
     With C(d) = events before d and S(d) = sum of their day numbers (prefix sums
@@ -93,30 +114,41 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     calendar day number, e.g. by a trading-day count, so waits are counted in its
     unit; the horizon stays in calendar days.
 
+    ``series`` names a column of ``events`` that tells several event series apart;
+    each of ``names`` is then answered in the same pass over the panel, and its name
+    stands before the key. ``day_index`` serves a single series only.
+
     Returns key, n_events (all events, the same for every key), n_responded,
     sum_days for every key of ``panel``. Works in the
-    panel's own window partitioning: one shuffle by key, then map-side joins to
-    the broadcast prefix table and an aggregate that needs no further exchange.
+    panel's own window partitioning: one shuffle by key, then joins to the small
+    prefix table and an aggregate that needs no further exchange.
     """
-    ev, _, hi, n_ev = event_span(events, event_date)
-    end = F.date_add(hi, 1)
+    by = [series] if series else []
+    rows = with_prev_response(panel, key, date_col, flag)
+    if series:
+        ev = events.select(series, F.col(event_date).alias("d")).distinct()
+        ends = ev.groupBy(series).agg(F.count("*").alias("_n"), F.date_add(F.max("d"), 1).alias("_end"))
+        rows = rows.withColumn(series, F.explode(F.array(*map(F.lit, names)))).join(ends, series, "left")
+    else:
+        ev, _, hi, n_ev = event_span(events, event_date)
+        rows = rows.withColumns({"_end": F.date_add(hi, 1), "_n": n_ev})
     # Prefix table from the event series itself: the i-th event (1-based) covers
     # the days after it up to the next event, where i events lie strictly before.
     # Days up to the first event are absent (a miss reads as 0); the last event
     # covers one day, and lookups beyond it are clamped to that day.
-    w = Window.partitionBy().orderBy("d")
+    w = Window.partitionBy(*by).orderBy("d")
     if day_index is not None:
-        idx = broadcast.series(day_index.select("d", F.col("idx").cast("long").alias("_dn")))
+        idx = day_index.select("d", F.col("idx").cast("long").alias("_dn"))
         ev_num = ev.join(idx, "d", "left")
     else:
         ev_num = ev.withColumn("_dn", epoch_day("d"))
-    evs = ev_num.select("d", F.row_number().over(w).cast("long").alias("c"),
+    evs = ev_num.select(*[F.col(c).alias("_by") for c in by], "d", F.row_number().over(w).cast("long").alias("c"),
                         F.sum("_dn").over(w.rowsBetween(Window.unboundedPreceding, 0))
                         .cast("long").alias("s"),
                         F.lead("d").over(w).alias("nd"))
     first = F.date_add(F.col("d"), 1)
-    prefix = broadcast.series(evs.select(
-        F.explode(F.sequence(first, F.coalesce(F.col("nd"), first))).alias("d"), "c", "s"))
+    prefix = evs.select(
+        *["_by" for _ in by], F.explode(F.sequence(first, F.coalesce(F.col("nd"), first))).alias("d"), "c", "s")
 
     def clamp(c):
         # least() skips NULLs: a missing day must stay missing, not become `end`.
@@ -128,14 +160,17 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
     if horizon_days is not None:
         lower = F.greatest(F.coalesce(lower, F.date_sub(F.col(date_col), int(horizon_days))),
                            F.date_sub(F.col(date_col), int(horizon_days)))
-    rows = with_prev_response(panel, key, date_col, flag).withColumn("_end", end).select(
-        key, F.col(date_col).alias("r"), F.col(flag).alias("_is_r"),
+    rows = rows.select(
+        *by, key, "_n", F.col(date_col).alias("r"), F.col(flag).alias("_is_r"),
         F.when(F.col(flag), clamp(F.col(date_col))).alias("_rk"),
         F.when(F.col(flag), clamp(lower)).alias("_pk"))
-    # Both lookups probe the same broadcast prefix table (one build, reused).
-    pr, pp = prefix.alias("pr"), prefix.alias("pp")
-    j = (rows.join(pr, rows["_rk"] == F.col("pr.d"), "left")
-             .join(pp, F.col("_pk") == F.col("pp.d"), "left"))
+    # Both lookups probe the same prefix table (one build, reused).
+    def at(day, p):
+        same = F.col(day) == F.col(f"{p}.d")
+        return same & (F.col(series) == F.col(f"{p}._by")) if series else same
+
+    j = (rows.join(prefix.alias("pr"), at("_rk", "pr"), "left")
+             .join(prefix.alias("pp"), at("_pk", "pp"), "left"))
     if day_index is not None:
         ri = idx.select(F.col("d").alias("_ri_d"), F.col("_dn").alias("_r_dn"))
         j = j.join(ri, F.col("r") == F.col("_ri_d"), "left")
@@ -144,7 +179,7 @@ def next_event_stats(spark: SparkSession, events: DataFrame, event_date: str,
         r_num = epoch_day("r")
     n = F.coalesce(F.col("pr.c"), F.lit(0)) - F.coalesce(F.col("pp.c"), F.lit(0))
     days = n * r_num - (F.coalesce(F.col("pr.s"), F.lit(0)) - F.coalesce(F.col("pp.s"), F.lit(0)))
-    return (j.groupBy(key)
+    return (j.groupBy(*by, key)
              .agg(F.sum(F.when(F.col("_is_r"), n).otherwise(0)).cast("long").alias("n_responded"),
-                  F.sum(F.when(F.col("_is_r"), days).otherwise(0)).cast("long").alias("sum_days"))
-             .withColumn("n_events", F.coalesce(n_ev, F.lit(0)).cast("long")))
+                  F.sum(F.when(F.col("_is_r"), days).otherwise(0)).cast("long").alias("sum_days"),
+                  F.coalesce(F.max("_n"), F.lit(0)).cast("long").alias("n_events")))

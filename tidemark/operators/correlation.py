@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import broadcast
 
 
 def lag_correlation(x: DataFrame, x_date: str, x_val: str, y: DataFrame, y_date: str,
@@ -20,7 +19,7 @@ def lag_correlation(x: DataFrame, x_date: str, x_val: str, y: DataFrame, y_date:
     xs = (x.select(F.col(x_date).alias("_xd"), F.col(x_val).alias("_x"), lags)
            .withColumn("_d", F.date_add(F.col("_xd"), F.col("lag_days"))))
     ys = y.select(F.col(y_date).alias("_d"), F.col(y_val).alias("_y"))
-    j = ys.join(broadcast.series(xs), "_d")
+    j = ys.join(xs, "_d")
     return (j.groupBy("lag_days")
              .agg(F.count(F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), 1))
                    .alias("n_pairs"),

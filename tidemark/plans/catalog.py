@@ -155,8 +155,7 @@ def p4_rise(spark, d):
 
 
 def p5_days(spark, d):
-    p = prices.response_pairs(spark, _t(spark, d))
-    return p.groupBy("response_days").agg(F.count("*").alias("n_pairs"))
+    return prices.response_counts(_t(spark, d))
 
 
 def p6_delta(spark, d):

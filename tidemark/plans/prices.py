@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.predicates import is_rise, phase, phase_vs_ma, response_days
-from tidemark.operators import broadcast
 from tidemark.operators.aggregates import asymmetry, by_phase, ratio
-from tidemark.operators.asof import asof_fill, next_event_pairs, next_event_stats
+from tidemark.operators.asof import asof_fill, next_event_counts, next_event_pairs, next_event_stats
 from tidemark.operators.correlation import lag_correlation
 from tidemark.operators.ingest import fill_gaps, overlap
 from tidemark.operators.reshape import crudes_long
 from tidemark.operators.windows import moving_average, with_lag
 from tidemark.plans.memo import per_tables
+from tidemark.schemas import CRUDES
 
 DATE = "price_date"
 DEFAULT_CRUDE = "dubai"
@@ -56,17 +56,33 @@ def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataF
     """Oil rise days inside the common period (the lag itself looks back past it)."""
     # Rise days are oil days, so they lie in the oil period already; the common
     # period (T5) only adds the station panel's bounds.
+    return _in_panel(t, oil_lagged(t, crude, min_change)).select(F.col(DATE).alias("event_date"))
+
+
+def _in_panel(t, oil: DataFrame) -> DataFrame:
     g = t.gas_price.select(F.struct(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"))).scalar()
-    lo, hi = g["lo"], g["hi"]
-    o = oil_lagged(t, crude, min_change)
-    return o.where(F.col("is_rise") & (F.col(DATE) >= lo) & (F.col(DATE) <= hi)) \
-            .select(F.col(DATE).alias("event_date"))
+    return oil.where(F.col("is_rise") & (F.col(DATE) >= g["lo"]) & (F.col(DATE) <= g["hi"]))
 
 
 @per_tables
-def station_rises(t) -> DataFrame:
-    """The station panel with ``is_rise``: price above its previous recorded price."""
-    return station_lagged(t).withColumn("is_rise", F.coalesce(F.col("change") > 0, F.lit(False)))
+def crude_rise_events(t, min_change: float = 0.0) -> DataFrame:
+    """Rise days of every crude (crude, event_date): the lag runs within each crude."""
+    w = Window.partitionBy().orderBy(DATE).rowsBetween(Window.unboundedPreceding, -1)
+    prev = {c: F.last(c, ignorenulls=True).over(w).alias(f"prev_{c}") for c in CRUDES}     # a crude's last recorded price
+    o = t.oil_price.where(F.col(DATE).isNotNull()).select(DATE, *CRUDES, *prev.values())
+    up = F.array_compact(F.array(*[F.when(is_rise(c, f"prev_{c}", min_change), F.lit(c)) for c in CRUDES]))
+    o = o.select(DATE, F.explode(up).alias("crude")).withColumn("is_rise", F.lit(True))
+    return _in_panel(t, o).select("crude", F.col(DATE).alias("event_date"))
+
+
+@per_tables
+def station_rises(t, max_gap_days: int | None = None) -> DataFrame:
+    """The station panel with ``is_rise``: price above its previous recorded price, that
+    one being ``max_gap_days`` old at most, if given."""
+    up = F.col("change") > 0
+    if max_gap_days is not None:
+        up = up & (F.col("gap_days") <= int(max_gap_days))
+    return station_lagged(t).withColumn("is_rise", F.coalesce(up, F.lit(False)))
 
 
 @per_tables
@@ -96,7 +112,7 @@ def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
                          station_rises(t), "station_id", DATE, "is_rise", horizon_days)
     if unit == "calendar":
         return p.withColumn("response_days", response_days("event_date", "response_date"))
-    ix = broadcast.series(trading_day_index(t, crude))
+    ix = trading_day_index(t, crude)
     e = ix.select(F.col("d").alias("event_date"), F.col("idx").alias("_ie"))
     r = ix.select(F.col("d").alias("response_date"), F.col("idx").alias("_ir"))
     return (p.join(e, "event_date", "left").join(r, "response_date", "left")
@@ -104,9 +120,31 @@ def response_pairs(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
                      (F.col("_ir") - F.col("_ie")).cast("int").alias("response_days")))
 
 
+def response_counts(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0,
+                    horizon_days: int | None = None) -> DataFrame:
+    """P5: (response_days, n_pairs), the (oil rise, station) pairs by their wait."""
+    c = next_event_counts(rise_events(t, crude, min_change), "event_date", station_rises(t),
+                          "station_id", DATE, "is_rise", horizon_days)
+    return (c.groupBy(response_days("event_date", "response_date").alias("response_days"))
+             .agg(F.sum("n_keys").alias("n_pairs")))
+
+
+def _by_brand(t, stats: DataFrame, averaging: str, *by: str) -> DataFrame:
+    sb = stats.join(t.gas_station.select("station_id", "brand"), "station_id")
+    g = sb.groupBy(*by, "brand").agg(
+        F.count("*").alias("n_stations"),
+        F.sum("n_events").cast("long").alias("n_events"),
+        F.sum("n_responded").cast("long").alias("n_responded"),
+        F.sum("sum_days").cast("long").alias("sum_days"),
+        F.avg(ratio("sum_days", "n_responded")).alias("station_mean_days"))
+    avg = ratio("sum_days", "n_responded") if averaging == "pairs" else F.col("station_mean_days")
+    return g.select(*by, "brand", "n_stations", "n_events", "n_responded", avg.alias("avg_days"))
+
+
 def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
         min_change: float = 0.0, horizon_days: int | None = None,
-        averaging: str = "pairs", unit: str = "calendar") -> DataFrame:
+        averaging: str = "pairs", unit: str = "calendar",
+        max_gap_days: int | None = None) -> DataFrame:
     """2-A: mean days until a station follows an oil rise, by brand.
 
     n_events counts (rise, station) pairs; n_responded those with a later station
@@ -116,33 +154,29 @@ def q2a(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
     ``averaging='pairs'`` averages over (event, station) pairs; ``'stations'``
     averages each station's mean (stations without a response left out).
     ``unit='trading'`` counts the wait in oil trading days instead of calendar days.
+    ``max_gap_days``: a station's rise counts only if its price before is at most that old.
     """
     if averaging not in ("pairs", "stations"):
         raise ValueError(averaging)
     _check_unit(unit)
     ev = rise_events(t, crude, min_change)
     # Per station in one pass over the panel (every station of the panel appears).
-    stats = next_event_stats(spark, ev, "event_date", station_rises(t), "station_id", DATE,
-                             "is_rise", horizon_days,
+    stats = next_event_stats(spark, ev, "event_date", station_rises(t, max_gap_days), "station_id",
+                             DATE, "is_rise", horizon_days,
                              trading_day_index(t, crude) if unit == "trading" else None)
-    sb = stats.join(t.gas_station.select("station_id", "brand"), "station_id")
-    g = sb.groupBy("brand").agg(
-        F.count("*").alias("n_stations"),
-        F.sum("n_events").cast("long").alias("n_events"),
-        F.sum("n_responded").cast("long").alias("n_responded"),
-        F.sum("sum_days").cast("long").alias("sum_days"),
-        F.avg(ratio("sum_days", "n_responded")).alias("station_mean_days"))
-    avg = ratio("sum_days", "n_responded") if averaging == "pairs" else F.col("station_mean_days")
-    return g.select("brand", "n_stations", "n_events", "n_responded", avg.alias("avg_days"))
+    return _by_brand(t, stats, averaging)
 
 
-def q2a_crudes(spark: SparkSession, t, **kw) -> DataFrame:
-    """2-A for each crude (P7's three columns): crude, brand, ... The station-side
-    plan is the same for every crude, so Spark reuses its exchanges."""
-    from functools import reduce
-    from tidemark.schemas import CRUDES
-    parts = [q2a(spark, t, crude=c, **kw).select(F.lit(c).alias("crude"), "*") for c in CRUDES]
-    return reduce(DataFrame.unionByName, parts)
+def q2a_crudes(spark: SparkSession, t, min_change: float = 0.0, horizon_days: int | None = None,
+               averaging: str = "pairs", max_gap_days: int | None = None) -> DataFrame:
+    """2-A for each crude (P7's three columns) in one pass over the station panel:
+    crude, brand, ... Waits are calendar days; the other parameters are those of ``q2a``."""
+    if averaging not in ("pairs", "stations"):
+        raise ValueError(averaging)
+    stats = next_event_stats(spark, crude_rise_events(t, min_change), "event_date",
+                             station_rises(t, max_gap_days), "station_id", DATE, "is_rise",
+                             horizon_days, series="crude", names=CRUDES)
+    return _by_brand(t, stats, averaging, "crude")
 
 
 def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFrame:
@@ -181,31 +215,37 @@ def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
 
 
 def station_changes_by_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE,
-                             n: int = 5, **ma) -> DataFrame:
-    """Each station price change with the oil phase of its day."""
+                             n: int = 5, max_gap_days: int | None = None, **ma) -> DataFrame:
+    """Each station price change with the oil phase of its day; changes over more than
+    ``max_gap_days`` are left out, if given."""
     s = station_lagged(t).where(F.col("change").isNotNull())
+    if max_gap_days is not None:
+        s = s.where(F.col("gap_days") <= int(max_gap_days))
     ph = daily_phase(spark, t, crude, n, **ma).where(F.col("phase").isNotNull()) \
         .select(DATE, "phase", F.col("asof_date").alias("phase_date"))
-    return s.join(broadcast.series(ph), DATE).select(
+    return s.join(ph, DATE).select(
         "station_id", DATE, "price", "prev_price", "gap_days", "change", "phase", "phase_date")
 
 
 def q2b(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
         subject: str = "station", frame: str = "rows", require_full: bool = False,
-        rule: str = "ma_slope") -> DataFrame:
+        rule: str = "ma_slope", max_gap_days: int | None = None) -> DataFrame:
     """2-B: do prices rise faster than they fall ("rockets and feathers")?
 
     subject='station': station price changes in rising vs falling oil phases;
-    subject='oil': the oil price's own changes by its phase. One row:
+    subject='oil': the oil price's own changes by its phase. Changes over more than
+    ``max_gap_days`` calendar days are left out, if given. One row:
     n_rising, avg_change_rising, n_falling, avg_change_falling, asymmetry.
     """
     if subject == "station":
-        ch = station_changes_by_phase(spark, t, crude, n, frame=frame,
+        ch = station_changes_by_phase(spark, t, crude, n, max_gap_days, frame=frame,
                                       require_full=require_full, rule=rule)
     elif subject == "oil":
         ph = oil_phases(t, crude, n, frame=frame, require_full=require_full, rule=rule)
         ch = with_lag(ph.select(DATE, "oil_price", "phase"), "oil_price", DATE) \
             .where(F.col("change").isNotNull())
+        if max_gap_days is not None:
+            ch = ch.where(F.col("gap_days") <= int(max_gap_days))
     else:
         raise ValueError(subject)
     return asymmetry(ch, "phase", "change")
@@ -219,7 +259,7 @@ def changes_by_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int
 def station_with_oil(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     """Station prices on the days with an oil price (equi join on the date)."""
     o = oil_series(t, crude).withColumnRenamed("price", "oil_price")
-    return t.gas_price.join(broadcast.series(o), DATE).select("station_id", DATE, "price", "oil_price")
+    return t.gas_price.join(o, DATE).select("station_id", DATE, "price", "oil_price")
 
 
 def station_with_brand_prices(t) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Grain: the fact (rentals) is only ever aggregated map-side first (per hour, or per
 station and hour class); the weather side is an hourly series, bounded by the
-span and broadcast. No query here shuffles raw rental rows.
+span. No query but J2, which returns them, shuffles raw rental rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.predicates import HEAT_LIMIT_C, is_hot, precip_band
 from tidemark.functions.time import hour_of
-from tidemark.operators import broadcast
 from tidemark.operators.aggregates import ratio, split_counts
 from tidemark.operators.ingest import fill_gaps, hourly_counts
 from tidemark.plans.memo import per_tables
@@ -55,7 +54,7 @@ def hours_with_rentals(spark: SparkSession, t) -> DataFrame:
     rental count (0 if none). The hour is the kept side of both LEFT joins."""
     r = hourly_rentals(period_rentals(t))
     return (weather_axis(t.weather)
-            .join(broadcast.series(r), HOUR, "left")
+            .join(r, HOUR, "left")
             .select(HOUR, "precipitation", "feel_temp",
                     F.coalesce("n_rentals", F.lit(0)).cast("long").alias("n_rentals")))
 
@@ -89,23 +88,27 @@ def hour_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> D
         HOUR, is_hot("feel_temp", threshold).alias("is_hot"))
     if baseline == "same_hour":
         hods = hc.where("is_hot").select(F.hour(HOUR).alias("_hod")).distinct()
-        hc = hc.join(broadcast.series(hods), F.hour(HOUR) == F.col("_hod"), "left_semi")
+        hc = hc.join(hods, F.hour(HOUR) == F.col("_hod"), "left_semi")
     return hc
 
 
 def rentals_in_classes(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
     """J2 (first half): rentals joined to their hour's class. Rentals in an
-    unobserved hour have no class and drop out. The class table is one row per
-    hour and broadcast; rentals stream through without a shuffle."""
+    unobserved hour have no class and drop out. The class table (one row per hour) is
+    broadcast where its size allows; beyond that, rentals are shuffled by hour."""
     r = period_rentals(t).withColumn(HOUR, hour_of("rental_time"))
-    return r.join(broadcast.series(hour_classes(t, threshold, baseline)), HOUR)
+    return r.join(hour_classes(t, threshold, baseline), HOUR)
 
 
 def station_heat_counts(t, threshold: float = HEAT_LIMIT_C, baseline: str = "all") -> DataFrame:
-    """A3: per station, rentals in hot and in normal hours (one conditional pass)."""
-    return split_counts(rentals_in_classes(t, threshold, baseline).withColumnRenamed(
-        "rental_station_id", "station_id"), "station_id", "is_hot",
-        "hot_rentals", "normal_rentals")
+    """A3: per station, rentals in hot and in normal hours (one conditional pass).
+    Rentals are counted per station and hour first: whatever way the classes join, no raw
+    rental is shuffled, and an hour's or a station's many rentals are one row per task."""
+    per_hour = (period_rentals(t).groupBy(F.col("rental_station_id").alias("station_id"),
+                                          hour_of("rental_time").alias(HOUR))
+                .agg(F.count("*").alias("_n")))
+    return split_counts(per_hour.join(hour_classes(t, threshold, baseline), HOUR), "station_id",
+                        "is_hot", "hot_rentals", "normal_rentals", weight="_n")
 
 
 @per_tables
@@ -165,7 +168,7 @@ def class_rates(t, threshold: float = HEAT_LIMIT_C) -> DataFrame:
     hc = hour_classes(t, threshold)
     hours = hc.groupBy("is_hot").agg(F.count("*").alias("n_hours"))
     rentals = hourly_rentals(period_rentals(t))
-    per = (hc.join(broadcast.series(rentals), HOUR, "left")
+    per = (hc.join(rentals, HOUR, "left")
              .groupBy("is_hot").agg(F.coalesce(F.sum("n_rentals"), F.lit(0)).cast("long")
                                     .alias("rentals")))
     j = hours.join(per, "is_hot")

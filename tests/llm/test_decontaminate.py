@@ -85,3 +85,25 @@ def test_remove(spark):
     assert set(got) == {1, 3, 4}
     assert got[1].text == "Keep this.  And this." and got[1].n_chars == len(got[1].text)
     assert got[3].text == "clean" and got[3].n_chars == 5 and got[4].text is None
+
+
+def test_remove_does_not_depend_on_blocks(spark):
+    """A window over a span of another block is still found, and a cut joins no words into a new window."""
+    w = [f"w{i}" for i in range(30)]
+    first, second = " ".join(w[5:15]), " ".join(w[10:20])                # overlap in the document
+    bench = [(i, t) for i, t in enumerate([first, second, "left1 left2 left3 left4 left5 right1 right2 right3 right4 right5",
+                                           "x1 x2 x3 x4 x5 x6 x7 x8 x9 x10"])]
+    docs = [(1, " ".join(w)), (2, "a left1 left2 left3 left4 left5 x1 x2 x3 x4 x5 x6 x7 x8 x9 x10 right1 right2 right3 right4 right5 z"),
+            (3, first + " " + second), (4, "clean text"), (5, None)]
+    want = {1: "w0 w1 w2 w3 w4  " + " ".join(w[20:]), 2: "a left1 left2 left3 left4 left5  right1 right2 right3 right4 right5 z",
+            4: "clean text", 5: None}
+    d = spark.createDataFrame([(i, t, i) for i, t in docs], "doc_id long, text string, _spans int").repartition(2)
+    for bytes_ in (8 << 20, 90):
+        b = spark.createDataFrame(bench, "item_id long, text string")
+        out = dc.remove(d, b, block_bytes=bytes_)
+        assert out.columns == d.columns
+        assert {r.doc_id: r.text for r in out.collect()} == want, bytes_
+    docs, bench = make(random.Random(9))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    one = sorted(map(repr, dc.remove(d, b).collect()))
+    assert sorted(map(repr, dc.remove(d, b, block_bytes=40).collect())) == one

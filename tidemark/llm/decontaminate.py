@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tidemark.llm.common import alnum_words
 
@@ -182,6 +183,12 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def _both(old: list[dict], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans of the blocks before and those of this one, merged."""
+    both = [(x["start"], x["end"]) for x in old] + spans
+    return _merge(*np.array(both, np.int64).reshape(-1, 2).T)
+
+
 def _runs(ids: np.ndarray, least: int):
     """Starts and ends of the runs of non-zero numbers that have ``least`` of them at least."""
     edge = np.diff(np.concatenate([[0], (ids > 0).view(np.int8), [0]]))
@@ -244,8 +251,10 @@ def scan_texts(texts: list[str | None], block: dict, shard_words: int = SHARD_WO
     return [(n, merged.get(k, []), items.get(k, set())) for k, n in enumerate(n_words)]
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPANS_TYPE = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 _RESULT = pa.struct([("n_words", pa.int64()),
-                     ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                     ("spans", _SPANS),
                      ("items", pa.list_(pa.string()))])
 
 
@@ -280,10 +289,7 @@ def _pass(block, again: bool, last: bool):
         for b in batches:
             rows = scan_texts(b.column(1).to_pylist(), block.value)
             if again:                       # add to what the blocks before have found
-                rows = [(n, _merge(*(np.array(x, np.int64).reshape(-1) for x in
-                                     ([y["start"] for y in old["spans"]] + [s for s, _ in sp],
-                                      [y["end"] for y in old["spans"]] + [e for _, e in sp]))),
-                         it | set(old["items"]))
+                rows = [(n, _both(old["spans"], sp), it | set(old["items"]))
                         for (n, sp, it), old in zip(rows, b.column(2).to_pylist())]
             text = pa.nulls(b.num_rows, pa.string()) if last else b.column(1)
             yield pa.RecordBatch.from_arrays([b.column(0), text, _packed(rows)], ["_id", "_text", "_found"])
@@ -306,26 +312,43 @@ def cut_spans(text: str | None, spans) -> str | None:
 def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text",
            length_col: str | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` with the removal spans cut out of the texts (same columns). A document that
-    had words and keeps none of them goes; all others stay, clean ones unchanged."""
-    names, schema = docs.columns, docs.schema
-    sc = docs.sparkSession.sparkContext
-    df = docs
-    for block in phrase_blocks(benchmark, width, block_bytes):
-        df = df.mapInArrow(_cut_pass(sc.broadcast(block), names.index(text_col),
-                                     names.index(length_col) if length_col else None), schema)
+    had words and keeps none of them goes; all others stay, clean ones unchanged.
+
+    Every block searches the uncut texts, as in :func:`scan`; the merged spans of all blocks
+    are cut at once after the last, so the result does not depend on ``block_bytes``."""
+    names, sc = docs.columns, docs.sparkSession.sparkContext
+    extra = "_spans"
+    while extra in names:
+        extra += "_"
+    carried = StructType([*docs.schema.fields, StructField(extra, _SPANS_TYPE)])
+    df, again = docs, False
+    blocks = phrase_blocks(benchmark, width, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        share, block = sc.broadcast(block), next(blocks, None)
+        df = df.mapInArrow(_cut_pass(share, names.index(text_col), names.index(length_col) if length_col else None,
+                                     extra, again, block is None), docs.schema if block is None else carried)
+        again = True
     return df
 
 
-def _cut_pass(block, at: int, length_at: int | None):
+def _cut_pass(block, at: int, length_at: int | None, extra: str, again: bool, last: bool):
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()
-            rows = scan_texts(texts, block.value)
-            hit = [bool(sp) for _, sp, _ in rows]
+            spans = [sp for _, sp, _ in scan_texts(texts, block.value)]
+            if again:                       # add what the blocks before have found, and drop their column
+                spans = [_both(old, sp) for old, sp in zip(b.column(b.num_columns - 1).to_pylist(), spans)]
+                b = b.select(b.schema.names[:-1])
+            if not last:
+                found = pa.array([[{"start": s, "end": e} for s, e in sp] for sp in spans], _SPANS)
+                yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, extra])
+                continue
+            hit = [bool(sp) for sp in spans]
             if not any(hit):
                 yield b
                 continue
-            new = [cut_spans(t, sp) for t, (_, sp, _) in zip(texts, rows)]
+            new = [cut_spans(t, sp) for t, sp in zip(texts, spans)]
             keep = pa.array([not h or WORD.search(t) is not None for h, t in zip(hit, new)])
             cols = list(b.columns)
             cols[at] = pa.array(new, b.schema.field(at).type)

@@ -22,9 +22,11 @@ from tidemark.llm.queries import TOKENIZERS
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5, by a model learnt from ``labels`` outside the held-out fifth.
     Null and empty texts score as a text without features, which no rule rejects in a corpus of
-    mostly clean texts."""
+    mostly clean texts. Without a training row (no labels, or only null, held-out or foreign ones)
+    the model is empty and tells nothing of any text: every document stays."""
     labels = read_table(spark, sf_dir, "labels")
-    return toxicity.reject(docs, toxicity.fit(docs, labels.where(~F.coalesce(toxicity.held_out(), F.lit(True)))))
+    model = toxicity.fit(docs, labels.where(~F.coalesce(toxicity.held_out(), F.lit(True))))
+    return toxicity.reject(docs, model) if len(model[0]) else docs
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline on the small tables, and each stage's decision on hand-made rows."""
 
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -39,3 +40,12 @@ def test_stages_on_odd_rows(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), D).count() == 0, name
         stage(spark, docs, D).collect()
+
+
+def test_no_label_learnt_keeps_all(spark, tmp_path):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 0][:4]
+    docs = spark.createDataFrame([(i, t, "en", "s", 4) for i, t in zip(held, ["you moron", "fine words", "", None])],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for k, rows in enumerate(([], [(held[0], None), (None, 1)], [(i, 1) for i in held], [(1000 + i, i % 2) for i in range(20)])):
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        assert sorted(map(repr, cp.drop_toxic(spark, docs, f"{tmp_path}/{k}").collect())) == sorted(map(repr, docs.collect())), k

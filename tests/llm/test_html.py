@@ -21,6 +21,22 @@ def test_parse():
     assert text('<p>a<a title="x>y">b</a></p><!-- no <p>x</p> -->') == "ab"
 
 
+def test_names_are_whole_tokens():
+    """Class and id words drop comment lists and site parts, never a page, an article, a heading or a paragraph."""
+    for page in ("<body class='single comments-open'><article><p>x</p></article></body>", "<article class='post has-comments'><p>x</p></article>",
+                 "<div class='commentary'><p>x</p></div>", "<div class='content no-sidebar'><p>x</p></div>", "<body class='comments'><p>x</p></body>",
+                 "<article><h2 id='related-work'>x</h2></article>", "<article><section id='search-algorithms'><p>x</p></section></article>",
+                 "<article><section id='search'><p>x</p></section></article>", "<article><p id='notice' class='notice'>x</p></article>",
+                 "<p title='a hidden gem'>x</p>", "<article><p data-x=' hidden '>x</p></article>", "<article><div class='notice'>x</div></article>",
+                 "<p title=\"class='comments'\">x</p>", "<div title=\"class='ad'\" hidden='until-found'>x</div>", "<main id='comments'><p>x</p></main>"):
+        assert text(page) == "x", page
+    for gone in ("<div class='post-foot comments'>y</div>", "<ol class='comment-list'><li><article><p>y</p></article></ol>", "<div id=disqus_thread>y</div>",
+                 "<section id='comments'>y</section>", "<div hidden>y</div>", "<p hidden=''>y</p>", "<div class='x ad'>y</div>",
+                 "<div style='display: none'>y</div>", "<p aria-hidden=true>y</p>", "<div title='z' HIDDEN>y</div>"):
+        assert text(f"<p>x</p>{gone}") == text(f"<article><p>x</p>{gone}</article>") == "x", gone
+    assert text("<div id='sidebar'>y</div><p>x</p>") == "x"
+
+
 def test_known_layout(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r for r in web.extract(pages).collect()}

@@ -24,7 +24,7 @@ MIN_PAGES, MIN_SHARE = 3, 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW = frozenset("script style noscript textarea template iframe svg math object canvas audio video title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _JUNK = frozenset("nav aside form footer button select dialog menu head".split()) | _RAW
@@ -33,28 +33,44 @@ _BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th cap
 _CLOSES_P = _BLOCK - {"br"}
 #: Elements in an article whose recurring subtrees are template; its paragraphs and headings never are.
 _PART = frozenset("div section ul ol table header figure details dl address".split())
-_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscri\w*|"
-                    r"sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|share|sharing|social|related|recommend\w*|comments?|commentlist|"
-                    r"disqus|login|search|toolbar|widget)(?:$|[\s_-])", re.I)
-_SITE_HEAD = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
+#: Elements that a class or id may mark; html, body, article, main, paragraphs, headings and inline text never are.
+_HOLDERS = frozenset("div section ul ol li dl table header details figure address center".split())
+#: Whole class tokens that name an advert, site or sharing part; looser words are left to the counts per host.
+_NAMES = frozenset("ad ads advert adverts advertisement sponsored promo cookie-notice cookie-banner cookie-consent newsletter "
+                   "newsletter-signup popup modal sidebar navbar nav navigation menu breadcrumb breadcrumbs footer site-footer "
+                   "masthead share sharing share-buttons social-share related-posts related-articles recommended toolbar".split())
+#: Whole class tokens and ids of the site's own parts, outside the main element only.
+_SITE = frozenset("header site-header topbar sidebar navbar nav navigation menu breadcrumb breadcrumbs footer site-footer masthead".split())
+#: Whole class tokens and ids of a list or block of reader comments.
+_READERS = frozenset("comments comment comment-list comments-list commentlist comments-area comments-section comment-section "
+                     "comment-thread comment-respond disqus_thread disqus-thread disqus".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
-_READERS = re.compile(r"comment|disqus", re.I)
 
 
-def _is_junk(tag: str, attrs: str, in_article: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a start tag, names in lower case; the first of a name counts, one without a value has an empty one."""
+    out: dict[str, str] = {}
+    for name, *vals in _ATTR.findall(text):
+        out.setdefault(name.lower(), "".join(vals))
+    return out
+
+
+def _is_readers(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in _HOLDERS and not _READERS.isdisjoint((attrs.get("class", "") + " " + attrs.get("id", "")).lower().split())
+
+
+def _is_junk(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in _JUNK or tag == "header" and not in_article:
         return True
     if not attrs or tag in ("article", "main", "body", "html"):
         return False
-    for name, *vals in _ATTR.findall(attrs):
-        v, name = "".join(vals), name.lower()
-        if name in ("class", "id") and (_NAMES.search(v) or not in_article and _SITE_HEAD.search(v)):
-            return True
-        if name == "role" and v.lower() in _ROLES or name == "aria-hidden" and v.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", v, re.I):
+    if tag in _HOLDERS:
+        classes, ids = attrs.get("class", "").lower().split(), attrs.get("id", "").lower().split()
+        if not _NAMES.isdisjoint(classes) or not in_article and not _SITE.isdisjoint(classes + ids):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs))
+    return (attrs.get("role", "").lower() in _ROLES or attrs.get("aria-hidden", "").lower() == "true"
+            or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
+            or attrs.get("hidden", "until-found").lower() != "until-found")
 
 
 class _Open:
@@ -134,8 +150,9 @@ def parse(page: str | None) -> dict:
                         break
         cur = stack[-1] if stack else top
         is_main = tag in ("article", "main") and not cur.readers
-        readers = cur.readers or any(_READERS.search("".join(v)) for name, *v in _ATTR.findall(m[2]) if name.lower() in ("class", "id"))
-        junk = False if is_main and not cur.main else cur.junk or readers or _is_junk(tag, m[2], cur.main)
+        attrs = _attributes(m[2])
+        readers = cur.readers or _is_readers(tag, attrs)
+        junk = False if is_main and not cur.main else cur.junk or readers or _is_junk(tag, attrs, cur.main)
         part = not junk and (tag in _PART if cur.main else tag in _BLOCK and not is_main and tag not in ("html", "body"))
         if not m[2].endswith("/") or tag in _BLOCK:
             stack.append(_Open(tag, junk, cur.main or is_main, readers, part))

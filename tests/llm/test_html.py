@@ -63,3 +63,24 @@ def test_templates_per_host(spark):
     assert got[55] == ["Copied story"]                                  # copies of one article are one
     assert got[40] == got[41] == [""]
     assert web.extract(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in web.extract(df).orderBy("page_id").collect()]
+
+
+def test_near_copies_stay_whole(spark):
+    """Near copies that differ in the title keep their body, in one part or in several; a true template still goes."""
+    url = "http://{}.example/{}".format
+    pages, want = [], []
+    for k in range(3):
+        pages.append((url("one", k), f"<article><h1>Title {k}</h1><div><p>same body</p></div></article>"))
+        want.append(f"Title {k}\nsame body")
+        pages.append((url("parts", k), f"<article><h1>Title {k}</h1><div>{''.join(f'<section><p>part {n} of the body</p></section>' for n in range(3))}</div></article>"))
+        want.append("\n".join([f"Title {k}", *(f"part {n} of the body" for n in range(3))]))
+        pages.append((url("bare", k), f"<body><h1>Title {k}</h1><div><p>{'the same long body of a story ' * 4}</p></div></body>"))
+        want.append(f"Title {k}\n{('the same long body of a story ' * 4).strip()}")
+        pages.append((url("true", k), f"<article><h1>Title {k}</h1><p>{'own ' * 20}{k}</p><div><p>Follow us</p></div></article>"))
+        want.append(f"Title {k}\n{'own ' * 20}{k}")
+    assert extracted(spark, pages) == want

@@ -21,6 +21,9 @@ from tidemark.llm.common import stage_table
 
 #: A subtree is template if it stands on this many articles of the host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
+#: A page is cut only if this share of its main text stays, inside an article and on pages without one;
+#: what recurs beyond that is a near copy's own text.
+LEAST_LEFT, LEAST_LEFT_PAGE = 0.5, 0.2
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
@@ -172,7 +175,8 @@ _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int6
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id, url, host, article (hash of all its text), blocks (text, hashes of the subtrees around it)."""
+    """id, url, host, article (hash of all its text), main (the text is that of an article or main element),
+    blocks (text, hashes of the subtrees around it)."""
     id_type = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -183,11 +187,12 @@ def parsed(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
                                   "little", signed=True) for d in docs]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(sig, pa.int64()),
+                pa.array([any(x[2] for x in d["blocks"]) for d in docs], pa.bool_()),
                 pa.array([[{"text": t, "within": [d["hashes"][k] for k in keys]} for t, keys, _ in d["blocks"]] for d in docs], _BLOCKS)],
-                [id_col, "url", "host", "article", "blocks"])
+                [id_col, "url", "host", "article", "main", "blocks"])
 
     return pages.select(id_col, "url", "html").mapInArrow(
-        run, f"{id_col} {id_type}, url string, host string, article long, blocks array<struct<text:string,within:array<long>>>")
+        run, f"{id_col} {id_type}, url string, host string, article long, main boolean, blocks array<struct<text:string,within:array<long>>>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -205,11 +210,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", min_pages: int = MIN_PAGE
     Null and empty html give an empty text; a null url is a host of its own; repeated rows
     each give a row; an empty table gives none; other columns are not read. Character
     references are decoded, white space in a block becomes one space, blocks join by a
-    line feed. The parsed pages are written once and read for the counts and the texts."""
+    line feed. A page whose recurring subtrees hold too much of its main text (``LEAST_LEFT``) is a near
+    copy of others and stays whole. The parsed pages are written once and read for the counts and the texts."""
     rows = stage_table(parsed(pages, id_col).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
     found = templates(rows, min_pages, min_share)
     hits = (rows.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("hash"))
             .join(found, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("cut")))     # one page's subtrees at most
-    kept = F.filter("blocks", lambda x: F.col("cut").isNull() | ~F.arrays_overlap(x["within"], F.col("cut")))
-    out = rows.join(hits, "row", "left").select(id_col, "url", F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"))
+    kept = F.filter("blocks", lambda x: ~F.arrays_overlap(x["within"], F.col("cut")))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
+    least = F.when(F.col("main"), F.lit(LEAST_LEFT)).otherwise(F.lit(LEAST_LEFT_PAGE))
+    stays = F.when(F.col("cut").isNotNull() & (chars(kept) >= least * chars(F.col("blocks"))), kept).otherwise(F.col("blocks"))
+    out = rows.join(hits, "row", "left").select(id_col, "url", F.array_join(F.transform(stays, lambda x: x["text"]), "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -84,3 +84,16 @@ def test_near_copies_stay_whole(spark):
         pages.append((url("true", k), f"<article><h1>Title {k}</h1><p>{'own ' * 20}{k}</p><div><p>Follow us</p></div></article>"))
         want.append(f"Title {k}\n{'own ' * 20}{k}")
     assert extracted(spark, pages) == want
+
+
+def test_block_of_a_section_on_a_large_host(spark):
+    """A block on 20 of a host's 100 pages goes, in articles and without; a paragraph on as many stays."""
+    block = "<div><p>Subscribe to the travel section</p><ul><li>Offers</ul></div>"
+    pages, want = [], []
+    for k in range(100):
+        story = f"Story {k} " + "tells something else " * 5 + str(k)
+        for host, head, tail in (("a", "<article>", "</article>"), ("b", "<body>", "</body>")):
+            pages.append((f"http://{host}.example/{k}", f"{head}<p>{story}</p><p>Yes.</p>{block if k < 20 else ''}{tail}" if k < 25 else
+                          f"{head}<p>{story}</p>{tail}"))
+            want.append(f"{story}\nYes." if k < 25 else story)
+    assert extracted(spark, pages) == want

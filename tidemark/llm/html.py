@@ -21,6 +21,8 @@ from tidemark.llm.common import stage_table
 
 #: A subtree is template if it stands on this many articles of the host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
+#: On this many articles a container is template on a host of any size; single paragraphs, cells and items need the share.
+MANY_PAGES = 10
 #: A page is cut only if this share of its main text stays, inside an article and on pages without one;
 #: what recurs beyond that is a near copy's own text.
 LEAST_LEFT, LEAST_LEFT_PAGE = 0.5, 0.2
@@ -113,7 +115,8 @@ def parse(page: str | None) -> dict:
         while len(stack) > k:
             o = stack.pop()
             if o.key is not None:
-                hashes[o.key] = int.from_bytes(o.digest.digest(), "little", signed=True)
+                h = int.from_bytes(o.digest.digest(), "little", signed=True)
+                hashes[o.key] = h | 1 if o.tag in _PART else h & ~1       # the lowest bit tells containers
 
     at, n = 0, len(page)
     while at < n:
@@ -195,13 +198,16 @@ def parsed(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
         run, f"{id_col} {id_type}, url string, host string, article long, main boolean, blocks array<struct<text:string,within:array<long>>>")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hash of the subtrees that stand on ``min_pages`` and ``min_share`` of the host's different articles.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """host, hash of the subtrees that stand on ``min_pages`` and ``min_share`` of the host's different articles; for
+    containers ``many_pages`` are enough, so that a section's block goes on a large host as on a small one.
     Distinct rows and counts combine in the map tasks, so a large host is no hot spot."""
     n = pages.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     seen = (pages.select("host", "article", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("hash")).distinct()
             .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
-    return seen.join(n, "host").where(F.col("n") >= min_share * F.col("n_host")).select("host", "hash")
+    container = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    often = (F.col("n") >= min_share * F.col("n_host")) | container & (F.col("n") >= many_pages)
+    return seen.join(n, "host").where(often).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

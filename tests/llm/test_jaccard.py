@@ -88,3 +88,15 @@ def test_chains_and_stars(spark):
         w[rng.randrange(160)] = f"n{i}"
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(map(tuple, jac.components(df).collect())) == brute(docs, 4, 85)
+
+
+def test_counts_over_16_bits_do_not_bound():
+    """A set of more shingles than a 16-bit coordinate counts is packed, and no pair of such sets is lost."""
+    a, b = np.full(jac.DIMS, 10), np.full(jac.DIMS, 10)
+    a[7], b[7] = 1_000_000, 990_000
+    points = np.frombuffer(jac.pack(a) + jac.pack(b) + jac.pack(np.full(jac.DIMS, 10)), "<u2").reshape(3, -1)
+    sizes = np.array([a.sum(), b.sum(), 10 * jac.DIMS])
+    assert jac.may_link(points[:1], points[1:2], sizes[:1] + sizes[1:2], 85).all()
+    assert not jac.may_link(points[:1], points[2:], sizes[:1] + sizes[2:], 85).any()
+    tree = jac.RTree(np.repeat(points, 20, axis=0), np.repeat(sizes, 20), 85)
+    assert sorted(tree.search(points[0], int(sizes[0])).tolist()) == list(range(40))

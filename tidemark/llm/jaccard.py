@@ -104,11 +104,20 @@ def point_of(h: np.ndarray) -> np.ndarray:
     return np.bincount((h >> U64(56)).astype(np.int64), minlength=DIMS)
 
 
+#: Largest count of a packed point; it stands for any count from there on.
+MOST = 65535
+
+
 def pack(point: np.ndarray) -> bytes:
-    """Counts as 16-bit numbers; a count beyond them (a set of 16 million shingles) is an error, not a wrong bound."""
-    if point.max(initial=0) > 65535:
-        raise ValueError("a count point holds 65535 at most; use more dimensions")
-    return point.astype("<u2").tobytes()
+    """Counts as 16-bit numbers; larger ones (in sets of some 16 million shingles) become ``MOST``."""
+    return np.minimum(point, MOST).astype("<u2").tobytes()
+
+
+def may_link(p: np.ndarray, q: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the summed minima of the points allow the overlap that sets of ``sizes`` elements together need.
+    A coordinate that is ``MOST`` in both gives no bound, so the whole sets decide."""
+    least = np.minimum(p, q)
+    return ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * sizes) | (least >= MOST).any(axis=1)
 
 
 class RTree:
@@ -138,8 +147,7 @@ class RTree:
         for k in range(len(self.levels) - 1, -1, -1):
             p, s = self.levels[k]
             at = at[at < len(s)]
-            fits = (100 + self.percent) * np.minimum(p[at], q).sum(axis=1, dtype=np.int64) >= self.percent * (size + s[at])
-            at = at[fits]
+            at = at[may_link(p[at], q, size + s[at], self.percent)]
             if k:
                 at = (at[:, None] * self.FAN + np.arange(self.FAN)).ravel()
         return self.order[at]
@@ -206,8 +214,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             n = b.column(2).to_numpy() + b.column(4).to_numpy()
             p, q = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, DIMS) for c in (b.column(3), b.column(5)))
-            fits = (100 + percent) * np.minimum(p, q).sum(axis=1, dtype=np.int64) >= percent * n
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fits))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(may_link(p, q, n, percent)))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_p", "b_n", "b_p")
     return both.mapInArrow(run, "a long, b long")

@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html, jaccard, licenses, pii, quality, sharding, suffixes, toxicity
+from tidemark.llm import (ballcodes, bpe, collocations, decontaminate, html, jaccard, licenses, minhash, pii, quality,
+                          sharding, suffixes, toxicity)
 from tidemark.llm.common import read_table
 
 #: Folder of the public tokenizers' vocabulary files.
@@ -64,7 +65,23 @@ def op10_suffixes(spark, sf_dir):
     return suffixes.removal(read_table(spark, sf_dir, "documents"), 400)
 
 
+def op11_vector_codes(spark, sf_dir):
+    """Codes of eight parts by ball k-means codebooks of 16 entries."""
+    return ballcodes.encode(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash(spark, sf_dir):
+    """Near-duplicate groups at a Jaccard similarity of 0.85 of 3-word shingles."""
+    return minhash.groups(read_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op13_collocations(spark, sf_dir):
+    """Each language's first 2,000 phrases of two and three words."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_html, op3_decontaminate, op4_quality, op5_jaccard, op6_toxicity,
-                                   op7_licenses, op8_bpe, op9_sharding, op10_suffixes)}
+                                   op7_licenses, op8_bpe, op9_sharding, op10_suffixes, op11_vector_codes, op12_minhash, op13_collocations)}
 
-ORACLE = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL}
+ORACLE = {"op3_decontaminate": decontaminate.ORACLE_SQL, "op5_jaccard": jaccard.ORACLE_SQL,
+          "op11_vector_codes": ballcodes.oracle_sql(), "op12_minhash": minhash.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}

@@ -63,20 +63,40 @@ def test_repeated_and_null_ids(spark):
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False), (None, 1, None, False), (5, 2, 1, False)], key=repr)
 
 
-def test_blocks_meet_each_pair_once(monkeypatch):
-    """Outliers meet members of other components once, whatever the pairs compared at once."""
-    rng = np.random.default_rng(6)
-    sig = rng.integers(0, 65536, (30, mh.POSITIONS)).astype("<u2")
-    sig[1::2] = sig[::2]                                               # 15 pairs of equal signatures
-    sids = [bytes([k]) for k in range(30)]
-    roots = [f"r{k // 10 if k < 20 else k}" for k in range(30)]
-    member = [(sids[k], roots[k], sig[k].tobytes(), k >= 10) for k in range(30)]
-    frame = pd.DataFrame([(0, s, r, g, True, True) for s, r, g, o in member if o] + [(0, s, r, g, False, o) for s, r, g, o in member],
-                         columns=["band", "sid", "root", "sig", "outlier", "also_outlier"])
-    want = {(sids[k], sids[k + 1]) for k in range(20, 30, 2)}          # those in one component are not compared
+def test_blocks_join_what_is_linked(monkeypatch):
+    """Outliers meet members of other components, whatever the pairs compared at once; links are confirmed on
+    words and join each two components once."""
+    rng, signer = random.Random(6), mh.Signer(3)
+    texts = []
+    for k in range(15):
+        w = [f"v{rng.randrange(5000)}".encode() for _ in range(80)]
+        texts += [b" ".join(w), b" ".join(w + [b"more"])]              # 15 pairs that link
+    texts[29] = texts[28].replace(b" ", b" x ", 30)                     # the last does not, whatever its signature says
+    sids, roots = [bytes([k]) for k in range(30)], [f"r{k // 10 if k < 20 else k}" for k in range(30)]
+    sig = [signer.signature(signer.hashes(texts[k & ~1].split(b" "))).tobytes() for k in range(30)]
+    member = [(sids[k], roots[k], sig[k], texts[k], k >= 10) for k in range(30)]
+    frame = pd.DataFrame([(0, *m[:4], True, True) for m in member if m[4]] + [(0, *m[:4], False, m[4]) for m in member],
+                         columns=["band", "sid", "root", "sig", "words", "outlier", "also_outlier"])
+    want = {(sids[k], sids[k + 1]) for k in range(20, 28, 2)}          # those in one component are not compared
     for at_once in (1, 50, 10 ** 6):
         monkeypatch.setattr(mh, "AT_ONCE", at_once)
-        got = mh._block_pairs(frame, 85)
+        got = mh._block_links(frame, 3, 85)
         assert sorted(zip(got["a"], got["b"])) == sorted(want)
     # with a later band the first shared one has handled the pair
-    assert mh._block_pairs(frame.assign(band=3), 85).empty
+    assert mh._block_links(frame.assign(band=3), 3, 85).empty
+    # a clique of outliers gives a tree of links
+    clique = pd.DataFrame([(0, bytes([k]), f"r{k}", sig[0], texts[0], o, True) for o in (True, False) for k in range(12)], columns=frame.columns)
+    assert len(mh._block_links(clique, 3, 85)) == 11
+
+
+def test_shingle_ids_are_the_shingles():
+    rng = random.Random(8)
+    texts = [b" ".join(rng.choice([b"a", b"b", b"c", b"dd"]) for _ in range(n)) for n in (1, 2, 3, 9, 40, 40, 80)]
+    for width in (1, 3, 5):
+        ids, sets = mh.shingle_ids(texts, width), [mh.shingle_set(t.split(b" "), width) for t in texts]
+        for x, s, t in zip(ids, sets, texts):
+            assert len(x) == (len(s) if t.count(b" ") + 1 >= width else 0)
+            for y, r, u in zip(ids, sets, texts):
+                if min(t.count(b" "), u.count(b" ")) + 1 >= width:
+                    assert len(np.intersect1d(x, y)) == len(s & r)
+    assert mh.shingle_ids([], 3) == []

@@ -10,7 +10,8 @@ confirmed on their whole shingle sets, word by word. Equal word sequences collap
 Within a band's bucket not all pairs are formed. First every text meets the bucket's centre, the
 text that shares most buckets with others (a star: one pair a member). What the stars link is one
 component. Only texts that stay outside their centre's component (outliers) are then held against
-the bucket's other components, as blocks of signatures; a pair is taken in the first band it shares.
+the bucket's other components, in blocks of signatures and words; a pair is taken in the first band
+it shares, and confirmed inside its block, which gives out no more links than join its components.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ POSITIONS = ROWS * BANDS
 BATCH = 32
 #: Chance at which a pair that reaches the threshold may be given up by a look.
 MISS = 1e-10
-#: Texts of one side of a block, and pairs compared at once.
-BLOCK, AT_ONCE = 8192, 1 << 18
+#: Texts and bytes of one side of a block, and pairs compared at once.
+BLOCK, BLOCK_BYTES, AT_ONCE = 4096, 1 << 25, 1 << 18
 #: Shingles hashed at once, and words whose hashes a task keeps.
 SLICE, WORDS = 4096, 200_000
 
@@ -200,14 +201,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             .mapInArrow(run, "a binary, b binary"))
 
 
-def _block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of a block's outliers with its members of other components that no look gives up and
-    that share no earlier band."""
-    out, rest = pdf[pdf["outlier"]], pdf[~pdf["outlier"]]
-    empty = pd.DataFrame({"a": pd.Series([], dtype=object), "b": pd.Series([], dtype=object)})
-    if not len(out) or not len(rest):
-        return empty
-    band = int(pdf["band"].iloc[0])
+def shingle_ids(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Distinct shingles of each text as numbers, equal for equal words in any of the texts. A text of fewer than
+    ``width`` words has none: its one shingle stands in no other word sequence."""
+    if not texts:
+        return []
+    known: dict[bytes, int] = {}
+    words = [np.array([known.setdefault(w, len(known)) for w in t.split(b" ")], np.int64) for t in texts]
+    lengths = np.array([max(0, len(w) - width + 1) for w in words])
+    ids = np.zeros(lengths.sum(), np.int64)
+    for i in range(width):                                       # numbers stay under positions * words: exact
+        step = np.concatenate([w[i:i + n] for w, n in zip(words, lengths)])
+        ids = np.unique(ids * max(1, len(known)) + step, return_inverse=True)[1]
+    return [np.unique(x) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+
+
+def _screened(out: pd.DataFrame, rest: pd.DataFrame, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (outlier, member) of the pairs in different components that no look gives up and that share no
+    band before ``band``; ordered by outlier."""
     x, y = _matrix(out["sig"]), _matrix(rest["sig"])
     x_root, y_root = out["root"].to_numpy(), rest["root"].to_numpy()
     x_sid, y_sid = out["sid"].to_numpy(), rest["sid"].to_numpy()
@@ -224,26 +235,69 @@ def _block_pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         if band:
             same = (x[i, :band * ROWS] == y[j, :band * ROWS]).reshape(-1, band, ROWS).all(axis=2).any(axis=1)
             i, j = i[~same], j[~same]
-        a.append(x_sid[i]), b.append(y_sid[j])
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else empty
+        a.append(i.astype(np.int32)), b.append(j.astype(np.int32))
+    return np.concatenate(a), np.concatenate(b)
 
 
-def _outlier_pairs(keyed: DataFrame, roots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs of each bucket's outliers with its members in other components. ``keyed``: key, band, sid, pivot."""
+def _block_links(pdf: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
+    """Links between a block's outliers and its members of other components, confirmed on their words: as many as
+    join what is linked, at most one less than the components."""
+    out, rest = pdf[pdf["outlier"]], pdf[~pdf["outlier"]]
+    found: list[tuple[bytes, bytes]] = []
+    if len(out) and len(rest):
+        i, j = _screened(out, rest, int(pdf["band"].iloc[0]), percent)
+        one, two = np.unique(i), np.unique(j)
+        ids = shingle_ids([out["words"].iloc[k] for k in one.tolist()] + [rest["words"].iloc[k] for k in two.tolist()], width)
+        mine, theirs = dict(zip(one.tolist(), ids)), dict(zip(two.tolist(), ids[len(one):]))
+        up: dict[bytes, bytes] = {}
+
+        def root(r):
+            while r in up:
+                r = up[r]
+            return r
+
+        x_root, y_root, x_sid, y_sid = out["root"].tolist(), rest["root"].tolist(), out["sid"].tolist(), rest["sid"].tolist()
+        has = np.zeros(max((int(x[-1]) for x in ids if len(x)), default=0) + 1, bool)
+        for members in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+            k = int(i[members[0]])
+            near = [m for m in j[members].tolist() if len(theirs[m]) and root(y_root[m]) != root(x_root[k])]
+            if not near or not len(mine[k]):
+                continue
+            has[mine[k]] = True
+            sizes = np.array([len(theirs[m]) for m in near])
+            both = np.add.reduceat(has[np.concatenate([theirs[m] for m in near])].astype(np.int64), np.cumsum(sizes) - sizes)
+            has[mine[k]] = False
+            for m in np.flatnonzero(100 * both >= percent * (len(mine[k]) + sizes - both)).tolist():
+                r, s = root(x_root[k]), root(y_root[near[m]])
+                if r != s:
+                    up[r] = s
+                    found.append((x_sid[k], y_sid[near[m]]))
+    return pd.DataFrame({"a": pd.Series([x for x, _ in found], dtype=object), "b": pd.Series([y for _, y in found], dtype=object)})
+
+
+def _outlier_links(keyed: DataFrame, roots: DataFrame, signed: DataFrame, docs: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
+    """Links of each bucket's outliers with its members in other components. ``keyed``: key, band, sid, pivot."""
     named = keyed.join(roots.withColumnRenamed("v", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     of_pivot = roots.select(F.col("v").alias("pivot"), F.col("root").alias("pivot_root"))
     named = stage_table(named.join(of_pivot, "pivot", "left").where("sid <> pivot")     # the centre has met all
                         .select("key", "band", "sid", "root", (F.col("root") != F.coalesce("pivot_root", "pivot")).alias("strays")), "minhash-members")
-    size = (named.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.count_if("strays").alias("k"),
-                                     F.min("root").alias("lo"), F.max("root").alias("hi"))
-            .where("k > 0 and lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("m"), F.ceil(F.col("k") / BLOCK).cast("int").alias("k")))
-    members = named.join(size, "key").join(signed.select("sid", "sig"), "sid")
-    slot = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    mixed = (named.groupBy("key").agg(F.count_if("strays").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("k > 0 and lo <> hi").select("key"))
+    named = named.join(mixed, "key")
+    needed = stage_table(named.select("sid").distinct(), "minhash-mixed")
+    texts = _texts(docs, needed, text_col).join(signed.select("sid", "sig"), "sid")
+    members = stage_table(named.join(stage_table(texts, "minhash-mixed-texts"), "sid"), "minhash-blocks")
+    blocks = lambda rows, size: F.ceil(F.greatest(rows / F.lit(BLOCK), size / F.lit(BLOCK_BYTES))).cast("int")
+    size, strays = F.length("words"), F.col("strays")
+    dealt = members.groupBy("key").agg(blocks(F.count(F.lit(1)), F.sum(size)).alias("m"),
+                                       blocks(F.count_if("strays"), F.coalesce(F.sum(F.when(strays, size)), F.lit(0))).alias("k"))
+    members = members.join(dealt, "key")
+    slot = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "band", "sid", "root", "sig"]
-    out = members.where("strays").select(*columns, F.lit(True).alias("outlier"), F.lit(True).alias("also_outlier"), slot(F.col("k")).alias("i"), every("m").alias("j"))
-    rest = members.select(*columns, F.lit(False).alias("outlier"), F.col("strays").alias("also_outlier"), every("k").alias("i"), slot(F.col("m")).alias("j"))
-    return out.unionByName(rest).groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_pairs(pdf, percent), "a binary, b binary")
+    columns = ["key", "band", "sid", "root", "sig", "words"]
+    out = members.where("strays").select(*columns, F.lit(True).alias("outlier"), F.lit(True).alias("also_outlier"), slot("k").alias("i"), every("m").alias("j"))
+    rest = members.select(*columns, F.lit(False).alias("outlier"), strays.alias("also_outlier"), every("k").alias("i"), slot("m").alias("j"))
+    return out.unionByName(rest).groupBy("key", "i", "j").applyInPandas(lambda pdf: _block_links(pdf, width, percent), "a binary, b binary")
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,15 +317,11 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85, id_col: str = "do
     centre = ranked.groupBy("key").agg(F.max(F.struct("degree", "sid"))["sid"].alias("pivot"))
     keyed = stage_table(ranked.select("key", "band", "sid").join(centre, "key"), "minhash-keyed")
 
-    def linked(promising: DataFrame) -> DataFrame:
-        pairs = stage_table(promising.distinct(), "minhash-pairs")
-        needed = stage_table(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "minhash-needed")
-        texts = stage_table(_texts(docs, needed, text_col), "minhash-texts")
-        return stage_table(_confirmed(pairs, texts, width, percent), "minhash-links")
-
     stars = keyed.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
-    links = linked(_promising(stars, signed, percent))
-    more = linked(_outlier_pairs(keyed, connected(links), signed, percent))
+    pairs = stage_table(_promising(stars, signed, percent), "minhash-pairs")
+    needed = stage_table(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "minhash-needed")
+    links = stage_table(_confirmed(pairs, stage_table(_texts(docs, needed, text_col), "minhash-texts"), width, percent), "minhash-links")
+    more = stage_table(_outlier_links(keyed, connected(links), signed, docs, width, percent, text_col), "minhash-more")
     roots = connected(links.union(more))
     rows = (signed_rows.select("id", "n", "sid").join(roots.withColumnRenamed("v", "sid"), "sid", "left")
             .select("id", "n", F.coalesce("root", "sid").alias("group")))

@@ -49,10 +49,11 @@ def corpus(rng, n):
 ODD = [("en", None), (None, ""), ("en", " . , \n"), ("en", "one"), ("en", "a b. a b"), ("nul", "\x00 \x1f\x85  x"), ("zz", "same same same " * 40)]
 
 
-@pytest.mark.parametrize("per_bucket", [1 << 20, 500, 60])
-def test_equal_to_counting(spark, monkeypatch, per_bucket):
+@pytest.mark.parametrize("per_bucket, least", [(1 << 20, 1), (500, 1), (60, 1), (1 << 20, 64)])
+def test_equal_to_counting(spark, monkeypatch, per_bucket, least):
     """One bucket; buckets with split words; buckets with split words and pairs."""
     monkeypatch.setattr(co, "PER_BUCKET", per_bucket)
+    monkeypatch.setattr(co, "LEAST_BUCKETS", least)
     docs = corpus(random.Random(3), 400) + ODD
     df = spark.createDataFrame([(lang, t, 1, "x") for lang, t in docs], "lang string, text string, n int, word string").repartition(3)
     assert sorted(map(tuple, co.collocations(df).collect())) == brute(docs)
@@ -65,9 +66,12 @@ def test_top_cuts_each_language(spark):
     assert sorted(map(tuple, co.collocations(df, top=3).collect())) == brute(docs, top=3)
 
 
-def test_equal_parts_are_counts():
+@pytest.mark.parametrize("small", [0, 100, 1 << 20])
+def test_equal_parts_are_counts(monkeypatch, small):
+    monkeypatch.setattr(co, "SMALL_PART", small)
     rng = np.random.default_rng(5)
     words = rng.integers(0, 6, (3, 3000))
+    words[1][words[0] == 0] = 0
     words[2][words[1] == 0] = 0                                       # a suffix that is over stays over
     weight = rng.integers(1, 4, 3000)
     want = Counter()
@@ -80,6 +84,15 @@ def test_equal_parts_are_counts():
         assert got == {p: n for p, n in want.items() if n >= floor}
 
 
+def test_distinct_triples_of_few_and_many_words():
+    rng = np.random.default_rng(6)
+    for v in (7, 1 << 22):
+        a, b, c = rng.integers(max(0, v - 7), v, (3, 500))
+        want = Counter(zip(a.tolist(), b.tolist(), c.tolist()))
+        x, y, z, n = co._distinct(a, b, c, v)
+        assert dict(zip(zip(x.tolist(), y.tolist(), z.tolist()), n.tolist())) == want
+
+
 def test_slices_cut_between_words(monkeypatch):
     text = "ab cd,ef " * 50 + "x" * 100 + " y"
     whole = [w for part in co.tokens(text) for w in part]

@@ -33,9 +33,11 @@ from tidemark.llm.common import U64, is_present, mix64, presence, stage_table
 MOST_WORDS = 3
 #: Positions of a run (held by a task at once) and words it keeps numbers for.
 RUN, WORDS = 1 << 21, 1 << 20
-#: Pointers (with their weights counted out) meant for a bucket; buckets at most. Words and pairs that
-#: would fill a bucket are at most twice the buckets, so the table of them that tasks hold is bounded.
-PER_BUCKET, MOST_BUCKETS = 1 << 20, 1 << 16
+#: Positions meant for a bucket; fewest and most buckets. Words and pairs that would fill a bucket are
+#: at most three times the buckets, so the table of them that tasks hold is bounded.
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 64, 1 << 16
+#: Pointers of a part that is sorted at once.
+SMALL_PART = 1 << 12
 #: Bytes of a text taken at once.
 SLICE = 1 << 20
 END = 0
@@ -176,16 +178,9 @@ def _pointers(texts: DataFrame, frequent, routes) -> DataFrame:
             at = np.where(often[at], at, END)
             w1 = at[:-MOST_WORDS]
             start = np.flatnonzero(w1 != END)
-            a = w1[start].astype(np.int64)
-            b = at[start + 1].astype(np.int64)
-            c = np.where(b != END, at[start + 2], END).astype(np.int64)
-            order = np.lexsort((c, b, a))
-            a, b, c = a[order], b[order], c[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-            first = np.flatnonzero(new)
-            weight = np.diff(np.append(first, len(a)))
-            a, b, c = a[first], b[first], c[first]
+            b = at[start + 1]
+            c = np.where(b != END, at[start + 2], END)
+            a, b, c, weight = _distinct(w1[start].astype(np.int64), b.astype(np.int64), c.astype(np.int64), v)
             # by leading word; by two where that word is split; by all three where the pair is
             number = {w: k for k, w in enumerate(r.words)}
             hot = np.zeros(v, bool)
@@ -204,21 +199,74 @@ def _pointers(texts: DataFrame, frequent, routes) -> DataFrame:
             h = np.where(two, mix64(h * U64(3) + hashes[b]), h)
             h = np.where(three, mix64(h * U64(3) + hashes[c]), h)
             bucket = (mix64(h) % U64(split.buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16), kind="stable")     # MOST_BUCKETS fit 16 bits
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
             for piece in np.split(order, cuts) if len(order) else ():
-                used, code = np.unique(np.concatenate([a[piece], b[piece], c[piece]]), return_inverse=True)
-                if used[0] != END:
-                    used, code = np.append(END, used), code + 1
-                names = [r.words[k] for k in used.tolist()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(bucket[piece[0]])], pa.int32()), pa.array([[x[0] for x in names]], pa.list_(pa.string())),
-                    pa.array([[x[1].decode("utf-8", "surrogatepass") for x in names]], pa.list_(pa.string())),
-                    pa.array([pa.compress(code.astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.array([pa.compress(weight[piece].astype("<i4").tobytes(), "zstd", asbytes=True)], pa.binary()),
-                    pa.array([len(piece)], pa.int32())], ["bucket", "langs", "words", "code", "weight", "m"])
-
-    return texts.mapInArrow(run, "bucket int, langs array<string>, words array<string>, code binary, weight binary, m int")
+                yield _packed(int(bucket[piece[0]]), r, np.stack([a[piece], b[piece], c[piece]]), weight[piece])
+
+    return texts.mapInArrow(run, "bucket int, langs array<string>, lang_of binary, words binary, size long, code binary, weight binary, m int, v int")
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, c: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct triples of numbers under ``v``, in order, and how often each stands."""
+    pairs = None
+    ab = a * v + b
+    if v >= 1 << 21:                                                 # a triple would not fit 63 bits
+        pairs, ab = np.unique(ab, return_inverse=True)
+    code, weight = np.unique(ab * v + c, return_counts=True)
+    ab, c = np.divmod(code, v)
+    a, b = np.divmod(pairs[ab] if pairs is not None else ab, v)
+    return a, b, c, weight
+
+
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _packed(bucket: int, r: Run, pointers: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    """One row: the words that the pointers use and, per pointer, numbers of its words and its weight."""
+    mark = np.zeros(len(r.words), bool)
+    mark[pointers] = True
+    mark[END] = True
+    used = np.flatnonzero(mark)
+    number = np.zeros(len(r.words), "<u2" if len(used) <= 1 << 16 else "<u4")
+    number[used] = np.arange(len(used))
+    names = [r.words[k] for k in used[1:].tolist()]
+    langs = sorted({x[0] for x in names})
+    place = {x: k for k, x in enumerate(langs)}
+    words = b".".join([x[1] for x in names])                        # no word holds a full stop
+    return pa.RecordBatch.from_arrays([
+        pa.array([bucket], pa.int32()), pa.array([langs], pa.list_(pa.string())), pa.array([_small(np.array([place[x[0]] for x in names], "<u4"))], pa.binary()),
+        pa.array([pa.compress(words, "zstd", asbytes=True)], pa.binary()), pa.array([len(words)], pa.int64()),
+        pa.array([_small(number[pointers])], pa.binary()), pa.array([_small(weight.astype("<i4"))], pa.binary()),
+        pa.array([pointers.shape[1]], pa.int32()), pa.array([len(names)], pa.int32())],
+        ["bucket", "langs", "lang_of", "words", "size", "code", "weight", "m", "v"])
+
+
+def _unpacked(row) -> tuple[list[tuple[str, bytes]], np.ndarray, np.ndarray]:
+    """Words of a packed row, the numbers of its pointers' words (one row per depth) and their weights."""
+    m, v = int(row.m), int(row.v)
+    take = lambda x, kind, n: np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+    names = pa.decompress(row.words, int(row.size), "zstd", asbytes=True).split(b".") if v else []
+    of = take(row.lang_of, "<u4", v).tolist() if v else []
+    code = take(row.code, "<u2" if v < 1 << 16 else "<u4", MOST_WORDS * m)
+    return [(row.langs[k], w) for k, w in zip(of, names)], code.reshape(MOST_WORDS, m), take(row.weight, "<i4", m)
+
+
+def _sorted_counts(words: np.ndarray, weight: np.ndarray, at: np.ndarray, depth: int, floor: int) -> list[tuple[int, int, int]]:
+    """The equal parts of a small part, by one sort of what is left of its suffixes."""
+    keys = words[depth:, at]
+    order = np.lexsort(keys[::-1])
+    at, keys = at[order], keys[:, order]
+    new, out = np.zeros(len(at), bool), []
+    new[0] = True
+    for k in range(len(keys)):
+        new[1:] |= keys[k, 1:] != keys[k, :-1]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(weight[at], first)
+        full = (total >= floor) & (keys[k, first] != END)
+        out += zip(at[first[full]].tolist(), [depth + k + 1] * int(full.sum()), total[full].tolist())
+    return out
 
 
 def equal_parts(words: np.ndarray, weight: np.ndarray, at: np.ndarray, depth: int, floor: int) -> Iterator[tuple[int, int, int]]:
@@ -229,6 +277,9 @@ def equal_parts(words: np.ndarray, weight: np.ndarray, at: np.ndarray, depth: in
         at, d = stack.pop()
         if not len(at) or weight[at].sum() < floor:
             continue                                                  # no phrase in it can reach the floor
+        if len(at) <= SMALL_PART:
+            yield from _sorted_counts(words, weight, at, d, floor)
+            continue
         key = words[d][at]
         pivot = sorted((key[0], key[len(key) // 2], key[-1]))[1]
         same = key == pivot
@@ -247,13 +298,14 @@ def equal_parts(words: np.ndarray, weight: np.ndarray, at: np.ndarray, depth: in
 def _bucket_counts(pdf: pd.DataFrame, split: Routes, floor: int) -> pd.DataFrame:
     """lang, w1, w2, w3, n of the phrases of two words or more in a bucket: whole counts of those it owns, its share of
     pairs that are split over buckets."""
-    number: dict[tuple[str, str], int] = {("", ""): END}
+    number: dict[tuple[str, bytes], int] = {("", b""): END}
     parts, weights = [], []
-    for langs, words, code, weight, m in zip(pdf["langs"], pdf["words"], pdf["code"], pdf["weight"], pdf["m"]):
-        to = np.array([END] + [number.setdefault(x, len(number)) for x in list(zip(langs, words))[1:]], np.int32)
-        parts.append(to[np.frombuffer(pa.decompress(code, 12 * m, "zstd", asbytes=True), "<i4")].reshape(MOST_WORDS, m))
-        weights.append(np.frombuffer(pa.decompress(weight, 4 * m, "zstd", asbytes=True), "<i4"))
+    for row in pdf.itertuples():
+        names, code, weight = _unpacked(row)
+        parts.append(np.array([END] + [number.setdefault(x, len(number)) for x in names], np.int32)[code])
+        weights.append(weight)
     words, weight = np.concatenate(parts, axis=1), np.concatenate(weights).astype(np.int64)
+    number = {(lang, w.decode("utf-8", "surrogatepass")): k for (lang, w), k in number.items()}
     names = list(number)
     hot = np.array([split.split_word(*x) for x in names])
     v = len(names)
@@ -285,10 +337,10 @@ def phrase_counts(docs: DataFrame, floor: int = 10, lang_col: str = "lang", text
     words = common.where("second is null").select("lang", "word", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     positions = sum(r.n for r in totals.agg(F.sum("n").alias("n")).collect() if r.n)
-    buckets = max(1, min(MOST_BUCKETS, -(-positions // PER_BUCKET)))
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-positions // PER_BUCKET)))
     # at most `buckets` words, and twice as many pairs, can hold such a share of all positions
     large = common.where(F.when(F.col("second").isNull(), F.col("n")).otherwise(2 * F.col("n")) * buckets >= F.lit(positions)).collect()
-    routes = spark.sparkContext.broadcast(Routes(large if buckets > 1 else [], buckets))
+    routes = spark.sparkContext.broadcast(Routes(large, buckets))
     frequent = presence(words.where(F.col("n") >= floor).select(F.xxhash64("lang", "word").alias("h")), "h")
     pointers = _pointers(texts, frequent, routes)
     counted = pointers.groupBy("bucket").applyInPandas(lambda pdf: _bucket_counts(pdf, routes.value, floor), "lang string, w1 string, w2 string, w3 string, n long")

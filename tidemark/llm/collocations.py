@@ -69,23 +69,34 @@ def tokens(text: str | None) -> Iterator[list[bytes]]:
         at = to
 
 
+class Numbers(dict):
+    """Numbers of words, given out as new words are asked for; ``words`` has the word of each number."""
+
+    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
+        super().__init__({b".": END})
+        self.lang, self.words = lang, words
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self.words)
+        self.words.append((self.lang, word))
+        return k
+
+
 class Run:
     """Positions of one run as numbers of their words (a number stands for a word of one language)."""
 
     def __init__(self):
-        self.of: dict[str, dict[bytes, int]] = {}
+        self.of: dict[str, Numbers] = {}
         self.words: list[tuple[str, bytes]] = [("", b"")]
         self.parts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, lang: str, text: str | None) -> None:
-        known = self.of.setdefault(lang, {b".": END})
+        if lang not in self.of:
+            self.of[lang] = Numbers(lang, self.words)
+        number = self.of[lang].__getitem__
         for words in tokens(text):
-            for w in words:
-                if w not in known:
-                    known[w] = len(self.words)
-                    self.words.append((lang, w))
-            self.parts.append(np.array([known[w] for w in words], np.int32))
+            self.parts.append(np.fromiter(map(number, words), np.int32, len(words)))
             self.size += len(words)
         self.parts.append(np.zeros(1, np.int32))
 
@@ -146,27 +157,27 @@ def _word_hash(lang: str, word: bytes) -> int:
 
 
 class Routes:
-    """Which words and pairs are split over buckets."""
+    """Which words and pairs (as bytes) are split over buckets."""
 
     def __init__(self, rows, buckets: int):
+        code = lambda w: w.encode("utf-8", "surrogatepass")
         self.buckets = buckets
-        self.words = {(r.lang, r.word) for r in rows if r.second is None}
-        self.pairs = {(r.lang, r.word, r.second) for r in rows if r.second is not None}
-
-    def split_word(self, lang: str, word: str) -> bool:
-        return (lang, word) in self.words
+        self.words = {(r.lang, code(r.word)) for r in rows if r.second is None}
+        self.pairs = {(r.lang, code(r.word), code(r.second)) for r in rows if r.second is not None}
 
-    def split_pair(self, lang: str, word: str, second: str) -> bool:
-        return (lang, word, second) in self.pairs
+    def split(self, number: dict[tuple[str, bytes], int], v: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``v`` words with these numbers: which are split; the split pairs as first * v + second."""
+        hot = np.zeros(v, bool)
+        hot[[number[w] for w in self.words if w in number]] = True
+        pairs = [number[lang, a] * v + number[lang, b] for lang, a, b in self.pairs if (lang, a) in number and (lang, b) in number]
+        return hot, np.array(pairs, np.int64)
 
 
 def _pointers(texts: DataFrame, frequent, routes) -> DataFrame:
     """Weighted pointers of each run by bucket: the words they use and, per pointer, numbers of its words and its weight."""
 
     def run(batches):
-        split, pair_of = routes.value, {}
-        for p in split.pairs:
-            pair_of.setdefault(p[:2], []).append(p[2])
+        split = routes.value
         hashes, n_known, last = np.zeros(1, U64), 0, None
         for r, at in _runs(batches):
             if last is not r.of:                                     # new numbers
@@ -182,19 +193,9 @@ def _pointers(texts: DataFrame, frequent, routes) -> DataFrame:
             c = np.where(b != END, at[start + 2], END)
             a, b, c, weight = _distinct(w1[start].astype(np.int64), b.astype(np.int64), c.astype(np.int64), v)
             # by leading word; by two where that word is split; by all three where the pair is
-            number = {w: k for k, w in enumerate(r.words)}
-            hot = np.zeros(v, bool)
-            hot_pairs = []
-            for lang, word in split.words:
-                k = number.get((lang, word.encode("utf-8", "surrogatepass")))
-                if k:
-                    hot[k] = True
-                    for second in pair_of.get((lang, word), ()):
-                        m = number.get((lang, second.encode("utf-8", "surrogatepass")))
-                        if m:
-                            hot_pairs.append(k * v + m)
+            hot, hot_pairs = split.split({w: k for k, w in enumerate(r.words)}, v)
             two = hot[a]
-            three = two & np.isin(a * v + b, np.array(hot_pairs, np.int64))
+            three = two & np.isin(a * v + b, hot_pairs)
             h = hashes[a]
             h = np.where(two, mix64(h * U64(3) + hashes[b]), h)
             h = np.where(three, mix64(h * U64(3) + hashes[c]), h)
@@ -305,13 +306,10 @@ def _bucket_counts(pdf: pd.DataFrame, split: Routes, floor: int) -> pd.DataFrame
         parts.append(np.array([END] + [number.setdefault(x, len(number)) for x in names], np.int32)[code])
         weights.append(weight)
     words, weight = np.concatenate(parts, axis=1), np.concatenate(weights).astype(np.int64)
-    number = {(lang, w.decode("utf-8", "surrogatepass")): k for (lang, w), k in number.items()}
-    names = list(number)
-    hot = np.array([split.split_word(*x) for x in names])
-    v = len(names)
+    names, v = list(number), len(number)
+    hot, hot_pairs = split.split(number, v)
     pair = words[0].astype(np.int64) * v + words[1]
-    hot_pairs = [number[lang, a] * v + number[lang, b] for lang, a, b in split.pairs if (lang, a) in number and (lang, b) in number]
-    three = hot[words[0]] & np.isin(pair, np.array(hot_pairs, np.int64))
+    three = hot[words[0]] & np.isin(pair, hot_pairs)
     two = hot[words[0]] & ~three
     found = [x for x in equal_parts(words, weight, np.flatnonzero(~hot[words[0]]), 0, floor) if x[1] > 1]
     # of a split word the bucket owns pairs, of a split pair triples: sort those below the words they share
@@ -324,7 +322,8 @@ def _bucket_counts(pdf: pd.DataFrame, split: Routes, floor: int) -> pd.DataFrame
             if depth == 2:
                 found.append((int(group[0]), 2, int(weight[group].sum())))
             found += equal_parts(words, weight, group, depth, floor)
-    out = [(names[words[0][at]][0], *(names[words[d][at]][1] if d < k else None for d in range(MOST_WORDS)), n) for at, k, n in found]
+    word = lambda k: names[k][1].decode("utf-8", "surrogatepass")
+    out = [(names[words[0][at]][0], *(word(words[d][at]) if d < k else None for d in range(MOST_WORDS)), n) for at, k, n in found]
     return pd.DataFrame(out, columns=["lang", "w1", "w2", "w3", "n"])
 
 

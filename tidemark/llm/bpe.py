@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import release_memory
+
 #: Pieces remembered per Python worker; more start a new memory.
 CACHE_PIECES = 400_000
 
@@ -203,9 +205,10 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", digest: bool | str = False) -> DataFrame:
     """One row per row of ``docs``: the id and ``ids`` (token ids) with ``decoded`` (the ids'
-    text), or with ``digest`` their number and SHA-256.
+    text), or with ``digest`` their number and SHA-256; ``digest="decoded"`` keeps the ids and
+    gives the SHA-256 of their text alone, so no decoded text leaves the worker.
 
     Null and empty texts have no tokens; special tokens in a text are recognised; repeated
     rows each give a row; an empty table gives none; other columns are not read. ``spec`` is
@@ -214,6 +217,8 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        if digest == "decoded":
+            release_memory()                                        # what earlier stages left in this worker
         bpe = _load(share.value)
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -222,8 +227,12 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                 arrays = [np.frombuffer(c, "<u4") for c in coded]
                 plain = [bpe.decode(a) for a in arrays]
                 head = [b.column(0).slice(lo, hi - lo), pa.array([len(a) for a in arrays], pa.int64())]
-                if digest:
-                    sha = lambda x: hashlib.sha256(x).hexdigest()
+                sha = lambda x: hashlib.sha256(x).hexdigest()
+                if digest == "decoded":
+                    yield pa.RecordBatch.from_arrays(
+                        [*head, pa.array([sha(p.encode()) for p in plain], pa.string()), pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32()))],
+                        [id_col, "n_tokens", "decoded_sha256", "ids"])
+                elif digest:
                     yield pa.RecordBatch.from_arrays(
                         [*head, pa.array(map(sha, coded), pa.string()), pa.array([sha(p.encode()) for p in plain], pa.string())],
                         [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -232,7 +241,7 @@ def encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "
                         [*head, pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())), pa.array(plain, pa.string())],
                         [id_col, "n_tokens", "ids", "decoded"])
 
-    tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
+    tail = {True: "ids_sha256 string, decoded_sha256 string", False: "ids array<int>, decoded string", "decoded": "decoded_sha256 string, ids array<int>"}[digest]
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n_tokens long, {tail}")
 
 

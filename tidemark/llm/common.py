@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
+import sys
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,24 @@ ASCII_SPACE = "\x20\x09-\x0D"
 ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+#: The same where several stages share their Python workers.
+LEAN_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def lean_batches(spark: SparkSession) -> None:
+    for k, v in LEAN_BATCH.items():
+        spark.conf.set(k, v)
+
+
+def release_memory() -> None:
+    """Give unused memory of this Python worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        with contextlib.suppress(OSError, AttributeError):             # no such call in other C libraries
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for k, v in ARROW_BATCH.items():
         spark.conf.set(k, v)

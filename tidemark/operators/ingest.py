@@ -8,18 +8,20 @@ from pyspark.sql.types import (DateType, FractionalType, StructType, TimestampNT
                                TimestampType, NumericType)
 from pyspark.sql.window import Window
 
-from tidemark.functions.time import day_of, hour_of
+from tidemark.functions.time import hour_of
+from tidemark.operators.meter import meter_hours
 
 
 def hourly_weather(minute: DataFrame, time_col: str = "obs_datetime",
                    precip_mode: str = "increment", by: list[str] | None = None,
-                   feel: str = "max") -> DataFrame:
+                   feel: str = "max", gaps: str = "spread") -> DataFrame:
     """Per-minute observations to one row per hour.
 
     precipitation: ``increment`` sums minute amounts; ``cumulative`` treats the
-    column as a running daily total and takes the rise within the hour (the
-    last value of the hour minus the last value of the previous hour of the same
-    day). feel_temp: maximum over the hour (``feel='mean'``: the mean).
+    column as a running daily total (``operators.meter``): the rise within the hour, a
+    reset starting again from zero, and a rise over missing time dealt over the hours
+    it spans (``gaps='spread'``, which adds those hours with n_obs 0) or those hours
+    left NULL (``gaps='mark'``). feel_temp: maximum over the hour (``feel='mean'``: the mean).
     temperature, humidity: mean. n_obs: minutes seen.
     A column that is NULL in every minute of an hour stays NULL. Minutes without a time
     belong to no hour and are left out. ``by``: keys such as the station; without it,
@@ -38,16 +40,13 @@ def hourly_weather(minute: DataFrame, time_col: str = "obs_datetime",
         return minute.groupBy(*by, h).agg(*aggs)
     if precip_mode != "cumulative":
         raise ValueError(f"precip_mode: {precip_mode}")
-    aggs.insert(0, F.max_by("precipitation", F.when(F.col("precipitation").isNotNull(),
-                                                   F.col(time_col))).alias("_last"))
     hourly = minute.groupBy(*by, h).agg(*aggs)
-    # Partitioned by day: a daily total restarts at midnight.
-    w = Window.partitionBy(*by, day_of(time_col)).orderBy(time_col)
-    prev = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rise = F.when(prev.isNull(), F.col("_last")).otherwise(F.col("_last") - prev)
-    return hourly.withColumn("precipitation", rise).drop("_last") \
-                 .select(*by, time_col, "precipitation", *[c for c in hourly.columns
-                                                          if c not in (*by, time_col, "_last")])
+    rises = meter_hours(minute, time_col, "precipitation", by, gaps=gaps).select(*by, time_col, "precipitation")
+    # Both sides have one row per key and hour; an hour may stand in one of them alone.
+    rest = [c for c in hourly.columns if c not in (*by, time_col)]
+    both = hourly.unionByName(rises, allowMissingColumns=True).groupBy(*by, time_col)
+    return (both.agg(F.max("precipitation").alias("precipitation"), *[F.max(c).alias(c) for c in rest])
+            .withColumn("n_obs", F.coalesce("n_obs", F.lit(0).cast("long"))))
 
 
 def hourly_counts(fact: DataFrame, time_col: str, out_time: str = "obs_datetime",
@@ -126,6 +125,41 @@ def overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
                      F.least(F.col("hi"), rb["hi"]).alias("hi"))
 
 
+def islands(times: DataFrame, time_col: str, max_gap_hours: int) -> DataFrame:
+    """The stretches of hours in which no two neighbours lie more than ``max_gap_hours`` apart, as rows
+    (lo, hi, n_hours, n_seen): first and last hour, hours from one to the other, hours seen.
+
+    Rows are first reduced to distinct hours per month; only those neighbours that may be apart, and the ends of
+    months, meet in one window: a time-grain series, never a fact. Rows without a time are left out."""
+    seen = times.where(F.col(time_col).isNotNull()).select(hour_of(time_col).alias("_h")).distinct()
+    seen = seen.withColumn("_n", F.unix_date(F.to_date("_h")).cast("long") * 24 + F.hour("_h"))
+    month = Window.partitionBy(F.year("_h"), F.month("_h")).orderBy("_n")
+    apart = F.col("_n") - F.lag("_n").over(month) > max_gap_hours
+    # runs within a month
+    runs = (seen.withColumn("_m", F.year("_h") * 12 + F.month("_h")).withColumn("_cut", F.coalesce(apart, F.lit(False)).cast("int"))
+            .withColumn("_run", F.sum("_cut").over(month))
+            .groupBy("_m", "_run").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.count("*").alias("n_seen")))
+    # runs of neighbouring months that are near belong together: one row per run
+    line = Window.partitionBy().orderBy("_lo")
+    cut = F.coalesce(F.col("_lo") - F.lag("_hi").over(line) > max_gap_hours, F.lit(True)).cast("int")
+    joined = (runs.withColumn("_cut", cut).withColumn("_island", F.sum("_cut").over(line))
+              .groupBy("_island").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("n_seen").alias("n_seen")))
+    hour = lambda c: F.timestamp_add("HOUR", F.pmod(F.col(c), F.lit(24)).cast("int"),
+                                     F.date_from_unix_date(F.floor(F.col(c) / 24).cast("int")).cast("timestamp_ntz"))
+    return joined.select(hour("_lo").alias("lo"), hour("_hi").alias("hi"), (F.col("_hi") - F.col("_lo") + 1).alias("n_hours"), "n_seen")
+
+
+#: Hours of one piece of an island's axis: long islands are dealt over tasks.
+PIECE_HOURS = 24 * 31
+
+
+def island_axis(stretches: DataFrame, name: str) -> DataFrame:
+    """Every hour of every island (rows lo, hi), in pieces of bounded length."""
+    piece, one = F.expr(f"INTERVAL {PIECE_HOURS} HOURS"), F.expr("INTERVAL 1 HOUR")
+    pieces = stretches.select("hi", F.explode(F.sequence("lo", "hi", piece)).alias("_at")).hint("rebalance")
+    return pieces.select(F.explode(F.sequence("_at", F.least(F.col("hi"), F.col("_at") + piece - one), one)).alias(name))
+
+
 def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str) -> DataFrame:
     """Every point from ``lo`` to ``hi`` (inclusive) at ``step`` ("1 hour", "1 day").
 
@@ -137,7 +171,8 @@ def spine(spark: SparkSession, lo: Column, hi: Column, step: str, name: str) ->
 
 
 def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
-              until=None, out: str | None = None, source_col: str | None = None) -> DataFrame:
+              until=None, out: str | None = None, source_col: str | None = None,
+              max_steps: int | None = None) -> DataFrame:
     """T6 + J7 in one pass: the complete axis of a series, gaps included.
 
     Each observation is expanded to every point up to the next observation (the
@@ -146,6 +181,8 @@ def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
     holding the observation time they come from. Without ``source_col`` the gap
     rows get NULL values instead (a plain spine left-joined to the series).
 
+    ``max_steps``: a gap of more steps is not filled; the point before it stands alone.
+
     The series is ordered in one window partition: it must be a time-grain series
     (one row per hour or day of its span), never a fact. Rows without a time have no
     place on the axis and are left out.
@@ -162,6 +199,8 @@ def fill_gaps(series: DataFrame, time_col: str, step: str, values: list[str],
     # A duplicated time (a key violation Q1 reports) must not run the sequence
     # backwards: each duplicate then yields just its own point.
     last = F.greatest(last, F.col(time_col))
+    if max_steps is not None:
+        last = F.when(last < F.col(time_col) + F.expr(f"INTERVAL {step}") * max_steps, last).otherwise(F.col(time_col))
     gap = F.sequence(F.col(time_col), last, one)
     ex = series.select(time_col, *values, F.explode(gap).alias("_t"))
     if source_col:

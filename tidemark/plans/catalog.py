@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StructField, StructType
 
 from tidemark.operators import quality
-from tidemark.operators.ingest import hourly_weather, station_master, typed
+from tidemark.operators.ingest import hourly_weather, islands, station_master, typed
+from tidemark.operators.meter import meter_hours
 from tidemark.operators.windows import moving_average
 from tidemark.plans import prices, rentals
 from tidemark.schemas import FOREIGN_KEYS, PRIMARY_KEYS
@@ -69,6 +70,18 @@ def t1_increment(spark, d):
     return hourly_weather(obs, "obs_datetime", by=["station_id"])
 
 
+def t1_cumulative(spark, d):
+    """Every event as a reading of a daily total: a smaller value than the one before is a reset."""
+    obs = events(spark, d).select(F.col("event_type").alias("station_id"), F.col("ts").alias("obs_datetime"),
+                                  F.col("value").alias("precipitation"))
+    return meter_hours(obs, by=["station_id"])
+
+
+def t6_islands(spark, d):
+    """Stretches of hours with errors, parted where more than six hours hold none."""
+    return islands(events(spark, d).where(F.col("event_type") == "error"), "ts", 6)
+
+
 def t4_typed(spark, d):
     """Every event written as text cells (blank, not a number, negative, malformed, grouped
     digits; dates in four forms, one of them short) and typed again."""
@@ -242,7 +255,8 @@ def x1(spark, d):
 
 QUERIES: dict[str, Query] = {
     "q1a": q1a, "q1b": q1b, "q2a": q2a, "q2b": q2b, "q2a_crudes": q2a_crudes,
-    "t1_weather": t1_weather, "t1_increment": t1_increment, "t4_typed": t4_typed,
+    "t1_weather": t1_weather, "t1_increment": t1_increment, "t1_cumulative": t1_cumulative,
+    "t6_islands": t6_islands, "t4_typed": t4_typed,
     "q1_dups": q1_dups, "q2_orphans": q2_orphans, "t2_hourly": t2_hourly, "t3_master": t3_master,
     "t5_overlap": t5_overlap, "t6_spine": t6_spine,
     "q1_pk": q1_pk, "q2_fk": q2_fk, "q3_audit": q3_audit,

@@ -361,3 +361,26 @@ def _q2a_for(crude: str) -> str:
 
 # 2-A for each crude (P7): the same SQL per crude column.
 ORACLE["q2a_crudes"] = "\nUNION ALL\n".join(_q2a_for(c) for c in ("dubai", "brent", "wti"))
+
+ORACLE["t1_cumulative"] = """
+WITH r AS (SELECT event_type AS station_id, CAST(ts AS DATE) AS d, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS t,
+                  CAST(round(max(value) * 1000000) AS BIGINT) AS u
+           FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY event_type, ts),
+p AS (SELECT station_id, t, u, coalesce(lag(t) OVER w, CAST(epoch(d) AS BIGINT)) AS t0, coalesce(lag(u) OVER w, 0) AS u0
+      FROM r WINDOW w AS (PARTITION BY station_id, d ORDER BY t, u)),
+q AS (SELECT station_id, t0, t, CASE WHEN u < u0 THEN u ELSE u - u0 END AS rise, u < u0 AS reset, t - t0 > 3600 AS far FROM p),
+e AS (SELECT *, CASE WHEN far THEN t0 // 3600 ELSE t // 3600 END AS h0, CASE WHEN far THEN (t - 1) // 3600 ELSE t // 3600 END AS h1 FROM q),
+h AS (SELECT *, unnest(range(h0, h1 + 1)) AS h FROM e),
+s AS (SELECT *, CASE WHEN far THEN CAST(rise AS HUGEINT) * (least((h + 1) * 3600, t) - t0) // (t - t0)
+                               - CAST(rise AS HUGEINT) * (greatest(h * 3600, t0) - t0) // (t - t0) ELSE rise END AS part FROM h)
+SELECT station_id, make_timestamp(h * 3600000000) AS obs_datetime, CAST(sum(part) AS DOUBLE) / 1000000.0 AS precipitation,
+       count(*) FILTER (reset AND h = h1) AS n_resets, bool_or(far) AS is_estimated
+FROM s GROUP BY station_id, h
+"""
+
+ORACLE["t6_islands"] = """
+WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'error' AND ts IS NOT NULL),
+c AS (SELECT h, coalesce(datediff('hour', lag(h) OVER (ORDER BY h), h) > 6, TRUE) AS cut FROM h),
+i AS (SELECT h, sum(CAST(cut AS INT)) OVER (ORDER BY h) AS i FROM c)
+SELECT CAST(min(h) AS TIMESTAMP) AS lo, CAST(max(h) AS TIMESTAMP) AS hi, datediff('hour', min(h), max(h)) + 1 AS n_hours, count(*) AS n_seen FROM i GROUP BY i
+"""

@@ -13,16 +13,27 @@ from pyspark.sql import functions as F
 from tidemark.functions.predicates import HEAT_LIMIT_C, is_hot, precip_band
 from tidemark.functions.time import hour_of
 from tidemark.operators.aggregates import ratio, split_counts
-from tidemark.operators.ingest import fill_gaps, hourly_counts
+from tidemark.operators.ingest import fill_gaps, hourly_counts, islands
 from tidemark.plans.memo import per_tables
 
 HOUR = "obs_datetime"
 
 
+#: A gap of the weather longer than this ends the period: hours beyond it are not on the axis.
+MAX_GAP_HOURS = 24 * 31
+
+
 def weather_axis(weather: DataFrame) -> DataFrame:
     """T6 + J1 (weather side): every hour of the weather period, first to last
-    observed hour; an hour without an observation has NULL weather."""
-    return fill_gaps(weather, HOUR, "1 hour", ["precipitation", "feel_temp"])
+    observed hour; an hour without an observation has NULL weather. A gap of more than
+    ``MAX_GAP_HOURS`` is no part of the period: a wrong stamp far off adds its own hour
+    alone (``weather_islands`` reports it)."""
+    return fill_gaps(weather, HOUR, "1 hour", ["precipitation", "feel_temp"], max_steps=MAX_GAP_HOURS)
+
+
+def weather_islands(weather: DataFrame) -> DataFrame:
+    """The stretches of the weather period that long gaps part."""
+    return islands(weather, HOUR, MAX_GAP_HOURS)
 
 
 def hour_spine(spark: SparkSession, weather: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ CSV files are read by Spark's CSV reader with an all-text schema mapped by
 position (the headers of public-data files change wording and language), then
 typed by ``operators.ingest.typed``: an empty or malformed cell becomes NULL.
 
-ZIP archives (S2) cannot be split and Spark has no ZIP codec: ``binaryFile``
-lists and reads them, a ``mapInPandas`` step only unzips and decodes members
-into text lines (in bounded batches), and the JVM's ``from_csv`` parses the lines.
+ZIP archives (S2) have no codec in Spark. In batch, ``sources.zips`` is a data source that
+reads each member of each archive in its own task, as a stream; for streams of new
+archives ``binaryFile`` lists and reads them and a ``mapInPandas`` step unzips. Both give
+text lines (in bounded batches), which the JVM's ``from_csv`` parses.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark import schemas
 from tidemark.operators.ingest import typed
+from tidemark.sources.zips import codec_of, reachable, register
 
 # Column layouts of the raw files, in file order (positional; header row skipped).
 RENTAL_COLUMNS = ["rental_id", "rental_station_id", "rental_time", "return_station_id",
@@ -50,9 +52,12 @@ def read_csv_text(spark: SparkSession, path: str, columns: list[str],
 
 def read_rentals(spark: SparkSession, path: str, columns=RENTAL_COLUMNS, encoding="UTF-8",
                  timestamp_format: str | None = None, lost: str | None = None) -> DataFrame:
-    """A folder (or glob) of rental CSV files -> rental. ``lost``: see ``typed``."""
+    """A folder (or glob) of rental CSV files -> rental with source_file, the name of
+    the file a row stands in. ``lost``: see ``typed``."""
     raw = read_csv_text(spark, path, list(columns), encoding)
-    return typed(raw, schemas.RENTAL, timestamp_format=timestamp_format, lost=lost)
+    raw = raw.select("*", F.col("_metadata.file_name").alias("source_file"))
+    s = StructType(schemas.RENTAL.fields + [StructField("source_file", StringType())])
+    return typed(raw, s, timestamp_format=timestamp_format, lost=lost)
 
 
 def read_oil(spark: SparkSession, path: str, columns=OIL_COLUMNS, encoding="UTF-8",
@@ -73,7 +78,7 @@ def read_gas(spark: SparkSession, path: str, columns=GAS_COLUMNS, encoding="UTF-
 
 
 def _unzip_lines(encoding: str, header: bool):
-    codec = "utf-8-sig" if encoding.lower().replace("_", "-") in ("utf-8", "utf8") else encoding
+    codec = codec_of(encoding)
 
     def run(batches):
         for pdf in batches:
@@ -110,10 +115,14 @@ def zip_lines(archives: DataFrame, encoding: str = "UTF-8", header: bool = True)
 
 def read_zip_lines(spark: SparkSession, path: str, encoding: str = "UTF-8",
                    header: bool = True, glob: str = "*.zip") -> DataFrame:
-    """Every text line of every member of every ZIP under ``path``."""
-    archives = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                .option("recursiveFileLookup", True).load(path))
-    return zip_lines(archives, encoding, header)
+    """Every text line of every member of every ZIP under ``path``; a member is read by one task.
+    In a store that only Spark reads, one task reads a whole archive."""
+    if not reachable(path):
+        return zip_lines(spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                         .option("recursiveFileLookup", True).load(path), encoding, header)
+    register(spark)
+    return (spark.read.format("zip_lines").option("encoding", encoding).option("header", str(header).lower())
+            .option("glob", glob).load(path))
 
 
 def parse_weather_lines(lines: DataFrame, columns=WEATHER_COLUMNS,
@@ -127,7 +136,7 @@ def parse_weather_lines(lines: DataFrame, columns=WEATHER_COLUMNS,
 
 def read_weather(spark: SparkSession, path: str, columns=WEATHER_COLUMNS, encoding="UTF-8",
                  timestamp_format: str | None = None, lost: str | None = None) -> DataFrame:
-    """Per-minute weather from ZIP archives -> weather_minute. One task unzips an
-    archive; its lines are then spread over tasks of even size."""
+    """Per-minute weather from ZIP archives -> weather_minute. One task unzips a
+    member; its lines are then spread over tasks of even size."""
     lines = read_zip_lines(spark, path, encoding).hint("rebalance")
     return parse_weather_lines(lines, columns, timestamp_format, lost)

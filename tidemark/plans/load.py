@@ -5,7 +5,8 @@ read and type (S1–S4, T4) once into an incoming folder -> merge into the store
 masters from all stored facts (T3) -> key, count and parse checks (Q1–Q3).
 
 A load may be repeated or run again after a failure, and a further period adds to what
-is stored: facts are merged by key, and everything derived comes from stored facts.
+is stored: facts are merged by key, and everything derived comes from stored facts. All
+tables change at once, when the load's manifest is put in force as its last step.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from tidemark import schemas
 from tidemark.operators import quality
 from tidemark.operators.ingest import hourly_weather, station_master
 from tidemark.sources import files
-from tidemark.sources.sinks import ParquetTables, merge_table, remove_path, write_table
+from tidemark.sources.manifest import Manifest, commit, remove_path, sweep
+from tidemark.sources.sinks import ParquetTables, merge_table, write_generation, write_table
 
 SOURCES = ("rentals", "weather", "oil", "gas")
 LOST = "_lost"          # names of the cells of a row that held text but no value
@@ -92,9 +94,11 @@ def load(spark: SparkSession, rentals: str, weather: str, oil: str, gas: str, ou
     audit, and parse: cells with text that became NULL, by table and column).
     ``expected``: row counts to reconcile with (e.g. ``schemas.PUBLISHED_COUNTS``).
     Further arguments: see ``read_raw``."""
-    root = out_root.rstrip("/")
+    root, gen = out_root.rstrip("/"), uuid.uuid4().hex
+    sweep(spark, root, schemas.STORED)                     # what a load that died has left
     t = ParquetTables(spark, root, kw.get("weather_station"))
-    incoming = f"{root}/_incoming/{uuid.uuid4().hex}"
+    before = t.pinned()
+    incoming = f"{root}/_incoming/{gen}"
     report: list[tuple[str, str, int]] = []
     new: dict[str, DataFrame] = {}
     for name, df in read_raw(spark, rentals, weather, oil, gas, **kw).items():
@@ -103,17 +107,21 @@ def load(spark: SparkSession, rentals: str, weather: str, oil: str, gas: str, ou
         got = spark.read.schema(df.schema).parquet(path)
         report += [(name, r[0], r[1]) for r in
                    got.select(F.explode(LOST).alias("c")).groupBy("c").count().collect()]
-        new[name] = got.select(*schemas.STORED[name].fieldNames())
+        new[name] = got.select(*schemas.written(name).fieldNames())
     months = [r[0] for r in new["weather_minute"].select("obs_month").distinct().collect()]
+    old = before.manifest or Manifest()
+    parts = dict(old.parts)
     for name, df in new.items():
-        merge_table(spark, df, f"{root}/{name}", schemas.MERGE_KEYS[name], schemas.PARTITIONS[name])
-    minute = t.stored("weather_minute").where(F.col("obs_month").isin([m for m in months if m]))
+        parts[name] = merge_table(spark, df, before, name, gen)
+    after = ParquetTables(spark, root, manifest=Manifest(old.number + 1, parts))       # not yet in force
+    minute = after.stored("weather_minute").where(F.col("obs_month").isin([m for m in months if m]))
     hourly = hourly_weather(minute, "obs_datetime", precip_mode, by=["station_id"], feel=feel)
-    write_table(hourly.withColumn("obs_month", F.date_format("obs_datetime", "yyyy-MM"))
-                .select(*schemas.STORED["weather"].fieldNames()),
-                f"{root}/weather", [schemas.PARTITIONS["weather"]])
-    for name, df in masters(t).items():
-        write_table(df, f"{root}/{name}")
+    hourly = hourly.withColumn("obs_month", F.date_format("obs_datetime", "yyyy-MM"))
+    parts["weather"] = parts.get("weather", {}) | write_generation(
+        spark, hourly.select(*schemas.STORED["weather"].fieldNames()), root, "weather", gen, schemas.PARTITIONS["weather"])
+    for name, df in masters(after).items():
+        parts[name] = write_generation(spark, df, root, name, gen)
+    commit(spark, root, after.manifest)
     remove_path(spark, incoming)
     lost: dict[str, int] = {}
     for name, _, n in report:

@@ -16,7 +16,7 @@ from tidemark.functions.predicates import is_rise, phase, phase_vs_ma, response_
 from tidemark.operators.aggregates import asymmetry, by_phase, ratio
 from tidemark.operators.asof import asof_fill, next_event_counts, next_event_pairs, next_event_stats
 from tidemark.operators.correlation import lag_correlation
-from tidemark.operators.ingest import fill_gaps, overlap
+from tidemark.operators.ingest import fill_gaps
 from tidemark.operators.reshape import crudes_long
 from tidemark.operators.windows import moving_average, with_lag
 from tidemark.plans.memo import per_tables
@@ -46,9 +46,22 @@ def station_lagged(t) -> DataFrame:
     return g.withColumn("pct_change", F.col("change") * 100.0 / F.nullif(F.col("prev_price"), F.lit(0.0)))
 
 
+def panel_period(t) -> DataFrame:
+    """(lo, hi) of the station panel as one row, by the tables' own way if they have one
+    (partition names, or the panel's source), which spares an aggregate over the panel."""
+    if hasattr(t, "period"):
+        return t.period("gas_price", DATE)
+    return t.gas_price.agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"))
+
+
+def _panel_bounds(t):
+    return panel_period(t).select(F.struct("lo", "hi")).scalar()
+
+
 def common_period(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
-    """T5: (lo, hi) where both oil and station prices exist."""
-    return overlap(oil_series(t, crude), DATE, t.gas_price, DATE)
+    """T5: (lo, hi) where both oil and station prices exist; lo > hi means none."""
+    oil, g = oil_series(t, crude).agg(F.min(DATE).alias("lo"), F.max(DATE).alias("hi")), _panel_bounds(t)
+    return oil.select(F.greatest("lo", g["lo"]).alias("lo"), F.least("hi", g["hi"]).alias("hi"))
 
 
 @per_tables
@@ -60,7 +73,7 @@ def rise_events(t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0) -> DataF
 
 
 def _in_panel(t, oil: DataFrame) -> DataFrame:
-    g = t.gas_price.select(F.struct(F.min(DATE).alias("lo"), F.max(DATE).alias("hi"))).scalar()
+    g = _panel_bounds(t)
     return oil.where(F.col("is_rise") & (F.col(DATE) >= g["lo"]) & (F.col(DATE) <= g["hi"]))
 
 
@@ -92,7 +105,7 @@ def trading_day_index(t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     holidays). A daily series, bounded by the span."""
     o = oil_series(t, crude).select(
         F.col(DATE).alias("d"), F.row_number().over(Window.orderBy(DATE)).alias("idx"))
-    hi = t.gas_price.select(F.max(DATE)).scalar()
+    hi = _panel_bounds(t)["hi"]
     return fill_gaps(o, "d", "1 day", ["idx"], until=hi, source_col="_src").select("d", "idx")
 
 
@@ -209,7 +222,7 @@ def daily_phase(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, n: int = 5,
     """The oil phase of every calendar day, carried from the last trading day,
     up to the last station price day."""
     ph = oil_phases(t, crude, n, **ma).where(F.col("phase").isNotNull())
-    hi = t.gas_price.select(F.max(DATE)).scalar()
+    hi = _panel_bounds(t)["hi"]
     return asof_fill(ph.select(DATE, "phase", "oil_price"), DATE, ["phase", "oil_price"],
                      hi=hi, out_date=DATE)
 

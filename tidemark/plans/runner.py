@@ -16,5 +16,7 @@ QUERIES = {
 
 def run(spark: SparkSession, name: str, tables, **params) -> DataFrame:
     """``tables``: ``sources.testdata.Tables`` or ``sources.sinks.ParquetTables``.
-    The caller shows, collects or writes the result."""
+    All stored tables are those of one load. The caller shows, collects or writes the result."""
+    if hasattr(tables, "pinned"):
+        tables = tables.pinned()
     return QUERIES[name](spark, tables, **params)

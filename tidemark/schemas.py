@@ -61,10 +61,21 @@ STORED = {
                                                 StructField("price_month", StringType())]),
 }
 
-# Keys by which a further load replaces stored rows. Rentals declare no key: a rental
-# is the same as a stored one if all its columns are.
+# Columns that are written beside the stored ones and only read by a further load: the
+# file a rental stands in.
+PROVENANCE = {"rental": [StructField("source_file", StringType())]}
+
+
+def written(name: str) -> StructType:
+    """A stored table's columns as written, provenance included (partition column last)."""
+    fields = STORED[name].fields
+    return StructType(fields[:-1] + PROVENANCE.get(name, []) + fields[-1:])
+
+
+# Keys by which a further load replaces stored rows. Rentals declare no key: a load
+# replaces the equal rows of the same file, so equal rows of one or of several files all stay.
 MERGE_KEYS = {
-    "rental": RENTAL.fieldNames(),
+    "rental": [*RENTAL.fieldNames(), "source_file"],
     "weather_minute": ["station_id", "obs_datetime"],
     "oil_price": ["price_date"],
     "gas_price": ["station_id", "price_date"],

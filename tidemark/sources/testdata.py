@@ -126,6 +126,15 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
         self._memo: dict[str, DataFrame] = {}
 
+    def period(self, name: str, time_col: str) -> DataFrame:
+        """(lo, hi) of a table's days as one row, read from the times its rows are made of: one column of
+        the source, no aggregate by station and day."""
+        if name != "gas_price":
+            df = getattr(self, name)
+            return df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
+        times = events(self.spark, self.sf_dir).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        return times.select(day_of("lo").alias("lo"), day_of("hi").alias("hi"))
+
     def __getattr__(self, name):
         # One DataFrame object per table: the files are listed once and every
         # use of a table is the same plan, so Spark can reuse its exchanges.

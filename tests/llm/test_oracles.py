@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("key", sorted(queries.ORACLE))
 def test_matches_oracle(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{D}/{t}.parquet')")
     df = queries.QUERIES[key](spark, D)
     res = con.execute(queries.ORACLE[key])

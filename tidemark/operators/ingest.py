@@ -133,10 +133,11 @@ def islands(times: DataFrame, time_col: str, max_gap_hours: int) -> DataFrame:
     months, meet in one window: a time-grain series, never a fact. Rows without a time are left out."""
     seen = times.where(F.col(time_col).isNotNull()).select(hour_of(time_col).alias("_h")).distinct()
     seen = seen.withColumn("_n", F.unix_date(F.to_date("_h")).cast("long") * 24 + F.hour("_h"))
-    month = Window.partitionBy(F.year("_h"), F.month("_h")).orderBy("_n")
+    seen = seen.withColumn("_m", F.year("_h") * 12 + F.month("_h"))
+    month = Window.partitionBy("_m").orderBy("_n")
     apart = F.col("_n") - F.lag("_n").over(month) > max_gap_hours
     # runs within a month
-    runs = (seen.withColumn("_m", F.year("_h") * 12 + F.month("_h")).withColumn("_cut", F.coalesce(apart, F.lit(False)).cast("int"))
+    runs = (seen.withColumn("_cut", F.coalesce(apart, F.lit(False)).cast("int"))
             .withColumn("_run", F.sum("_cut").over(month))
             .groupBy("_m", "_run").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.count("*").alias("n_seen")))
     # runs of neighbouring months that are near belong together: one row per run

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,3 +66,14 @@ def test_query_cases(spark):
     assert pii.report(df.limit(0)).count() == 0
     red = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert red[1] is None and red[3] == "é [EMAIL]"
+
+
+def test_cues_without_end():
+    """A value full of cues is read once, accepted or refused."""
+    start = time.perf_counter()
+    assert pii.find_spans("token=" * 200000) == []
+    n = len("token=" * 100000)
+    assert pii.find_spans("token=" * 100000 + "a1b2c3d4") == [(6, n + 8, "secret")]
+    assert time.perf_counter() - start < 5
+    t = "password=nodigitshere token=password: abc12345"
+    assert [t[s:e] for s, e, _ in pii.find_spans(t)] == ["abc12345"]

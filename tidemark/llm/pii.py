@@ -36,7 +36,8 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'|\\^`{}\[\]]+")
-_VALUE = re.compile(r"(?:[\x20_-]?(?:no|nr|number|id|key))?\.?[\x20]{0,2}[:=#][\x20]{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_+/.=-]{7,})")
+_LEAD = re.compile(r"(?:[\x20_-]?(?:no|nr|number|id|key))?\.?[\x20]{0,2}[:=#][\x20]{0,2}[\"']?(?=[A-Za-z0-9])")
+_VALUE = re.compile(r"[A-Za-z0-9_+/.=-]{8,}")
 _ACCOUNT = re.compile(r"(?:[\x20](?:no|nr|number|id))?\.?[\x20]{0,2}[:=#]?[\x20]{0,2}([A-Z]{0,2}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 
@@ -89,11 +90,12 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
     """All (start, end, kind) of a text in code points, by start, then kind as listed.
 
     None and empty texts have none. Spans of different kinds may overlap; those of
-    one kind do not."""
+    one kind do not. Each value is read once, so the time is linear in the text's length."""
     if not text:
         return []
     out: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)
+    plain = 0                                  # end of the last secret value refused for want of a digit
     for end, (what, n) in _anchors(text):
         at = end - n + 1
         if what == "d":
@@ -148,13 +150,23 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
                         out.append((at, stop, "url"))
                         done["url"] = stop
         else:
-            kind, rule = ("account", _ACCOUNT) if what == "a" else ("secret", _VALUE)
             if at and text[at - 1].isalnum():
                 continue
-            m = rule.match(text, end + 1)
-            if m and m.start(1) >= done[kind] and any(c in _DIGITS for c in m[1]):
-                out.append((m.start(1), m.end(1), kind))
-                done[kind] = m.end(1)
+            if what == "a":
+                m = _ACCOUNT.match(text, end + 1)
+                if m and m.start(1) >= done["account"] and any(c in _DIGITS for c in m[1]):
+                    out.append((m.start(1), m.end(1), "account"))
+                    done["account"] = m.end(1)
+                continue
+            lead = _LEAD.match(text, end + 1)
+            # a cue inside a value already read would take the rest of it: read each value once
+            if lead and lead.end() >= max(done["secret"], plain):
+                m = _VALUE.match(text, lead.end())
+                if m and any(c in _DIGITS for c in m[0]):
+                    out.append((*m.span(), "secret"))
+                    done["secret"] = m.end()
+                elif m:
+                    plain = m.end()
     order = {k: i for i, k in enumerate(KINDS)}
     out.sort(key=lambda x: (x[0], order[x[2]]))
     return out

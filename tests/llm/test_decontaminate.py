@@ -107,3 +107,13 @@ def test_remove_does_not_depend_on_blocks(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     one = sorted(map(repr, dc.remove(d, b).collect()))
     assert sorted(map(repr, dc.remove(d, b, block_bytes=40).collect())) == one
+
+
+def test_items_without_id(spark):
+    """Items whose id is null mark their words and count together as one item."""
+    d = spark.createDataFrame([(1, "a b c d"), (2, "x y"), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "b c"), (None, "c d"), (7, "a b"), (8, None), (None, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in dc.report(d, b).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (4, 2, True)
+    assert got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
+    assert not got[2].contaminated and not got[3].contaminated

@@ -159,12 +159,12 @@ def phrase_block(items: list[tuple[str, str | None]], width: int) -> dict:
     for p in owners:
         by_len.setdefault(len(p), []).append(p)
     return {"vocab": vocab, "min": min(by_len, default=0),
-            "phrases": {n: (np.array(ps, np.int64), [sorted(owners[p]) for p in ps]) for n, ps in by_len.items()}}
+            "phrases": {n: (np.array(ps, np.int64), [list(owners[p]) for p in ps]) for n, ps in by_len.items()}}
 
 
 def phrase_blocks(benchmark: DataFrame, width: int, block_bytes: int):
     """The benchmark in blocks of about ``block_bytes`` of text at most, by a hash of the item."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
@@ -259,7 +259,7 @@ _RESULT = pa.struct([("n_words", pa.int64()),
 
 
 def _packed(rows):
-    return pa.array([{"n_words": n, "spans": [{"start": s, "end": e} for s, e in sp], "items": sorted(it)}
+    return pa.array([{"n_words": n, "spans": [{"start": s, "end": e} for s, e in sp], "items": sorted(it, key=lambda x: (x is None, x))}
                      for n, sp, it in rows], _RESULT)
 
 
@@ -269,7 +269,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     end exclusive) and ``items`` (names of the items found, sorted).
 
     A phrase is ``width`` consecutive words of an item; an item with fewer words is one
-    phrase; items that are null, or have no word, give none. Null and empty texts have no
+    phrase; items whose text is null, or has no word, give none; items without an id count
+    together as one item, null in ``items``. Null and empty texts have no
     words and no hits; repeated rows each give a row; an empty benchmark finds nothing;
     only the two named columns are read, so other columns cannot clash."""
     blocks = list(phrase_blocks(benchmark, width, block_bytes)) if benchmark is not None else []

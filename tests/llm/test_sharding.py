@@ -35,3 +35,12 @@ def test_shards(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 203 and set(back.columns) == {*df.columns, "_shard"}
+
+
+def test_ids_that_are_no_numbers(spark):
+    """Texts, infinities, dates and nulls as ids: every row keeps a slot of its own."""
+    for ids, kind in ((["a1", "b2", None, "7", "-3.5", "NaN", "Infinity", "", "a1"], "string"), ([float("nan"), float("inf"), 1.5, None], "double"),
+                      ([None, None], "long"), ([True, None], "boolean")):
+        rows = sharding.shards(spark.createDataFrame([(i, "t") for i in ids], f"doc_id {kind}, text string"), 2).collect()
+        assert sorted(repr(r.doc_id) for r in rows) == sorted(map(repr, ids))
+        assert sorted(r.slot for r in rows if r.shard == 0) == list(range((len(ids) + 1) // 2))

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StringType
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import stage_table
@@ -68,17 +69,28 @@ def _category(c: Column) -> Column:
     return F.when(c.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << BITS)))
 
 
+def _number(c: Column, dtype: DataType) -> Column:
+    """The id as a finite number, null where it is none (texts, dates, binary, ...)."""
+    if not isinstance(dtype, (NumericType, StringType)):
+        return F.lit(None).cast("double")
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+
+
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             categories: tuple[str, str] = ("lang", "source"), carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in curve order with ``rank`` (0-based, gapless): id, size, text_crc32, hilbert and ``carry``."""
+    """Rows in curve order with ``rank`` (0-based, gapless): id, size, text_crc32, hilbert and ``carry``.
+
+    Ids that are numbers, or read as such, are quantised by value, others by hash; a null id falls in cell 0."""
     top = (1 << BITS) - 1
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
-    ids = docs.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
+    number = _number(F.col(id_col), docs.schema[id_col].dataType)
+    ids = docs.agg(F.min(number), F.max(number)).first()
     low, span = ids[0] or 0.0, (ids[1] or 0.0) - (ids[0] or 0.0) + 1
     cells = [
         *[_category(F.col(c)) if c in docs.columns else F.lit(0) for c in categories],
         F.least(F.floor(F.log2(size.cast("double")) * 8), F.lit(top)),
-        F.coalesce(F.least(F.floor((F.col(id_col).cast("double") - low) / span * (top + 1)), F.lit(top)), F.lit(0)),
+        F.coalesce(F.least(F.floor((number - low) / span * (top + 1)), F.lit(top)), _category(F.col(id_col))),
     ]
     kept = docs.select(
         F.col(id_col), size.alias("size"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"),

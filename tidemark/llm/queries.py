@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from tidemark.llm import (ballcodes, bpe, collocations, decontaminate, html, jaccard, licenses, minhash, pii, quality,
                           sharding, suffixes, toxicity)
 from tidemark.llm.common import read_table
 
-#: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Folder of the public tokenizers' vocabulary files: that of the installed package unless ``TOKENIZER_DIR`` names another.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_pii(spark, sf_dir):

@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import suffixes
+from tidemark.llm.common import BASE, BYTE_VALUES, U64, prefix_hash, span_hash
 
 
 def brute(docs, length):
@@ -54,3 +56,25 @@ def test_equal_to_brute_force(spark, length):
 
 def test_empty(spark):
     assert suffixes.removal(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_strings_that_collide_in_the_fast_hash(spark):
+    """Two texts share no string of 400 bytes, but the polynomial hash of every one that spans the middle is the same."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    blocks = np.stack([g.ravel() for g in np.meshgrid(*[letters] * 4)], axis=1)
+    h = sum(BYTE_VALUES[blocks[:, j]] * U64(pow(BASE, j, 1 << 64)) for j in range(4)) & U64((1 << 37) - 1)
+    order = np.argsort(h, kind="stable")
+    k = np.flatnonzero(h[order][1:] == h[order][:-1])[0]
+    a, b = (blocks[order[i]].tobytes() for i in (k, k + 1))
+    middle = lambda a, b: b"".join((a, b)[bin(i).count("1") % 2] for i in range(64))
+    one, two = middle(a, b), middle(b, a)
+    assert one != two and len({int(prefix_hash(np.frombuffer(m, np.uint8))[-1]) for m in (one, two)}) == 1
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefghij", k=n)).encode()
+    whole = np.arange(1) * 0
+    gram = min((word(16) for _ in range(20000)), key=lambda g: int(span_hash(prefix_hash(np.frombuffer(g, np.uint8)), whole, whole + 16)[0]))
+    head, tail = word(184) + gram, word(200)
+    docs = [(1, (head + one + tail).decode()), (2, (head + two + tail).decode())]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, suffixes.removal(df, 400).collect()))
+    assert got == brute(docs, 400) and [r[2] for r in got] == [0, 0]

@@ -14,8 +14,10 @@ distance to a sampled one and that one's name.
 * Remaining suffixes. Only where suffixes share the triple and differ beyond it are the
   strings themselves, one per byte position, brought together and compared.
 
-Names are hashes (two of 64 bits together), so equal names meet by a shuffle on the
-name; no order among different suffixes is ever needed. Rows that are shuffled: one per
+The names that decide a removal are 128-bit BLAKE2b digests of the bytes themselves, so equal
+names meet by a shuffle on the name; no order among different suffixes is ever needed. The
+sample and the triples use a faster hash that anyone can make collide: it only chooses
+which bytes are digested. Rows that are shuffled: one per
 64 bytes of text or so, then those of repeated regions, then the positions near the
 ends of repeats.
 """
@@ -57,12 +59,22 @@ def sampled(raw: np.ndarray, length: int):
     return prefix, p[first], first, last
 
 
-def names(prefix, p, first, last, length: int):
-    """Triple name and whole name of each sampled suffix."""
+def triples(prefix, p, length: int) -> np.ndarray:
+    """Triple name of each sampled suffix: equal for equal bytes; that different bytes may share one costs work, not rightness."""
     shared = length - (min(WINDOW, max(1, length - GRAM + 1)) - 1)
-    triple = span_hash(prefix, p, p + shared)
-    whole = mix64(span_hash(prefix, first, last + length) ^ ((p - first).astype(U64) * U64(0x9E3779B97F4A7C15)))
-    return triple.view(np.int64), whole.view(np.int64)
+    return span_hash(prefix, p, p + shared).view(np.int64)
+
+
+def digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a cryptographic digest of each span's bytes (and its salt): what is removed hangs on these alone."""
+    view, new = memoryview(raw), hashlib.blake2b
+    if salt is None:
+        out = b"".join([new(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())])
+    else:
+        out = b"".join([new(view[s:e], digest_size=16, salt=k.to_bytes(4, "little")).digest()
+                        for s, e, k in zip(start.tolist(), end.tolist(), salt.tolist())])
+    both = np.frombuffer(out, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def suffix_id(row: int, p: np.ndarray) -> np.ndarray:
@@ -77,7 +89,7 @@ def _rows(b):
 
 
 def _scan(rows: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply ``fn(row, prefix, p, first, last)`` -> columns to every text that is long enough."""
+    """Apply ``fn(row, raw, prefix, p, first, last)`` -> columns to every text that is long enough."""
     fields = [f.split(" ") for f in schema.split(", ")]
     types = {"long": pa.int64(), "int": pa.int32()}
 
@@ -95,7 +107,7 @@ def _scan(rows: DataFrame, fn, schema: str) -> DataFrame:
         for r, raw in _rows(b):
             s = sampled(raw, length)
             if s is not None:
-                yield r, *s
+                yield r, raw, *s
 
     return rows.df.mapInArrow(run, schema)
 
@@ -109,22 +121,21 @@ def covered(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     """``row`` (hash of id and text) and ``spans``: byte ranges to remove, possibly overlapping."""
     texts = _Texts(docs.select(F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("t")), length)
 
-    def triples(row, prefix, p, first, last):
-        return (names(prefix, p, first, last, length)[0],)
-
-    triple = _scan(texts, triples, "triple long")
+    triple = _scan(texts, lambda row, raw, prefix, p, first, last: (triples(prefix, p, length),), "triple long")
     again = presence(triple.groupBy("triple").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("triple"), "triple")
 
-    def refined(row, prefix, p, first, last):
-        t, whole = names(prefix, p, first, last, length)
+    def refined(row, raw, prefix, p, first, last):
+        t = triples(prefix, p, length)
         k = np.flatnonzero(is_present(again.value, t))
         if len(k):
-            return t[k], whole[k], np.full(len(k), row), p[k].astype(np.int32), first[k].astype(np.int32), last[k].astype(np.int32)
+            a, b, at = first[k], last[k], p[k]
+            return t[k], *digests(raw, a, b + length, at - a), np.full(len(k), row), at.astype(np.int32), a.astype(np.int32), b.astype(np.int32)
 
-    named = stage_table(_scan(texts, refined, "triple long, whole long, row long, p int, first int, last int"), "suffix-names")
-    groups = stage_table(named.groupBy("triple", "whole").agg(
+    named = stage_table(_scan(texts, refined, "triple long, whole long, check long, row long, p int, first int, last int"), "suffix-names")
+    name = ["triple", "whole", "check"]
+    groups = stage_table(named.groupBy(*name).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "p")).alias("one")), "suffix-groups")
-    full = named.join(groups.where("n > 1").select("triple", "whole"), ["triple", "whole"], "left_semi").select(
+    full = named.join(groups.where("n > 1").select(*name), name, "left_semi").select(
         "row", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     mixed = groups.groupBy("triple").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("triple")
@@ -132,17 +143,16 @@ def covered(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col
     open_ = open_.mapInArrow(_ids, "id long")
     wanted = presence(open_, "id")
 
-    def strings(row, prefix, p, first, last):
+    def strings(row, raw, prefix, p, first, last):
         k = np.flatnonzero(is_present(wanted.value, suffix_id(row, p)))
         if len(k):
             n = last[k] - first[k] + 1
             at = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            t = names(prefix, p[k], first[k], last[k], length)[0]
-            return span_hash(prefix, at, at + length).view(np.int64), np.repeat(t, n), np.full(len(at), row), at.astype(np.int32)
+            return *digests(raw, at, at + length), np.full(len(at), row), at.astype(np.int32)
 
-    each = _scan(texts, strings, "string long, triple long, row long, at int")
+    each = _scan(texts, strings, "string long, check long, row long, at int")
     # equal strings stand side by side: all positions of a string that stands more than once, in one shuffle
-    n = F.count(F.lit(1)).over(Window.partitionBy("string", "triple"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("string", "check"))
     single = each.withColumn("n", n).where("n > 1").select("row", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
     return full.union(single).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))   # one text's positions at most
 

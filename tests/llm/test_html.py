@@ -2,6 +2,9 @@
 
 import html
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import html as web
 
@@ -97,3 +100,46 @@ def test_block_of_a_section_on_a_large_host(spark):
                           f"{head}<p>{story}</p>{tail}"))
             want.append(f"{story}\nYes." if k < 25 else story)
     assert extracted(spark, pages) == want
+
+
+def test_joined_templates_equal_broadcast_ones(spark):
+    """The way for more templates than are sent to every task gives the same rows, copies and nulls included."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
+    pages = pages.union(pages.limit(20)).union(spark.createDataFrame([(-1, None, None), (-2, "http://a/", None)], pages.schema))
+    sent, joined = (sorted(map(tuple, web.extract(pages, most_sent=m).collect())) for m in (web.MOST_SENT, -1))
+    assert sent == joined and len(sent) == pages.count()
+
+
+def test_counts_delete_what_no_mark_names(spark):
+    """A plain block put on half of the test pages of one host, in the article or outside, goes by the counts alone."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(
+        "page_id", F.lit("http://one.example/").alias("url"), "html").where("html like '%</article>%'")
+    block = "<div><p>Read the weekly letter</p><ul><li>Offers<li>Terms</ul></div>"
+    for at in ("</article>", "<article>"):
+        put = pages.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit(at), F.lit(block + at))).otherwise(F.col("html")))
+        want = {r.page_id: (r.text, r.n_cut) for r in web.extract(pages).collect()}
+        got = {r.page_id: (r.text, r.n_cut) for r in web.extract(put).collect()}
+        inside = at == "</article>"
+        assert {k: t for k, (t, _) in got.items()} == {k: t for k, (t, _) in want.items()}
+        assert all(n - want[k][1] == (3 if inside and k % 2 == 0 else 0) for k, (_, n) in got.items())
+
+
+def test_deep_and_odd_pages_are_linear():
+    start = time.perf_counter()
+    assert text("<div>x" * 50000) == "\n".join("x" * 50000)
+    assert text("<p>a" + "<i>" * 50000 + "</b>" * 50000 + "z</p>") == "az"
+    assert text("<ul><li>a" + "<i>" * 50000 + "<div></div>" * 50000) == "a"
+    assert text("<nav>" + "<div>y" * 50000 + "</div>" * 50000 + "</nav>x") == "x"
+    assert time.perf_counter() - start < 20
+
+
+def test_subtree_hashes():
+    """Equal subtrees hash alike wherever they stand; other texts, tags or orders do not."""
+    def hashes(html):
+        return web.parse(html)["hashes"]
+    one = "<div><p>a</p><ul><li>b<li>c</ul></div>"
+    assert hashes(one) == hashes(f"<body>{one}</body>") and set(hashes(one)) < set(hashes(f"<section>{one}d</section>"))
+    assert len({hashes(h)[0] for h in (one, one.replace("a", "x"), one.replace("div", "section"), "<div><ul><li>b<li>c</ul><p>a</p></div>")}) == 4
+    page = web.parse("<nav><ul><li>menu</ul></nav><div class=ad>buy</div><p>x</p>")
+    assert [t for t, *_ in page["blocks"]] == ["x"] and [t for t, *_ in page["marked"]] == ["menu", "buy"]
+    assert all(p < k for k, p in enumerate(page["up"]))

@@ -1,10 +1,10 @@
 """Main text of web pages with site templates removed.
 
-Every page is parsed once: the subtree of each element that may be a template part gets a
-hash of its tags and text. Spark counts, per host, on how many different articles each
-hash stands; subtrees that recur on many of them are the site's template and are deleted.
-What the markup itself names as navigation, advert, form, script or reader comments goes
-too; inside pages with an article element, the article is the main text.
+The subtree of each element that may be a template part, menus and adverts included, gets a
+hash of its tag, texts and hashed children. Spark counts, per host, on how many different
+articles each hash stands; subtrees that recur on many of them are the site's template and
+are deleted. Then what the markup itself names as navigation, advert, form or reader
+comments goes, however rare; in pages with an article element, the article is the main text.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ import hashlib
 import html as htmllib
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage_table
+from tidemark.llm.common import mix64, stage_table
 
 #: A subtree is template if it stands on this many articles of the host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 3, 0.3
@@ -27,6 +28,9 @@ MANY_PAGES = 10
 #: what recurs beyond that is a near copy's own text.
 LEAST_LEFT, LEAST_LEFT_PAGE = 0.5, 0.2
 
+#: Most template names that are sent to every task (16 MB); beyond, they are joined.
+MOST_SENT = 1 << 21
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                     r"|</?([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -79,54 +83,85 @@ def _is_junk(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class _Open:
-    __slots__ = ("tag", "junk", "main", "digest", "key", "readers")
+    """An open element. ``block``: place of the innermost block element on the stack; ``part`` and ``marked``: the
+    innermost hashed element around it that no mark covers, and that a mark does."""
+
+    __slots__ = ("tag", "junk", "main", "readers", "block", "part", "marked")
 
-    def __init__(self, tag, junk, main, readers, part):
+    def __init__(self, tag, junk, main, readers, block, part, marked):
         self.tag, self.junk, self.main, self.readers = tag, junk, main, readers
-        self.digest = hashlib.blake2b(tag.encode(), digest_size=8) if part else None
-        self.key = None
+        self.block, self.part, self.marked = block, part, marked
+
+
+class _Part:
+    __slots__ = ("digest", "key", "up", "container", "depth")
+
+    def __init__(self, tag, sort, up, depth):
+        self.digest = hashlib.blake2b((sort + tag).encode("utf-8", "surrogatepass"), digest_size=8)
+        self.key, self.up, self.container, self.depth = None, up, tag in _PART, depth
+
+
+_IMPLIED = ((_CLOSES_P, "p"), (("li",), "li"), (("dt", "dd"), "dd"), (("dt", "dd"), "dt"), (("tr",), "tr"), (("td", "th", "tr"), "td"))
 
 
 def parse(page: str | None) -> dict:
-    """``blocks``: (text, keys of the hashed subtrees around it, in the main element or not) in page
-    order; ``hashes``: the subtree hash of each key, 64 bits."""
-    blocks, hashes, stack, buf = [], {}, [], []
+    """``blocks``: (text, key of the innermost hashed element around it or None, in the main element or not) in
+    page order; ``marked``: the same of what the markup names as no main text; ``hashes``: by key, the 64-bit hash of an element's subtree (its texts and its hashed children's hashes);
+    ``up``: by key, that of the next hashed element around it or -1, always smaller.
+    Every element is touched when it opens and when it closes only: linear in the page, however deep."""
+    blocks, hashes, up, stack, buf, marked = [], [], [], [], [], []
+    out = {"blocks": blocks, "marked": [], "hashes": hashes, "up": up}
     if not page:
-        return {"blocks": blocks, "hashes": hashes}
-    top = _Open("", False, False, False, False)
+        return out
+    top, open_ = _Open("", False, False, False, -1, None, None), {}
+
+    def emit(pieces, part, main, to):
+        t = " ".join(htmllib.unescape("".join(pieces)).split())
+        pieces.clear()
+        if t:
+            need, o = [], part
+            while o is not None and o.key is None:
+                need.append(o)
+                o = o.up
+            for o in reversed(need):
+                o.key = len(hashes)
+                hashes.append(0)
+                up.append(-1 if o.up is None else o.up.key)
+            if part is not None:
+                part.digest.update(b"\n" + t.encode("utf-8", "surrogatepass"))
+            to.append((t, None if part is None else part.key, main))
 
     def flush():
+        cur = stack[-1] if stack else top
         if buf:
-            t = " ".join(htmllib.unescape("".join(buf)).split())
-            buf.clear()
-            cur = stack[-1] if stack else top
-            if t:
-                keys = []
-                for o in stack:
-                    if o.digest is not None:
-                        if o.key is None:
-                            o.key = len(hashes)
-                            hashes[o.key] = None
-                        o.digest.update(b"\n" + t.encode("utf-8", "surrogatepass"))
-                        keys.append(o.key)
-                blocks.append((t, keys, cur.main))
+            emit(buf, cur.part, cur.main, blocks)
+        if marked:
+            emit(marked, cur.marked, False, out["marked"])
 
     def close(k):
         while len(stack) > k:
             o = stack.pop()
-            if o.key is not None:
-                h = int.from_bytes(o.digest.digest(), "little", signed=True)
-                hashes[o.key] = h | 1 if o.tag in _PART else h & ~1       # the lowest bit tells containers
+            open_[o.tag] -= 1
+            p = o.marked if o.junk else o.part
+            if o.junk and marked and not (stack and stack[-1].junk):
+                emit(marked, p, False, out["marked"])  # the mark ends here, its text is no one else's
+            if p is not None and p.depth == len(stack) and p.key is not None:
+                h = int.from_bytes(p.digest.digest(), "little", signed=True)
+                hashes[p.key] = h | 1 if p.container else h & ~1          # the lowest bit tells containers
+                if p.up is not None:
+                    p.up.digest.update(b"\0" + p.digest.digest())
+
+    def text(t):
+        (marked if stack and stack[-1].junk else buf).append(t)
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            if not stack or not stack[-1].junk:
-                buf.append(page[at:])
+            text(page[at:])
             break
-        if m.start() > at and not (stack and stack[-1].junk):
-            buf.append(page[at:m.start()])
+        if m.start() > at:
+            text(page[at:m.start()])
         at = m.end()
         if not m[1]:
             continue                                  # comment, declaration or a broken tag
@@ -134,10 +169,11 @@ def parse(page: str | None) -> dict:
         if tag in _BLOCK:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
+            if open_.get(tag):
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in _RAW:                               # its content is not markup
             if not m[2].endswith("/"):
@@ -146,27 +182,46 @@ def parse(page: str | None) -> dict:
             continue
         if tag in _VOID:
             continue
-        for closes, within in ((_CLOSES_P, "p"), (("li",), "li"), (("dt", "dd"), "dd"), (("dt", "dd"), "dt"), (("tr",), "tr"), (("td", "th", "tr"), "td")):
-            if tag in closes:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag == within:
-                        close(k)
-                        break
-                    if stack[k].tag in _BLOCK:
-                        break
+        for closes, within in _IMPLIED:
+            if tag in closes and stack and stack[-1].block >= 0 and stack[stack[-1].block].tag == within:
+                close(stack[-1].block)
         cur = stack[-1] if stack else top
         is_main = tag in ("article", "main") and not cur.readers
         attrs = _attributes(m[2])
         readers = cur.readers or _is_readers(tag, attrs)
         junk = False if is_main and not cur.main else cur.junk or readers or _is_junk(tag, attrs, cur.main)
-        part = not junk and (tag in _PART if cur.main else tag in _BLOCK and not is_main and tag not in ("html", "body"))
+        if junk:                                      # the marked element itself and its containers
+            part = not cur.junk or tag in _PART
+        else:
+            part = tag in _PART if cur.main else tag in _BLOCK and not is_main and tag not in ("html", "body")
         if not m[2].endswith("/") or tag in _BLOCK:
-            stack.append(_Open(tag, junk, cur.main or is_main, readers, part))
+            depth, main = len(stack), cur.main or is_main
+            stack.append(_Open(tag, junk, main, readers, depth if tag in _BLOCK else cur.block,
+                               _Part(tag, "main " if main else "", cur.part, depth) if part and not junk else cur.part,
+                               _Part(tag, "marked ", cur.marked if cur.junk else None, depth) if part and junk else cur.marked))
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     close(0)
     if any(b[2] for b in blocks):
-        blocks = [b for b in blocks if b[2]]
-    return {"blocks": blocks, "hashes": hashes}
+        out["blocks"] = [b for b in blocks if b[2]]
+    return out
+
+
+def main_text(page: dict, is_template) -> tuple[str, int]:
+    """The main text, and how many blocks the counts deleted. ``is_template`` tells it of each subtree hash.
+
+    Blocks in recurring subtrees go first, then what the markup names. A page whose recurring subtrees hold
+    too much of its main text (``LEAST_LEFT``) is a near copy and keeps that."""
+    gone = []
+    for k, p in enumerate(page["up"]):
+        gone.append(bool(is_template[k]) or p >= 0 and gone[p])
+    blocks = page["blocks"]
+    kept = [t for t, k, _ in blocks if k is None or not gone[k]]
+    cut = sum(k is not None and gone[k] for _, k, _ in page["marked"])
+    least = LEAST_LEFT if any(main for *_, main in blocks) else LEAST_LEFT_PAGE
+    if sum(map(len, kept)) < least * sum(len(t) for t, *_ in blocks):
+        kept = [t for t, *_ in blocks]
+    return "\n".join(kept), cut + len(blocks) - len(kept)
 
 
 def host_of(url: str | None) -> str:
@@ -174,57 +229,93 @@ def host_of(url: str | None) -> str:
     return m[1].rpartition("@")[2].lower() if m else ""
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("within", pa.list_(pa.int64()))]))
+def _digest64(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def parsed(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id, url, host, article (hash of all its text), main (the text is that of an article or main element),
-    blocks (text, hashes of the subtrees around it)."""
-    id_type = pages.schema[id_col].dataType.simpleString()
+def named(hashes: list[int], host: str) -> np.ndarray:
+    """Names of subtrees of one host: equal for equal subtrees of the same host; the lowest bit stays."""
+    h = np.array(hashes, np.int64).view(np.uint64)
+    salt = np.array([_digest64(host.encode("utf-8", "surrogatepass"))], np.int64).view(np.uint64)
+    return ((mix64(h ^ salt) & ~np.uint64(1)) | (h & np.uint64(1))).view(np.int64)
+
+
+def _page_key() -> Column:
+    """Digest of what a page's text depends on: rows of the same key have the same text."""
+    return F.unhex(F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit("\0"), F.coalesce("html", F.lit(""))), 256))
 
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """key, host, article (hash of its main text), hashes (names of its distinct subtrees); texts stay behind."""
     def run(batches):
         for b in batches:
-            urls = b.column(1).to_pylist()
-            docs = [parse(h) for h in b.column(2).to_pylist()]
-            sig = [int.from_bytes(hashlib.blake2b("\n".join(x[0] for x in d["blocks"]).encode("utf-8", "surrogatepass"), digest_size=8).digest(),
-                                  "little", signed=True) for d in docs]
+            hosts = [host_of(u) for u in b.column(1).to_pylist()]
+            docs = [parse(h.as_py()) for h in b.column(2)]
+            sig = [_digest64("\n".join(x[0] for x in d["blocks"]).encode("utf-8", "surrogatepass")) for d in docs]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array(map(host_of, urls), pa.string()), pa.array(sig, pa.int64()),
-                pa.array([any(x[2] for x in d["blocks"]) for d in docs], pa.bool_()),
-                pa.array([[{"text": t, "within": [d["hashes"][k] for k in keys]} for t, keys, _ in d["blocks"]] for d in docs], _BLOCKS)],
-                [id_col, "url", "host", "article", "main", "blocks"])
+                b.column(0), pa.array(hosts, pa.string()), pa.array(sig, pa.int64()),
+                pa.array([np.unique(named(d["hashes"], h)) for d, h in zip(docs, hosts)], pa.list_(pa.int64()))],
+                ["key", "host", "article", "hashes"])
 
-    return pages.select(id_col, "url", "html").mapInArrow(
-        run, f"{id_col} {id_type}, url string, host string, article long, main boolean, blocks array<struct<text:string,within:array<long>>>")
+    return pages.select(_page_key().alias("key"), "url", "html").mapInArrow(run, "key binary, host string, article long, hashes array<long>")
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
-    """host, hash of the subtrees that stand on ``min_pages`` and ``min_share`` of the host's different articles; for
+    """hash (name) of the subtrees that stand on ``min_pages`` and ``min_share`` of their host's different articles; for
     containers ``many_pages`` are enough, so that a section's block goes on a large host as on a small one.
-    Distinct rows and counts combine in the map tasks, so a large host is no hot spot."""
+    ``pages`` as of :func:`outlines`. Distinct rows and counts combine in the map tasks, so a large host is no hot spot."""
     n = pages.select("host", "article").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    seen = (pages.select("host", "article", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("hash")).distinct()
+    seen = (pages.select("host", "article", F.explode("hashes").alias("hash")).distinct()
             .groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages))
     container = F.col("hash").bitwiseAND(F.lit(1)) == 1
     often = (F.col("n") >= min_share * F.col("n_host")) | container & (F.col("n") >= many_pages)
-    return seen.join(n, "host").where(often).select("host", "hash")
+    return seen.join(n, "host").where(often).select("hash").distinct()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per row of ``pages``: id, url, text, n_chars.
+def _texts(rows: DataFrame, id_col: str, id_type: str, found) -> DataFrame:
+    """Second reading of the pages (id, url, html and, without a broadcast table, cut): id, url, text, n_chars, n_cut."""
+    def run(batches):
+        for b in batches:
+            texts, cuts = [], []
+            own = b.column(3) if found is None else [None] * b.num_rows
+            for u, h, c in zip(b.column(1), b.column(2), own):
+                page = parse(h.as_py())
+                names = named(page["hashes"], host_of(u.as_py()))
+                if found is not None:
+                    table = found.value
+                    at = np.searchsorted(table, names)
+                    hit = table[np.minimum(at, len(table) - 1)] == names if len(table) else np.zeros(len(names), bool)
+                else:
+                    hit = np.isin(names, np.array(c.as_py() or [], np.int64))
+                t, cut = main_text(page, hit)
+                texts.append(t)
+                cuts.append(cut)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()),
+                                              pa.array(map(len, texts), pa.int64()), pa.array(cuts, pa.int64())],
+                                             [id_col, "url", "text", "n_chars", "n_cut"])
+
+    return rows.mapInArrow(run, f"{id_col} {id_type}, url string, text string, n_chars long, n_cut long")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+            most_sent: int = MOST_SENT) -> DataFrame:
+    """One row per row of ``pages``: id, url, text, n_chars, n_cut (blocks deleted by the counts).
 
     Null and empty html give an empty text; a null url is a host of its own; repeated rows
     each give a row; an empty table gives none; other columns are not read. Character
     references are decoded, white space in a block becomes one space, blocks join by a
-    line feed. A page whose recurring subtrees hold too much of its main text (``LEAST_LEFT``) is a near
-    copy of others and stays whole. The parsed pages are written once and read for the counts and the texts."""
-    rows = stage_table(parsed(pages, id_col).withColumn("row", F.monotonically_increasing_id()), "pages-parsed")
-    found = templates(rows, min_pages, min_share)
-    hits = (rows.select("row", "host", F.explode(F.array_distinct(F.flatten("blocks.within"))).alias("hash"))
-            .join(found, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("cut")))     # one page's subtrees at most
-    kept = F.filter("blocks", lambda x: ~F.arrays_overlap(x["within"], F.col("cut")))
-    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
-    least = F.when(F.col("main"), F.lit(LEAST_LEFT)).otherwise(F.lit(LEAST_LEFT_PAGE))
-    stays = F.when(F.col("cut").isNotNull() & (chars(kept) >= least * chars(F.col("blocks"))), kept).otherwise(F.col("blocks"))
-    out = rows.join(hits, "row", "left").select(id_col, "url", F.array_join(F.transform(stays, lambda x: x["text"]), "\n").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    line feed. Long and deeply nested pages take time in proportion to their length.
+
+    The pages are read twice: for the subtree names, of which alone a table is written and counted, and for the
+    texts. Up to ``most_sent`` names of templates (a checked count) go to every task; more stay distributed and are
+    joined to their pages by the page's digest."""
+    id_type = pages.schema[id_col].dataType.simpleString()
+    seen = stage_table(outlines(pages), "pages-outline")
+    names = stage_table(templates(seen, min_pages, min_share), "pages-templates")
+    if names.count() <= most_sent:
+        table = np.sort(names.toArrow().column("hash").to_numpy())
+        return _texts(pages.select(id_col, "url", "html"), id_col, id_type, pages.sparkSession.sparkContext.broadcast(table))
+    hits = (seen.select("key", F.explode("hashes").alias("hash")).join(names, "hash")
+            .groupBy("key").agg(F.collect_set("hash").alias("cut")))                 # one page's subtrees at most
+    rows = pages.select(id_col, "url", "html", _page_key().alias("_key")).join(hits.withColumnRenamed("key", "_key"), "_key", "left")
+    return _texts(rows.select(id_col, "url", "html", "cut"), id_col, id_type, None)

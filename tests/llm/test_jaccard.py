@@ -6,6 +6,7 @@ import re
 import numpy as np
 
 from tidemark.llm import jaccard as jac
+from tidemark.llm.common import BASE, BYTE_VALUES, U64, prefix_hash
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -100,3 +101,31 @@ def test_counts_over_16_bits_do_not_bound():
     assert not jac.may_link(points[:1], points[2:], sizes[:1] + sizes[2:], 85).any()
     tree = jac.RTree(np.repeat(points, 20, axis=0), np.repeat(sizes, 20), 85)
     assert sorted(tree.search(points[0], int(sizes[0])).tolist()) == list(range(40))
+
+
+def test_words_that_collide_in_a_polynomial_hash(spark):
+    """Texts that share no shingle stay apart, though the fast hash of their first words is the same."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)
+    blocks = np.stack([g.ravel() for g in np.meshgrid(*[letters] * 4)], axis=1)
+    h = sum(BYTE_VALUES[blocks[:, j]] * U64(pow(BASE, j, 1 << 64)) for j in range(4)) & U64((1 << 37) - 1)
+    order = np.argsort(h, kind="stable")
+    k = np.flatnonzero(h[order][1:] == h[order][:-1])[0]
+    a, b = (blocks[order[i]].tobytes().decode() for i in (k, k + 1))
+    u, v = ("".join((x, y)[bin(i).count("1") % 2] for i in range(64)) for x, y in ((a, b), (b, a)))
+    assert u != v and len({int(prefix_hash(np.frombuffer(w.encode(), np.uint8))[-1]) for w in (u, v)}) == 1
+    docs = [(1, f"{u} b c d"), (2, f"{v} b c d"), (3, f"{u} B c  d"), (4, f"{u} b c d {v} b c d {u} b c d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, jac.components(df).collect())) == brute(docs, 4, 85) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 8, 4)]
+
+
+def test_names_of_shingles():
+    names, tiny = jac.Names(3), jac.Names(3)
+    rng = random.Random(4)
+    for _ in range(200):
+        x, y = ([rng.choice("abcdef") for _ in range(rng.randrange(12))] for _ in range(2))
+        one, two = (names.shingles(" ".join(w).encode()) for w in (x, y))
+        gx, gy = grams(" ".join(x), 3), grams(" ".join(y), 3)
+        assert len(one[0]) == len(gx) and jac.common(one, two) == len(gx & gy)
+        tiny.known.update(dict.fromkeys(map(str.encode, map(str, range(jac.WORDS + 1))), 0))        # forget all words
+        assert all((p == q).all() for p, q in zip(one, tiny.shingles(" ".join(x).encode())))
+        assert (gx == gy) == (not x and not y or bool(x and y) and jac.set_id(*one) == jac.set_id(*two))

@@ -20,14 +20,16 @@ survive a bound are verified on the whole sets.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import U64, is_present, mix64, prefix_hash, presence, span_hash, stage_table, word_spans
+from tidemark.llm.common import U64, is_present, mix64, presence, stage_table
 from tidemark.llm.graph import connected
 
 DIMS = 256
@@ -35,22 +37,72 @@ DIMS = 256
 BAND_GROWTH, SMALL = 1.6, 64
 #: Members of one R-tree block.
 BLOCK = 2048
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles; a shorter text is one shingle."""
-    data, starts, ends = word_spans(text)
-    if not len(starts):
-        return np.empty(0, U64)
-    k = min(width, len(starts))
-    return np.unique(span_hash(prefix_hash(np.frombuffer(data, np.uint8)), starts[:len(starts) - k + 1], ends[k - 1:]))
-
-
-def set_id(h: np.ndarray) -> int:
-    """64-bit name of a set, the same for equal sets."""
-    with np.errstate(over="ignore"):
-        x = mix64(np.array([mix64(h * U64(3) + U64(1)).sum(dtype=U64) ^ U64(len(h))], U64))
-    return int(x.view(np.int64)[0])
+#: Words whose digests, and shingles whose names, a task keeps.
+WORDS, KEPT = 200_000, 1 << 19
+
+
+def words_of(text: str | None) -> bytes:
+    """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z folded, joined by one space; none for null and blank texts."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
+
+
+class Names:
+    """128-bit names of word shingles, from cryptographic digests of the words; keeps those of words it has met."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.factors = mix64(np.arange(1, 2 * width + 1, dtype=U64)) | U64(1)
+        self.known: dict[bytes, int] = {}
+        self.digests = np.empty((0, 2), U64)
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > WORDS:
+            self.known.clear()
+            self.digests = np.empty((0, 2), U64)
+        new = list(set(words).difference(self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            both = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new])
+            while len(self.digests) < len(self.known):                # doubled, so that growing costs little a word
+                self.digests = np.concatenate([self.digests, np.empty((max(1024, len(self.digests)), 2), U64)])
+            self.digests[len(self.known) - len(new):len(self.known)] = np.frombuffer(both, "<u8").reshape(-1, 2)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def shingles(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the names of the distinct shingles, by the first half, then the second; fewer words are one shingle."""
+        if not words:
+            return np.empty(0, U64), np.empty(0, U64)
+        at = self._numbers(words.split(b" "))
+        k = min(self.width, len(at))
+        a, b = np.full(len(at) - k + 1, U64(k)), np.full(len(at) - k + 1, U64(k))
+        for i in range(k):
+            part = self.digests[at[i:len(at) - k + 1 + i]]
+            a += part[:, 0] * self.factors[2 * i]
+            b += part[:, 1] * self.factors[2 * i + 1]
+        a = mix64(a)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        same = a[1:] == a[:-1]
+        if (same & (b[1:] != b[:-1])).any():                          # two shingles of one first half
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        first = np.concatenate([[True], ~same])
+        return a[first], b[first]
+
+
+def common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two sets of names."""
+    _, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+    return int((one[1][i] == two[1][j]).sum())
+
+
+def set_id(*halves: np.ndarray) -> int:
+    """Name of a set, the same for equal sets: 64 bits of a cryptographic digest of its shingles' names."""
+    digest = hashlib.blake2b(digest_size=8)
+    for h in halves:
+        digest.update(h.tobytes())
+    return int.from_bytes(digest.digest(), "little", signed=True)
 
 
 _EDGES = [1]
@@ -157,13 +209,13 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        filed: set[int] = set()                   # sets this task has filed: copies need no second filing
+        names, filed = Names(width), set()        # sets this task has filed: copies need no second filing
         for b in batches:
             n, sid, keys, points = [], [], [], []
             for t in b.column(1).to_pylist():
-                h = shingles(t, width)
+                h, check = names.shingles(words_of(t))
                 n.append(len(h))
-                s = set_id(h) if len(h) else None
+                s = set_id(h, check) if len(h) else None
                 sid.append(s)
                 first = s is not None and s not in filed
                 keys.append(keys_of(h, percent).view(np.int64) if first else None)
@@ -177,33 +229,53 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
 
 def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """sid, n, items of the sets named by the documents in ``needed`` (id_col, sid)."""
+    """sid, n, words of a text of the sets named by the documents in ``needed`` (id_col, sid)."""
     filter_ = presence(needed.select(F.xxhash64(id_col).alias("h")), "h")
 
     def run(batches):
+        names = Names(width)
         for b in batches:
             keep = is_present(filter_.value, b.column(1).to_numpy())
             out = []
             for k in np.flatnonzero(keep).tolist():
-                h = shingles(b.column(2)[k].as_py(), width)
-                if len(h):
-                    out.append((set_id(h), len(h), h.view(np.int64)))
-            sid, n, items = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["sid", "n", "items"])
-
-    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, items array<long>")
+                words = words_of(b.column(2)[k].as_py())
+                if words:
+                    h, check = names.shingles(words)
+                    out.append((set_id(h, check), len(h), words))
+            sid, n, words = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.binary())], ["sid", "n", "words"])
+
+    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, words binary")
     return sets.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _enough(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
-    return 100 * overlap >= percent * (na + nb - overlap)
+def _verify(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by the 128-bit names of all shingles of their words."""
+    side = lambda c: sets.select(F.col("sid").alias(c), F.col("words").alias(f"{c}_words"))
 
+    def run(batches):
+        names, met, size = Names(width), {}, 0          # sets met lately: a star's centre comes again and again
+
+        def named(sid, words):
+            nonlocal size
+            if sid not in met:
+                if size > KEPT:
+                    met.clear()
+                    size = 0
+                met[sid] = names.shingles(words.as_py())
+                size += len(met[sid][0])
+            return met[sid]
+
+        for rows in batches:
+            out = []
+            for a, b, one, two in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), rows.column(3)):
+                x, y = named(a, one), named(b, two)
+                both = common(x, y)
+                out.append(100 * both >= percent * (len(x[0]) + len(y[0]) - both))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"]).filter(pa.array(out, pa.bool_()))
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    side = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("items").alias(f"{c}_items"))
-    overlap = F.size(F.array_intersect("a_items", "b_items"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_enough(overlap, F.col("a_n"), F.col("b_n"), percent)).select("a", "b")
+    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_words", "b_words")
+    return whole.mapInArrow(run, "a long, b long")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +345,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
         in_pairs = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         needed = stage_table(filed.where("sid is not null").join(in_pairs, "sid", "left_semi")
                              .groupBy("sid").agg(F.min(id_col).alias(id_col)), "jaccard-needed")
-        return _verify(pairs, stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets"), percent)
+        return _verify(pairs, stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets"), width, percent)
 
     stars = keyed.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     roots = connected(linked(_bounded(stars, points, percent)))

@@ -1,6 +1,6 @@
 """N-gram Jaccard join over count vectors in an R-tree.
 
-Every text becomes its set of word shingles. Equal sets collapse to one first. The
+Every text becomes its set of word shingles. Equal word sequences collapse to one first. The
 shingles are hashed into groups in two ways:
 
 * Routing. Two sets that link differ in at most ``d`` shingles, so among ``d + 1 + z``
@@ -21,6 +21,7 @@ survive a bound are verified on the whole sets.
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
+from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import U64, is_present, mix64, presence, stage_table
+from tidemark.llm.common import BASE, U64, is_present, mix64, presence, stage_table
 from tidemark.llm.graph import connected
 
 DIMS = 256
@@ -46,6 +48,20 @@ def words_of(text: str | None) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").lower().split()) if text else b""
 
 
+def shingles(words: bytes, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles; fewer words are one shingle. They file and bound
+    sets; whether two link is told by :class:`Names`."""
+    if not words:
+        return np.empty(0, U64)
+    each = words.split(b" ")
+    h = np.fromiter(map(xxh3_64_intdigest, each), U64, len(each))
+    k = min(width, len(h))
+    out = np.full(len(h) - k + 1, U64(k))
+    for i in range(k):
+        out += h[i:len(h) - k + 1 + i] * U64(pow(BASE, i + 1, 1 << 64))
+    return np.unique(mix64(out))
+
+
 class Names:
     """128-bit names of word shingles, from cryptographic digests of the words; keeps those of words it has met."""
 
@@ -59,14 +75,16 @@ class Names:
         if len(self.known) > WORDS:
             self.known.clear()
             self.digests = np.empty((0, 2), U64)
-        new = list(set(words).difference(self.known))
-        if new:
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if (at < 0).any():
+            new = list({words[k] for k in np.flatnonzero(at < 0).tolist()})
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             both = b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in new])
             while len(self.digests) < len(self.known):                # doubled, so that growing costs little a word
                 self.digests = np.concatenate([self.digests, np.empty((max(1024, len(self.digests)), 2), U64)])
             self.digests[len(self.known) - len(new):len(self.known)] = np.frombuffer(both, "<u8").reshape(-1, 2)
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return at
 
     def shingles(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Both halves of the names of the distinct shingles, by the first half, then the second; fewer words are one shingle."""
@@ -75,12 +93,12 @@ class Names:
         at = self._numbers(words.split(b" "))
         k = min(self.width, len(at))
         a, b = np.full(len(at) - k + 1, U64(k)), np.full(len(at) - k + 1, U64(k))
+        one, two = self.digests[at].T.copy()
         for i in range(k):
-            part = self.digests[at[i:len(at) - k + 1 + i]]
-            a += part[:, 0] * self.factors[2 * i]
-            b += part[:, 1] * self.factors[2 * i + 1]
+            a += one[i:len(at) - k + 1 + i] * self.factors[2 * i]
+            b += two[i:len(at) - k + 1 + i] * self.factors[2 * i + 1]
         a = mix64(a)
-        order = np.argsort(a, kind="stable")
+        order = np.argsort(a)
         a, b = a[order], b[order]
         same = a[1:] == a[:-1]
         if (same & (b[1:] != b[:-1])).any():                          # two shingles of one first half
@@ -97,11 +115,11 @@ def common(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray
     return int((one[1][i] == two[1][j]).sum())
 
 
-def set_id(*halves: np.ndarray) -> int:
-    """Name of a set, the same for equal sets: 64 bits of a cryptographic digest of its shingles' names."""
+def set_id(*parts: np.ndarray | bytes) -> int:
+    """64 bits of a cryptographic digest, the same for equal parts."""
     digest = hashlib.blake2b(digest_size=8)
-    for h in halves:
-        digest.update(h.tobytes())
+    for p in parts:
+        digest.update(p)
     return int.from_bytes(digest.digest(), "little", signed=True)
 
 
@@ -129,9 +147,10 @@ def keys_of(h: np.ndarray, percent: int) -> np.ndarray:
     for b in range(band_of(max(least, 1)), band_of(n) + 1):
         top = edges[b + 1] - 1
         differ = top * (100 - percent) // percent          # by which a set of this band and a larger one differ at most
-        if differ == 0:
-            continue                                       # only equal sets link
         salt = mix64(np.array([b + 1], U64) * U64(0x9E3779B97F4A7C15))[0]
+        if differ == 0:                                    # only equal sets link, of other word order perhaps
+            out.append(np.array([set_id(h)], np.int64).view(U64) ^ salt)
+            continue
         if top <= SMALL:
             out.append(mix64(h[:n - least + 1] ^ salt))
             continue
@@ -209,13 +228,14 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        names, filed = Names(width), set()        # sets this task has filed: copies need no second filing
+        filed = set()                             # texts this task has filed: copies need no second filing
         for b in batches:
             n, sid, keys, points = [], [], [], []
             for t in b.column(1).to_pylist():
-                h, check = names.shingles(words_of(t))
+                words = words_of(t)
+                h = shingles(words, width)
                 n.append(len(h))
-                s = set_id(h, check) if len(h) else None
+                s = set_id(words) if words else None
                 sid.append(s)
                 first = s is not None and s not in filed
                 keys.append(keys_of(h, percent).view(np.int64) if first else None)
@@ -228,24 +248,18 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type}, n long, sid long, keys array<long>, point binary")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """sid, n, words of a text of the sets named by the documents in ``needed`` (id_col, sid)."""
+def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """sid, words of the texts named by the documents in ``needed`` (id_col, sid)."""
     filter_ = presence(needed.select(F.xxhash64(id_col).alias("h")), "h")
 
     def run(batches):
-        names = Names(width)
         for b in batches:
             keep = is_present(filter_.value, b.column(1).to_numpy())
-            out = []
-            for k in np.flatnonzero(keep).tolist():
-                words = words_of(b.column(2)[k].as_py())
-                if words:
-                    h, check = names.shingles(words)
-                    out.append((set_id(h, check), len(h), words))
-            sid, n, words = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(words, pa.binary())], ["sid", "n", "words"])
-
-    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, n long, words binary")
+            words = [words_of(b.column(2)[k].as_py()) for k in np.flatnonzero(keep).tolist()]
+            words = [w for w in words if w]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, words), pa.int64()), pa.array(words, pa.binary())], ["sid", "words"])
+
+    sets = docs.select(id_col, F.xxhash64(id_col).alias("_slot"), text_col).mapInArrow(run, "sid long, words binary")
     return sets.join(needed.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -345,7 +359,7 @@ def components(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str =
         in_pairs = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         needed = stage_table(filed.where("sid is not null").join(in_pairs, "sid", "left_semi")
                              .groupBy("sid").agg(F.min(id_col).alias(id_col)), "jaccard-needed")
-        return _verify(pairs, stage_table(_sets(docs, needed, width, id_col, text_col), "jaccard-sets"), width, percent)
+        return _verify(pairs, stage_table(_sets(docs, needed, id_col, text_col), "jaccard-sets"), width, percent)
 
     stars = keyed.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct()
     roots = connected(linked(_bounded(stars, points, percent)))

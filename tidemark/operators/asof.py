@@ -78,6 +78,39 @@ def next_event_counts(events: DataFrame, event_date: str, panel: DataFrame, key:
     return per.join(ev, "d").select(F.col("d").alias("event_date"), F.col("r").alias("response_date"), "n_keys")
 
 
+def response_spells(events: DataFrame, event_date: str, panel: DataFrame, key: str,
+                    date_col: str, flag: str):
+    """Distinct event days ``d``, and the spells in which events wait: key, the day ``r``
+    that ends the spell, ``answered`` (a response ends it; else the key's last row does)
+    and the first and last day (``_s``, ``_e``) whose events wait through it. Events on or
+    after a key's last row are not watched there and stand in no spell. One shuffle."""
+    ev, lo, hi, _ = event_span(events, event_date)
+    last = F.lead(date_col).over(Window.partitionBy(key).orderBy(date_col)).isNull()
+    rows = with_prev_response(panel, key, date_col, flag).withColumn("_last", last)
+    rows = rows.where(F.col(flag) | F.col("_last"))
+    spells = rows.select(key, F.col(date_col).alias("r"), F.col(flag).alias("answered"),
+                         F.greatest("prev_r", lo).alias("_s"),
+                         F.least(F.date_sub(F.col(date_col), 1), hi).alias("_e"))
+    return ev, spells.where(F.col("_s") <= F.col("_e"))
+
+
+def wait_counts(spells: DataFrame, ev: DataFrame, by: list[str],
+                horizon_days: int | None = None, out: str = "wait_days") -> DataFrame:
+    """by, the wait in days, n_responded, n_censored: events of ``ev`` by how long they wait.
+    With ``horizon_days`` longer waits are censored at that many days. Equal spells are
+    counted before they are expanded to days, so no pair of event and key is built."""
+    alike = spells.groupBy(*by, "r", "answered", "_s", "_e").agg(F.count("*").alias("_n"))
+    days = alike.select(*by, "r", "answered", "_n", F.explode(F.sequence("_s", "_e")).alias("d")).join(ev, "d")
+    wait, told = F.datediff("r", "d"), F.col("answered")
+    if horizon_days is not None:
+        told = told & (wait <= int(horizon_days))
+        wait = F.least(wait, F.lit(int(horizon_days)))
+    days = days.select(*by, wait.alias(out), told.alias("_told"), "_n")
+    return days.groupBy(*by, out).agg(
+        F.sum(F.when(F.col("_told"), F.col("_n")).otherwise(0)).cast("long").alias("n_responded"),
+        F.sum(F.when(F.col("_told"), 0).otherwise(F.col("_n"))).cast("long").alias("n_censored"))
+
+
 def next_event_pairs(spark: SparkSession, events: DataFrame, event_date: str,
                      panel: DataFrame, key: str, date_col: str, flag: str,
                      horizon_days: int | None = None) -> DataFrame:

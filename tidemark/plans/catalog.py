@@ -57,6 +57,26 @@ def q2b(spark, d):
     return prices.q2b(spark, _t(spark, d))
 
 
+def q2a_dated(spark, d):
+    return prices.q2a_dated(spark, _t(spark, d))
+
+
+def a4_waits(spark, d):
+    return prices.q2a_waits(spark, _t(spark, d))
+
+
+def a4_curve(spark, d):
+    return prices.wait_curve(spark, _t(spark, d))
+
+
+def t3_versions(spark, d):
+    return prices.station_brands(_t(spark, d))
+
+
+def j3_dated(spark, d):
+    return prices.station_with_dated_brand(_t(spark, d))
+
+
 def t1_weather(spark, d):
     return _t(spark, d).weather
 
@@ -255,6 +275,8 @@ def x1(spark, d):
 
 QUERIES: dict[str, Query] = {
     "q1a": q1a, "q1b": q1b, "q2a": q2a, "q2b": q2b, "q2a_crudes": q2a_crudes,
+    "q2a_dated": q2a_dated, "a4_waits": a4_waits, "a4_curve": a4_curve,
+    "t3_versions": t3_versions, "j3_dated": j3_dated,
     "t1_weather": t1_weather, "t1_increment": t1_increment, "t1_cumulative": t1_cumulative,
     "t6_islands": t6_islands, "t4_typed": t4_typed,
     "q1_dups": q1_dups, "q2_orphans": q2_orphans, "t2_hourly": t2_hourly, "t3_master": t3_master,

@@ -32,6 +32,8 @@ _BASE = {
           / (CAST(count(value) AS DOUBLE) * 100) AS dubai,
         max(value) AS brent, min(value) AS wti
         FROM events WHERE event_type = 'purchase' AND isodow(ts) <= 5 GROUP BY 1""",
+    "brand_days": """SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS price_date,
+        arg_max(event_type, event_id) AS brand FROM events GROUP BY 1, 2""",
     # derived helpers used by several queries
     "oil": "SELECT price_date, dubai AS price FROM oil_price WHERE dubai IS NOT NULL",
     "spine": """SELECT unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS obs_datetime
@@ -54,6 +56,18 @@ _BASE = {
         lag(price) OVER (PARTITION BY station_id ORDER BY price_date) AS prev_price,
         lag(price_date) OVER (PARTITION BY station_id ORDER BY price_date) AS prev_price_date
         FROM gas_price""",
+    # every watched (event, station) pair with its wait, responded or not
+    "watched": """SELECT s.brand, p.response_date IS NOT NULL AS told,
+        datediff('day', p.event_date, coalesce(p.response_date, l.last_date)) AS wait_days
+        FROM pairs p JOIN gas_station s ON s.station_id = p.station_id
+        JOIN (SELECT station_id, max(price_date) AS last_date FROM gas_price GROUP BY 1) l
+          ON l.station_id = p.station_id
+        WHERE p.response_date IS NOT NULL OR l.last_date > p.event_date""",
+    "vers": """SELECT station_id, brand,
+        CASE WHEN row_number() OVER v > 1 THEN price_date END AS valid_from, lead(price_date) OVER v AS valid_to
+        FROM (SELECT *, lag(brand) OVER (PARTITION BY station_id ORDER BY price_date) AS before FROM brand_days) b
+        WHERE before IS NULL OR before <> brand
+        WINDOW v AS (PARTITION BY station_id ORDER BY price_date)""",
     "sr": "SELECT station_id, price_date AS rise_date FROM sl WHERE price - prev_price > 0",
     "pairs": """SELECT st.station_id, ev.event_date,
         (SELECT min(sr.rise_date) FROM sr WHERE sr.station_id = st.station_id
@@ -85,6 +99,7 @@ _BASE = {
 
 _DEPS = {
     "weather": [], "rental": [], "rental_station": [], "gas_station": [], "gas_price": [],
+    "brand_days": [], "watched": ["pairs", "gas_station", "gas_price"], "vers": ["brand_days"],
     "oil_price": [], "oil": ["oil_price"], "spine": ["weather"], "hourly": ["rental"],
     "hwr": ["spine", "weather", "hourly"], "hc": ["weather"], "ol": ["oil"],
     "per": ["oil", "gas_price"], "ev": ["ol", "per"], "sl": ["gas_price"], "sr": ["sl"],
@@ -384,3 +399,44 @@ c AS (SELECT h, coalesce(datediff('hour', lag(h) OVER (ORDER BY h), h) > 6, TRUE
 i AS (SELECT h, sum(CAST(cut AS INT)) OVER (ORDER BY h) AS i FROM c)
 SELECT CAST(min(h) AS TIMESTAMP) AS lo, CAST(max(h) AS TIMESTAMP) AS hi, datediff('hour', min(h), max(h)) + 1 AS n_hours, count(*) AS n_seen FROM i GROUP BY i
 """
+
+_CURVE = """, w AS (SELECT brand, wait_days, count(*) FILTER (WHERE told) AS n_responded,
+             count(*) FILTER (WHERE NOT told) AS n_censored FROM watched GROUP BY 1, 2)
+, c AS (SELECT a.brand, a.wait_days, a.n_responded, a.n_censored,
+               sum(b.n_responded + b.n_censored) AS n_at_risk
+        FROM w a JOIN w b ON b.brand = a.brand AND b.wait_days >= a.wait_days GROUP BY ALL)
+, km AS (SELECT a.brand, a.wait_days, a.n_at_risk, a.n_responded, a.n_censored,
+                min(CASE WHEN b.n_at_risk = b.n_responded THEN 0 ELSE 1 END)
+                  * exp(sum(CASE WHEN b.n_at_risk > b.n_responded
+                                 THEN ln((b.n_at_risk - b.n_responded) / CAST(b.n_at_risk AS DOUBLE)) ELSE 0 END)) AS survival,
+                sum(CASE WHEN b.n_at_risk > b.n_responded THEN b.n_responded
+                      / (CAST(b.n_at_risk AS DOUBLE) * (b.n_at_risk - b.n_responded)) ELSE 0 END) AS var
+         FROM c a JOIN c b ON b.brand = a.brand AND b.wait_days <= a.wait_days GROUP BY ALL)
+"""
+ORACLE["a4_curve"] = _with(["watched"], _CURVE + """
+SELECT brand, CAST(wait_days AS INTEGER) AS wait_days, CAST(n_at_risk AS BIGINT) AS n_at_risk, n_responded, n_censored,
+       survival, CASE WHEN survival > 0 THEN survival * sqrt(var) END AS std_error FROM km""")
+ORACLE["a4_waits"] = _with(["watched"], _CURVE + """
+, area AS (SELECT *, (wait_days - lag(wait_days, 1, 0) OVER o) * lag(survival, 1, CAST(1 AS DOUBLE)) OVER o AS part
+           FROM km WINDOW o AS (PARTITION BY brand ORDER BY wait_days))
+SELECT brand, CAST(sum(n_responded + n_censored) AS BIGINT) AS n_pairs, CAST(sum(n_responded) AS BIGINT) AS n_responded,
+       CAST(sum(n_censored) AS BIGINT) AS n_censored, CAST(max(wait_days) AS INTEGER) AS longest_days,
+       sum(part) AS mean_days, CAST(min(wait_days) FILTER (WHERE survival <= 0.500000001) AS INTEGER) AS median_days
+FROM area GROUP BY brand""")
+ORACLE["t3_versions"] = _with(["vers"], "SELECT station_id, brand, valid_from, valid_to FROM vers")
+# The brand of a day by an ASOF join with the records themselves, not by the versions.
+ORACLE["j3_dated"] = _with(["gas_price", "brand_days"], """
+SELECT g.station_id, b.brand, g.price_date, g.price
+FROM gas_price g ASOF JOIN brand_days b ON b.station_id = g.station_id AND g.price_date >= b.price_date""")
+ORACLE["q2a_dated"] = _with(["pairs", "brand_days"], """
+, f AS (SELECT station_id, arg_min(brand, price_date) AS brand FROM brand_days GROUP BY 1)
+, pb AS (SELECT p.station_id, p.event_date, p.response_date, coalesce(b.brand, f.brand) AS brand
+         FROM pairs p JOIN f ON f.station_id = p.station_id
+         ASOF LEFT JOIN brand_days b ON b.station_id = p.station_id AND p.event_date >= b.price_date)
+, a AS (SELECT brand, count(*) AS n_events, count(response_date) AS n_responded,
+               sum(datediff('day', event_date, response_date)) AS sum_days FROM pb GROUP BY 1)
+SELECT s.brand, s.n_stations, CAST(coalesce(a.n_events, 0) AS BIGINT) AS n_events,
+       CAST(coalesce(a.n_responded, 0) AS BIGINT) AS n_responded,
+       CAST(a.sum_days AS DOUBLE) / nullif(CAST(a.n_responded AS DOUBLE), 0) AS avg_days
+FROM (SELECT brand, count(DISTINCT station_id) AS n_stations FROM brand_days GROUP BY 1) s
+LEFT JOIN a ON a.brand = s.brand""")

@@ -14,10 +14,14 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.predicates import is_rise, phase, phase_vs_ma, response_days
 from tidemark.operators.aggregates import asymmetry, by_phase, ratio
-from tidemark.operators.asof import asof_fill, next_event_counts, next_event_pairs, next_event_stats
+from tidemark.operators.asof import (
+    asof_fill, event_span, next_event_counts, next_event_pairs, next_event_stats, response_spells, wait_counts,
+)
 from tidemark.operators.correlation import lag_correlation
+from tidemark.operators.dated import join_in_force, split_by_version, versions
 from tidemark.operators.ingest import fill_gaps
 from tidemark.operators.reshape import crudes_long
+from tidemark.operators.survival import product_limit, wait_summary
 from tidemark.operators.windows import moving_average, with_lag
 from tidemark.plans.memo import per_tables
 from tidemark.schemas import CRUDES
@@ -192,6 +196,75 @@ def q2a_crudes(spark: SparkSession, t, min_change: float = 0.0, horizon_days: in
     return _by_brand(t, stats, averaging, "crude")
 
 
+def _check_horizon(horizon_days):
+    if horizon_days is not None and int(horizon_days) < 1:
+        raise ValueError(f"horizon_days must be at least 1, not {horizon_days}")
+
+
+def wait_curve(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0,
+               horizon_days: int | None = None, max_gap_days: int | None = None) -> DataFrame:
+    """A4 with censoring: per brand and distinct wait, how many (oil rise, station) pairs
+    were still waiting, responded and went out of sight, and the share that waits longer.
+
+    A pair without a response is watched until its station's last price day (or the
+    horizon); pairs whose rise falls on or after that day were never watched and are left
+    out, as are brands all of whose pairs are. Prices before a station's first day are
+    taken as unchanged, as in ``q2a``."""
+    _check_horizon(horizon_days)
+    ev, spells = response_spells(rise_events(t, crude, min_change), "event_date",
+                                 station_rises(t, max_gap_days), "station_id", DATE, "is_rise")
+    spells = spells.join(t.gas_station.select("station_id", "brand"), "station_id")
+    return product_limit(wait_counts(spells, ev, ["brand"], horizon_days), ["brand"])
+
+
+def q2a_waits(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0,
+              horizon_days: int | None = None, max_gap_days: int | None = None) -> DataFrame:
+    """2-A with censoring: per brand the mean and median wait by the product-limit
+    estimate, where ``q2a`` averages the waits that ended. Equal to it if all did."""
+    return wait_summary(wait_curve(spark, t, crude, min_change, horizon_days, max_gap_days), ["brand"])
+
+
+@per_tables
+def station_brands(t) -> DataFrame:
+    """T3 over time: (station_id, brand, valid_from, valid_to), from the brand recorded
+    beside each station price."""
+    return versions(t.brand_days, "station_id", DATE, ["brand"])
+
+
+def station_with_dated_brand(t) -> DataFrame:
+    """J3 as of a day: each station price with the brand its station had on that day."""
+    p = t.gas_price.select("station_id", DATE, "price")
+    return join_in_force(p, station_brands(t), "station_id", DATE, ["brand"]) \
+        .select("station_id", "brand", DATE, "price")
+
+
+def q2a_dated(spark: SparkSession, t, crude: str = DEFAULT_CRUDE, min_change: float = 0.0,
+              horizon_days: int | None = None, max_gap_days: int | None = None) -> DataFrame:
+    """2-A by the brand a station had on the day of the oil rise: a station that changes
+    its brand counts for both, each (rise, station) pair for one. Columns and averaging
+    (over pairs) of ``q2a``, to which it is equal where no brand changes. A station
+    without any recorded brand counts for none."""
+    _check_horizon(horizon_days)
+    events, brands = rise_events(t, crude, min_change), station_brands(t)
+    ev, spells = response_spells(events, "event_date", station_rises(t, max_gap_days), "station_id", DATE, "is_rise")
+    cut = split_by_version(spells.where("answered"), brands, "station_id", ["brand"])
+    waits = wait_counts(cut, ev, ["brand"], horizon_days).groupBy("brand").agg(
+        F.sum("n_responded").alias("n_responded"),
+        F.sum(F.col("wait_days") * F.col("n_responded")).alias("sum_days"))
+    # Events by the brand in force: equal stretches are counted before they are expanded.
+    _, lo, hi, _ = event_span(events, "event_date")
+    asked = (brands.select("brand", F.greatest("valid_from", lo).alias("_s"),
+                           F.least(F.date_sub("valid_to", 1), hi).alias("_e"))
+             .where("_s <= _e").groupBy("brand", "_s", "_e").agg(F.count("*").alias("_n"))
+             .select("brand", "_n", F.explode(F.sequence("_s", "_e")).alias("d")).join(ev, "d")
+             .groupBy("brand").agg(F.sum("_n").alias("n_events")))
+    stations = brands.groupBy("brand").agg(F.countDistinct("station_id").alias("n_stations"))
+    zero = F.lit(0).cast("long")
+    return stations.join(asked, "brand", "left").join(waits, "brand", "left").select(
+        "brand", "n_stations", F.coalesce("n_events", zero).alias("n_events"),
+        F.coalesce("n_responded", zero).alias("n_responded"), ratio("sum_days", "n_responded").alias("avg_days"))
+
+
 def brand_ranking(spark: SparkSession, t, crude: str = DEFAULT_CRUDE) -> DataFrame:
     """L2: brands ordered by response speed (fastest first; no response last)."""
     a = q2a(spark, t, crude)

@@ -10,6 +10,8 @@ QUERIES = {
     "1-A": rentals.q1a,
     "1-B": rentals.q1b,
     "2-A": prices.q2a,
+    "2-A-waits": prices.q2a_waits,
+    "2-A-dated": prices.q2a_dated,
     "2-B": prices.q2b,
 }
 

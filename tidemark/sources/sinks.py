@@ -105,6 +105,11 @@ class ParquetTables:
             df = df.where(F.col(part).isin(sorted({values[0], values[-1]})))
         return df.agg(F.min(time_col).alias("lo"), F.max(time_col).alias("hi"))
 
+    @property
+    def brand_days(self) -> DataFrame:
+        """The brand recorded beside each station price."""
+        return self.stored("gas_price").select("station_id", "price_date", "brand")
+
     def _station_weather(self) -> DataFrame:
         w = self.stored("weather")
         if self.weather_station is not None:

@@ -97,6 +97,15 @@ def gas_price(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(exact_mean("value").alias("price")))
 
 
+def brand_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand recorded beside each station price: the type of the user's last event of
+    the day, so stations change their brand often."""
+    return (events(spark, sf_dir)
+            .groupBy(F.col("user_id").cast("string").alias("station_id"),
+                     day_of("ts").alias("price_date"))
+            .agg(F.max_by("event_type", "event_id").alias("brand")))
+
+
 def oil_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily crude prices on weekdays only (trading days).
 
@@ -115,6 +124,7 @@ STANDINS = {
     "weather": weather,
     "gas_station": gas_station,
     "gas_price": gas_price,
+    "brand_days": brand_days,
     "oil_price": oil_price,
 }
 

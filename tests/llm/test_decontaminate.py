@@ -117,3 +117,22 @@ def test_items_without_id(spark):
     assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (4, 2, True)
     assert got[1].items_sha256 == hashlib.sha256(b"7").hexdigest()
     assert not got[2].contaminated and not got[3].contaminated
+
+
+def test_blocks_share_a_hot_item(spark):
+    """One item id over most rows, repeated rows and a null id: any number of blocks finds the same."""
+    rng = random.Random(11)
+    bench = [("hot", " ".join(rng.choice("abcdefgh") for _ in range(12))) for _ in range(30)]
+    bench += [bench[0]] * 5 + [(None, bench[3][1] + " q r"), ("cold", "a b c")]
+    docs = [(i, "x " + rng.choice(bench)[1] + " y") for i in range(20)] + [(20, "x y z"), (21, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id string, text string")
+    assert len(list(dc.phrase_blocks(b, 10, 200))) > 3
+    one = sorted(map(repr, dc.report(d, b).collect()))
+    many = dc.scan(d, b, block_bytes=200).collect()
+    found = {r.doc_id: r for r in dc.scan(d, b).collect()}
+    assert {r.doc_id: (r.spans, r.items) for r in many} == {k: (r.spans, r.items) for k, r in found.items()}
+    named = [(i, t) for i, t in bench if i is not None]
+    whole = {r[0]: r[2] for r in brute(docs, named + [("none", t) for i, t in bench if i is None])}
+    assert {k: sum(x.end - x.start for x in r.spans) for k, r in found.items()} == whole
+    assert len(one) == len(docs)

@@ -163,12 +163,13 @@ def phrase_block(items: list[tuple[str, str | None]], width: int) -> dict:
 
 
 def phrase_blocks(benchmark: DataFrame, width: int, block_bytes: int):
-    """The benchmark in blocks of about ``block_bytes`` of text at most, by a hash of the item."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
+    """The benchmark in blocks of about ``block_bytes`` of text, one at a time, by a hash of item and text, so an
+    item of many rows spreads over the blocks; equal rows are read once. A block holds the whole of a row's text."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield phrase_block([(r.item, r.text) for r in part.toLocalIterator()], width)
 
 
@@ -273,14 +274,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     together as one item, null in ``items``. Null and empty texts have no
     words and no hits; repeated rows each give a row; an empty benchmark finds nothing;
     only the two named columns are read, so other columns cannot clash."""
-    blocks = list(phrase_blocks(benchmark, width, block_bytes)) if benchmark is not None else []
+    blocks = phrase_blocks(benchmark, width, block_bytes)
     sc = docs.sparkSession.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     found = "_found struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    for k, block in enumerate(blocks):
-        df = df.mapInArrow(_pass(sc.broadcast(block), k > 0, k == len(blocks) - 1 and not keep_text),
-                           f"_id {id_type}, _text string, {found}")
+    block, again = next(blocks), False
+    while block is not None:                # the driver holds one block and the next, whatever the benchmark's size
+        share, block = sc.broadcast(block), next(blocks, None)
+        df = df.mapInArrow(_pass(share, again, block is None and not keep_text), f"_id {id_type}, _text string, {found}")
+        again = True
     out = [F.col("_id").alias(id_col), "_found.n_words", "_found.spans", "_found.items"]
     return df.select(*out, *([F.col("_text").alias(text_col)] if keep_text else []))
 

@@ -257,6 +257,20 @@ def test_weather_of_two_stations(spark, tmp_path):
     assert sorted(map(str, run(spark, "1-A", named).collect())) == sorted(map(str, one))
 
 
+def test_waits_and_dated_brands_of_loaded_tables(spark, tmp_path):
+    one, two, _ = _two_periods(tmp_path)
+    out = str(tmp_path / "t")
+    L.load(spark, *one, out)
+    t, _ = L.load(spark, *two, out)
+    assert t.brand_days.columns == ["station_id", "price_date", "brand"]
+    assert t.brand_days.count() == t.gas_price.count()
+    waits = run(spark, "2-A-waits", t).collect()
+    plain, dated = run(spark, "2-A", t).collect(), run(spark, "2-A-dated", t).collect()
+    assert sum(r.n_events for r in dated) == sum(r.n_events for r in plain)
+    assert sum(r.n_responded for r in dated) == sum(r.n_responded for r in plain)
+    assert sum(r.n_responded for r in waits) == sum(r.n_responded for r in plain)
+
+
 def test_raw_files_are_read_once(spark, tmp_path, monkeypatch):
     """Each source is written to the incoming folder in one job; all else reads that."""
     one, _, _ = _two_periods(tmp_path)

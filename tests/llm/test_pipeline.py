@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline as cp
-from tidemark.llm import bpe, jaccard
+from tidemark.llm import bpe, common, jaccard
 
 D = "/root/testdata/sf0.001"
 
@@ -49,3 +49,18 @@ def test_no_label_learnt_keeps_all(spark, tmp_path):
     for k, rows in enumerate(([], [(held[0], None), (None, 1)], [(i, 1) for i in held], [(1000 + i, i % 2) for i in range(20)])):
         spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
         assert sorted(map(repr, cp.drop_toxic(spark, docs, f"{tmp_path}/{k}").collect())) == sorted(map(repr, docs.collect())), k
+
+
+def test_worker_lets_go_of_kept_tables(monkeypatch):
+    """A worker over its limit empties the BPE tables at the start of a stage that needs none; one under it keeps them."""
+    spec = bpe.vocabulary("/opt/tokenizers/byte_bpe_50k.json")
+    first = bpe._load(spec).encode_batch(["some words, and more"])
+    held = common.own_memory()
+    assert held > 0
+    monkeypatch.setattr(common, "LEAN_WORKER", held * 4)
+    common.lean_worker()
+    assert bpe._LOADED
+    monkeypatch.setattr(common, "LEAN_WORKER", 0)
+    common.lean_worker()
+    assert not bpe._LOADED
+    assert bpe._load(spec).encode_batch(["some words, and more"]) == first

@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import release_memory
+from tidemark.llm.common import KEPT_IN_WORKER, release_memory
 
 #: Pieces remembered per Python worker; more start a new memory.
 CACHE_PIECES = 400_000
@@ -178,6 +178,7 @@ class Bpe:
 
 
 _LOADED: dict[str, Bpe] = {}
+KEPT_IN_WORKER.append(_LOADED)
 
 
 def _load(spec: str) -> Bpe:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tidemark.llm.common import alnum_words
+from tidemark.llm.common import alnum_words, lean_worker
 
 #: A word before A-Z is folded.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -338,6 +338,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str
 
 def _cut_pass(block, at: int, length_at: int | None, extra: str, again: bool, last: bool):
     def run(batches):
+        lean_worker()
         for b in batches:
             texts = b.column(at).to_pylist()
             spans = [sp for _, sp, _ in scan_texts(texts, block.value)]

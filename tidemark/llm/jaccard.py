@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import BASE, U64, is_present, mix64, presence, stage_table
+from tidemark.llm.common import BASE, U64, is_present, lean_worker, mix64, presence, stage_table
 from tidemark.llm.graph import connected
 
 DIMS = 256
@@ -228,6 +228,7 @@ def _filed(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        lean_worker()
         filed = set()                             # texts this task has filed: copies need no second filing
         for b in batches:
             n, sid, keys, points = [], [], [], []
@@ -253,6 +254,7 @@ def _sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> Dat
     filter_ = presence(needed.select(F.xxhash64(id_col).alias("h")), "h")
 
     def run(batches):
+        lean_worker()
         for b in batches:
             keep = is_present(filter_.value, b.column(1).to_numpy())
             words = [words_of(b.column(2)[k].as_py()) for k in np.flatnonzero(keep).tolist()]
@@ -268,6 +270,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, width: int, percent: int) -> Data
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("words").alias(f"{c}_words"))
 
     def run(batches):
+        lean_worker()
         names, met, size = Names(width), {}, 0          # sets met lately: a star's centre comes again and again
 
         def named(sid, words):
@@ -297,6 +300,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     side = lambda c: points.select(F.col("sid").alias(c), F.col("n").alias(f"{c}_n"), F.col("point").alias(f"{c}_p"))
 
     def run(batches):
+        lean_worker()
         for b in batches:
             n = b.column(2).to_numpy() + b.column(4).to_numpy()
             p, q = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, DIMS) for c in (b.column(3), b.column(5)))
@@ -326,9 +330,9 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         for i in range(len(sid)):
             got = tree.search(points[i], int(sizes[i]))
             got = got[(got > i) & (root[got] != root[i])]
-            left += [sid[i]] * len(got)
-            right += sid[got].tolist()
-        return pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+            left.append(np.full(len(got), sid[i]))
+            right.append(sid[got])
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     return dealt.select("key", "lo", "hi", "sid", "root", "n", "point").groupBy("key", "lo", "hi").applyInPandas(pairs, "a long, b long").distinct()
 

@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import hex_sha256
+from tidemark.llm.common import hex_sha256, lean_worker
 
 #: Kinds in their listed order; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -228,6 +228,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = None)
     schema = df.schema
 
     def run(batches):
+        lean_worker()
         for b in batches:
             at = names.index(text_col)
             texts = b.column(at).to_pylist()

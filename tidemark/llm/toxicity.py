@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import U64, alnum_words, mix64, prefix_hash, span_hash
+from tidemark.llm.common import U64, alnum_words, lean_worker, mix64, prefix_hash, span_hash
 
 BITS = 20
 MAX_TRAIN = 8192
@@ -74,6 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(ids), id_col)
 
     def extract(batches):
+        lean_worker()
         for b in batches:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([features(t, bits) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))],
@@ -82,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     feats = rows.select(F.xxhash64(id_col).alias("k"), "_y", "_text").mapInArrow(extract, "k long, y double, x array<int>")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        lean_worker()
         pdf = pdf.sort_values("k", kind="stable").drop_duplicates("k")
         model = Ftrl(bits)
         for _ in range(EPOCHS):
@@ -109,6 +111,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        lean_worker()
         f = scorer(share.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t) for t in b.column(1).to_pylist()], pa.float64())], [id_col, "score"])
@@ -122,6 +125,7 @@ def reject(docs: DataFrame, model, text_col: str = "text", limit: float = 0.5) -
     at = docs.columns.index(text_col)
 
     def run(batches):
+        lean_worker()
         f = scorer(share.value)
         for b in batches:
             yield b.filter(pa.array([f(t) < limit for t in b.column(at).to_pylist()], pa.bool_()))

@@ -78,3 +78,15 @@ def test_strings_that_collide_in_the_fast_hash(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(map(tuple, suffixes.removal(df, 400).collect()))
     assert got == brute(docs, 400) and [r[2] for r in got] == [0, 0]
+
+
+def test_passage_of_many_words_is_judged_by_its_bytes(spark):
+    """Of two passages of 51 and more words in two texts each, that of 399 bytes stays and that of 400 goes."""
+    rng = random.Random(11)
+    word = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    text = lambda n: " ".join(word(5) for _ in range(n // 6 + 2))[:n]
+    short, long = text(399), text(400)
+    assert min(len(short.split()), len(long.split())) > 50
+    docs = [(k, a + p + b) for k, (a, p, b) in enumerate([("k", short, "l"), ("m" + text(200), short, "n"), ("o", long, "p"), ("q" + text(200), long, "r")])]
+    got = sorted(map(tuple, suffixes.removal(spark.createDataFrame(docs, "doc_id long, text string"), 400).collect()))
+    assert got == brute(docs, 400) and [r[2] for r in got] == [0, 0, 400, 400]

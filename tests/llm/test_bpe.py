@@ -50,6 +50,18 @@ def test_real_texts(both, spark):
     same(both, texts)
 
 
+def test_every_character_is_classed_as_in_the_library(both):
+    """After a letter, a digit and a sign each character joins the piece or starts one, whichever Unicode the regex module knows."""
+    ours, theirs = both
+    kind = theirs.pre_tokenizer.pre_tokenize_str
+    chars = [chr(c) for c in range(0x250, 0x110000) if not 0xD800 <= c < 0xE000]
+    # one text per sort of neighbour, a line break between the characters
+    for a in "a1!":
+        text = "".join(f"{a}{c}\n" for c in chars)
+        assert ours.split(text) == [text[lo:hi] for _, (lo, hi) in kind(text)]
+    same(both, ["\U0003291a\u9000", "a\u088f 1\U00011de0!\U0003d000"])
+
+
 def test_cache_limit(both, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 5)
     same(both, ["one two three four five six", "seven eight one two"])
